@@ -81,15 +81,12 @@ def parse_header(raw: DataFrame) -> DataFrame:
         )))
 
     shape = "array<struct<key:string,value:string,block:array<string>>>"
-    parsed = raw.withColumn("lines", lines).withColumn(
-        "entries",
-        F.when(F.size("lines") > 0, let(F.col("lines"), entries)).otherwise(F.array().cast(shape)),
-    )
+    found = F.when(F.size("lines") > 0, let(F.col("lines"), entries)).otherwise(F.array().cast(shape))
     # The last entry of a key wins.
-    last = F.filter("entries", lambda e, i: ~F.exists(
-        F.slice(F.col("entries"), i + 2, F.size("entries")), lambda later: later["key"] == e["key"]
-    ))
-    parsed = parsed.withColumn("entries", last)
+    last = let(found, lambda es: F.filter(es, lambda e, i: ~F.exists(
+        F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"]
+    )))
+    parsed = _settled(_settled(raw, lines=lines), entries=last)
 
     block = F.array_join(_entry("links", "block"), "\n")
     items = F.filter(F.split(block, r"(?m)^\s*-\s+"), lambda x: F.trim(x) != "")
@@ -108,14 +105,23 @@ def parse_header(raw: DataFrame) -> DataFrame:
         "entries",
         lambda e: (e["key"] != "links") & F.exists(e["block"], lambda l: ~l.rlike(r"^\s*-\s")),
     ) | (~F.element_at("lines", 1).rlike(_ENTRY))
-    return (
-        parsed
-        .withColumn("links", F.coalesce(links, F.array().cast("array<struct<target:string,rel:string>>")))
-        .withColumn("bad_links", F.greatest(F.coalesce(bad, F.lit(0)), F.lit(0)))
-        .withColumn("header_error", F.when(F.size("entries") == 0, F.lit("empty header")).when(
-            unsupported, F.lit("unsupported header shape")))
-        .drop("lines")
-    )
+    return _settled(
+        parsed,
+        links=F.coalesce(links, F.array().cast("array<struct<target:string,rel:string>>")),
+        bad_links=F.coalesce(bad, F.lit(0)),
+        header_error=F.when(F.size("entries") == 0, F.lit("empty header")).when(
+            unsupported, F.lit("unsupported header shape")),
+    ).drop("lines")
+
+
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later filters and expressions read instead of recomputing.
+
+    A generator is a boundary the optimizer does not move filters or
+    expressions across.
+    """
+    fields = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(fields)))
 
 
 def _entry(key: str, part: str) -> Column:
@@ -155,19 +161,25 @@ def parse_concepts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         lambda e: F.struct(e["key"], F.coalesce(
             unquote(e["value"]), F.when(F.size(e["block"]) > 0, F.array_join(e["block"], "\n")), F.lit(""))),
     ))
-    concepts = parsed.filter(F.col("header_error").isNull()).select(
+    named = _settled(
+        parsed.filter(F.col("header_error").isNull()),
+        extra_fields=extra,
+        tag_list=text_list("tags"),
+        **{f"_{k}": scalar(k) for k in (*_CORE_STRINGS, "verified", "generated")},
+    )
+    concepts = named.filter(F.coalesce(F.col("_type") != "Catalog", F.lit(True))).select(
         "path",
         F.split("path", "/")[1].alias("catalog"),
         stem_of(F.col("path")).alias("stem"),
-        *[scalar(k).alias(k) for k in _CORE_STRINGS],
-        *[scalar(k).try_cast("boolean").alias(k) for k in ("verified", "generated")],
-        text_list("tags").alias("tags"),
+        *[F.col(f"_{k}").alias(k) for k in _CORE_STRINGS],
+        *[F.col(f"_{k}").try_cast("boolean").alias(k) for k in ("verified", "generated")],
+        F.col("tag_list").alias("tags"),
         "links",
         "bad_links",
         F.transform("entries", lambda e: e["key"]).alias("keys"),
-        extra.alias("extra"),
+        F.col("extra_fields").alias("extra"),
         "body",
-    ).filter(F.coalesce(F.col("type") != "Catalog", F.lit(True)))
+    )
     return concepts, errors
 
 
