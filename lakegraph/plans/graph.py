@@ -1 +1,276 @@
+"""Lineage traversals over the derived graph."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakegraph import model
+from lakegraph.operators import graph, packs, resolve
+from lakegraph.plans.joins import STATEMENT_EDGES_SQL
+from lakegraph.plans.registry import query, quoted, stem_sql, with_parts
+from lakegraph.sources import derive
+
+C = F.col
+FOCUS = "/sources/supplier-1.md"
+
+
+def _edges(spark, sf, cyclic=False):
+    return graph.flow_edges(derive.links(spark, sf, cyclic=cyclic))
+
+
+def _node(spark, path):
+    return spark.createDataFrame([(path,)], "node string")
+
+
+def _long_depth(df):
+    return df.withColumn("depth", C("depth").cast("bigint"))
+
+
+def _reach_sql(starts: str, hops: int, edges: str = "edges", src: str = "src", dst: str = "dst", name: str = "reached") -> str:
+    return f"""
+{name}_walk AS (
+  SELECT node AS start, node, CAST(0 AS BIGINT) AS depth FROM ({starts}) s
+  UNION SELECT w.start, e.{dst}, w.depth + 1 FROM {name}_walk w JOIN {edges} e ON e.{src} = w.node WHERE w.depth < {hops}
+), {name} AS (SELECT start, node, min(depth) AS depth FROM {name}_walk GROUP BY ALL)
+"""
+
+
+@query("g01_lineage_graph", with_parts("concepts links edges statements", f"""
+WITH {STATEMENT_EDGES_SQL} SELECT src, dst FROM edges UNION SELECT src, dst FROM sql_edges
+"""))
+def g01(spark, sf):
+    """Edges from typed links and from statement texts."""
+    from_sql = resolve.resolved_statement_edges(derive.statements(spark, sf), derive.concepts(spark, sf))
+    return graph.union_edges(_edges(spark, sf), from_sql)
+
+
+@query("u01_edge_union", with_parts("concepts links edges statements", f"""
+WITH {STATEMENT_EDGES_SQL}, all_edges AS (SELECT src, dst FROM edges UNION SELECT src, dst FROM sql_edges)
+SELECT split_part(src, '/', 2) AS from_catalog, split_part(dst, '/', 2) AS to_catalog, count(*) AS n FROM all_edges GROUP BY ALL
+"""))
+def u01(spark, sf):
+    catalog = lambda c, name: F.split(c, "/")[1].alias(name)
+    return g01(spark, sf).groupBy(catalog("src", "from_catalog"), catalog("dst", "to_catalog")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+_STREAMS = "SELECT path AS node FROM concepts WHERE type = 'SourceSystem' AND kind = 'stream'"
+
+
+def _streams(spark, sf):
+    return derive.concepts(spark, sf).filter((C("type") == "SourceSystem") & (C("kind") == "stream")).select(
+        C("path").alias("node")
+    )
+
+
+@query("g02_downstream", with_parts("concepts links edges", f"""
+WITH {_reach_sql(_STREAMS, 5)} SELECT start, node, depth FROM reached
+"""))
+def g02(spark, sf):
+    """Everything downstream of every stream source."""
+    return _long_depth(graph.downstream(_edges(spark, sf), _streams(spark, sf)))
+
+
+@query("g02_downstream_cyclic", with_parts("concepts cycle_links cycle_edges", f"""
+WITH {_reach_sql("SELECT path AS node FROM concepts WHERE type = 'Dashboard'", 3, 'cycle_edges')}
+SELECT start, depth, count(*) AS n FROM reached GROUP BY ALL
+"""))
+def g02_cyclic(spark, sf):
+    dashboards = derive.concepts(spark, sf).filter(C("type") == "Dashboard").select(C("path").alias("node"))
+    reached = graph.downstream(_edges(spark, sf, cyclic=True), dashboards, hops=3)
+    return _long_depth(reached.groupBy("start", "depth").agg(F.count(F.lit(1)).alias("n")))
+
+
+_ZONES = "SELECT DISTINCT dst AS node FROM edges WHERE starts_with(dst, '/storage/')"
+
+
+@query("g03_upstream", with_parts("links edges", f"""
+WITH {_reach_sql(_ZONES, 5, 'edges', 'dst', 'src')} SELECT start, node, depth FROM reached
+"""))
+def g03(spark, sf):
+    """Everything upstream of every storage zone."""
+    edges = _edges(spark, sf)
+    zones = edges.filter(C("dst").startswith("/storage/")).select(C("dst").alias("node")).distinct()
+    return _long_depth(graph.upstream(edges, zones))
+
+
+@query("g04_shortest_path", with_parts("concepts cycle_links cycle_edges", f"""
+WITH pairs AS (
+  SELECT '/sources/supplier-' || CAST(s_suppkey AS VARCHAR) || '.md' AS start,
+         '/dashboards/nation-' || CAST(s_nationkey AS VARCHAR) || '.md' AS goal FROM supplier WHERE s_suppkey % 7 = 0
+), {_reach_sql("SELECT DISTINCT start AS node FROM pairs", 5, 'cycle_edges')},
+parents AS (
+  SELECT r.start, r.node, r.depth, min(e.src) AS parent FROM reached r JOIN cycle_edges e ON e.dst = r.node
+  JOIN reached p ON p.start = r.start AND p.node = e.src AND p.depth = r.depth - 1 GROUP BY ALL
+), back AS (
+  SELECT p.start, p.goal, r.depth AS position, r.node FROM pairs p JOIN reached r ON r.start = p.start AND r.node = p.goal
+  UNION ALL SELECT b.start, b.goal, b.position - 1, q.parent FROM back b JOIN parents q
+    ON q.start = b.start AND q.node = b.node AND q.depth = b.position
+)
+SELECT start, goal, position, node FROM back
+"""))
+def g04(spark, sf):
+    """From every stream supplier to its nation's dashboard, in the graph with loops."""
+    pairs = derive.table(spark, sf, "supplier").filter(C("s_suppkey") % 7 == 0).select(
+        F.concat(F.lit("/sources/supplier-"), C("s_suppkey").cast("string"), F.lit(".md")).alias("start"),
+        F.concat(F.lit("/dashboards/nation-"), C("s_nationkey").cast("string"), F.lit(".md")).alias("goal"),
+    )
+    steps = graph.shortest_paths(_edges(spark, sf, cyclic=True), pairs)
+    return steps.withColumn("position", C("position").cast("bigint"))
+
+
+@query("g05_roots", with_parts("links edges", "SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges)"))
+def g05(spark, sf):
+    return graph.roots(_edges(spark, sf))
+
+
+@query("g06_materialized_lineage", with_parts("links edges", f"""
+WITH {_reach_sql("SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges)", 6)},
+summary AS (
+  SELECT start AS root, count(*) AS node_count, max(depth) AS hop_count, max(struct_pack(d := depth, n := node)) AS last
+  FROM reached GROUP BY start
+)
+SELECT root, 'path-' || {stem_sql('root')} || '-to-' || {stem_sql('last.n')} AS name, node_count, hop_count
+FROM summary WHERE node_count >= 2
+"""))
+def g06(spark, sf):
+    paths = graph.lineage_paths(graph.materialized_lineage(_edges(spark, sf)))
+    return paths.withColumn("hop_count", C("hop_count").cast("bigint"))
+
+
+@query("g06_unrooted_nodes", with_parts("cycle_links cycle_edges", f"""
+WITH {_reach_sql("SELECT DISTINCT src AS node FROM cycle_edges WHERE src NOT IN (SELECT dst FROM cycle_edges)", 6, 'cycle_edges')}
+SELECT node FROM (SELECT src AS node FROM cycle_edges UNION SELECT dst FROM cycle_edges) n WHERE node NOT IN (SELECT node FROM reached)
+"""))
+def g06_unrooted(spark, sf):
+    """Nodes of the looped graph that no root reaches."""
+    return graph.unrooted_nodes(_edges(spark, sf, cyclic=True))
+
+
+_AROUND = f"""
+both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+foci AS (SELECT path AS focus FROM concepts WHERE type = 'BusinessObject'),
+hop1 AS (
+  SELECT focus, b.dst AS node FROM foci JOIN both_ways b ON b.src = focus
+  UNION SELECT focus, l.target FROM foci JOIN links l ON l.src = focus
+), hop2 AS (SELECT DISTINCT focus, b.dst AS node FROM hop1 JOIN both_ways b ON b.src = hop1.node),
+around AS (
+  SELECT focus, node, min(depth) AS depth FROM (
+    SELECT focus, focus AS node, CAST(0 AS BIGINT) AS depth FROM foci UNION ALL SELECT focus, node, 1 FROM hop1
+    UNION ALL SELECT focus, node, 2 FROM hop2) u GROUP BY ALL
+), clipped AS (
+  SELECT focus, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY focus ORDER BY depth, node) AS n FROM around) x WHERE n <= 20
+)
+"""
+
+
+def _neighbourhoods(spark, sf):
+    concepts, links = derive.concepts(spark, sf), derive.links(spark, sf)
+    foci = concepts.filter(C("type") == "BusinessObject").select(C("path").alias("node"))
+    return graph.neighbourhoods(graph.flow_edges(links), foci, links)
+
+
+@query("g07_context_neighbourhood", with_parts("concepts links edges", f"WITH {_AROUND} SELECT focus, node, depth FROM clipped"))
+def g07(spark, sf):
+    """The pack members around every business object."""
+    return _long_depth(_neighbourhoods(spark, sf))
+
+
+@query("w04_node_clip", with_parts("concepts links edges", f"""
+WITH {_AROUND} SELECT focus, count(*) AS kept, max(depth) AS deepest FROM clipped GROUP BY focus
+"""))
+def w04(spark, sf):
+    return _neighbourhoods(spark, sf).groupBy("focus").agg(
+        F.count(F.lit(1)).alias("kept"), F.max("depth").cast("bigint").alias("deepest")
+    )
+
+
+_FOCUS_NODES = _reach_sql(f"SELECT '{FOCUS}' AS node", 2, name="down") + ", " + _reach_sql(
+    f"SELECT '{FOCUS}' AS node", 2, "edges", "dst", "src", name="up"
+) + ", kept AS (SELECT node FROM down UNION SELECT node FROM up)"
+
+
+@query("u02_focus_nodes", with_parts("links edges", f"WITH {_FOCUS_NODES} SELECT node FROM kept"))
+def u02(spark, sf):
+    return graph.focus_nodes(_edges(spark, sf), _node(spark, FOCUS))
+
+
+@query("g08_diagram", with_parts("links edges", f"""
+WITH {_FOCUS_NODES}
+SELECT 'node' AS section, '  n' || left(md5(node), 12) || '["' || {stem_sql('node')} || '"]' AS line FROM kept
+UNION ALL
+SELECT 'edge', '  n' || left(md5(src), 12) || ' --> n' || left(md5(dst), 12) FROM edges
+WHERE src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept)
+"""))
+def g08(spark, sf):
+    """The two-hop diagram around one supplier."""
+    edges = _edges(spark, sf)
+    return graph.diagram_lines(edges, graph.focus_nodes(edges, _node(spark, FOCUS)))
+
+
+@query("g09_impact", with_parts("concepts links edges", f"""
+WITH {_reach_sql(f"SELECT '{FOCUS}' AS node", 5)}
+SELECT start, depth, coalesce(type, '?') AS type, count(*) AS n FROM reached LEFT JOIN concepts ON path = node
+WHERE depth > 0 GROUP BY ALL
+"""))
+def g09(spark, sf):
+    """What a change to one supplier touches."""
+    return _long_depth(graph.impact(_edges(spark, sf), _node(spark, FOCUS), derive.concepts(spark, sf)))
+
+
+@query("w05_hop_pairs", """
+WITH p AS (SELECT l_orderkey AS k, min(l_suppkey) AS s, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey)
+SELECT k AS path_id, CAST(3 AS BIGINT) AS hop_count, position, src, dst FROM (
+  SELECT k, CAST(1 AS BIGINT) AS position, 'supplier-' || CAST(s AS VARCHAR) AS src, 'part-' || CAST(p AS VARCHAR) AS dst FROM p
+  UNION ALL SELECT k, 2, 'part-' || CAST(p AS VARCHAR), 'order-' || CAST(k AS VARCHAR) FROM p
+  UNION ALL SELECT k, 3, 'order-' || CAST(k AS VARCHAR), 'customer-' || CAST(o_custkey AS VARCHAR) FROM p JOIN orders ON o_orderkey = k
+) x WHERE k IN (SELECT o_orderkey FROM orders)
+""")
+def w05(spark, sf):
+    """The path supplier, part, order, customer of every order as hops."""
+    ends = derive.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p")
+    )
+    orders = derive.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}-"), C(c).cast("string"))
+    paths = ends.join(orders, C("l_orderkey") == C("o_orderkey")).select(
+        C("o_orderkey").alias("path_id"),
+        F.array(name("supplier", "s"), name("part", "p"), name("order", "o_orderkey"), name("customer", "o_custkey")).alias("nodes"),
+    )
+    return graph.hop_pairs(paths)
+
+
+@query("a07_edge_dedup", with_parts("links edges", "SELECT src, count(DISTINCT dst) AS targets FROM edges GROUP BY src"))
+def a07(spark, sf):
+    return _edges(spark, sf).groupBy("src").agg(F.count(F.lit(1)).alias("targets"))
+
+
+@query("k03_adjacency", with_parts("links edges", """
+WITH deg AS (SELECT src, count(*) AS out_degree FROM edges GROUP BY src),
+placed AS (
+  SELECT e.src, e.dst, out_degree, CASE WHEN out_degree > 100 THEN
+    CAST(('0x' || left(md5(e.dst), 8)) AS BIGINT) % CAST(ceil(out_degree / 100.0) AS BIGINT) ELSE 0 END AS shard
+  FROM edges e JOIN deg ON deg.src = e.src
+)
+SELECT src, out_degree, shard, string_agg(dst, ',' ORDER BY dst) AS targets FROM placed GROUP BY ALL
+"""))
+def k03(spark, sf):
+    """Out-lists, in shards of about a hundred here so that hubs are split."""
+    lists = graph.adjacency(_edges(spark, sf), shard_size=100)
+    return lists.withColumn("targets", F.array_join("targets", ","))
+
+
+@query("a04_edge_density", with_parts("concepts links edges", """
+SELECT count(*) AS edge_count, round(count(*) / greatest((SELECT count(*) FROM concepts WHERE type = 'Table'), 1), 6) AS density FROM edges
+"""))
+def a04(spark, sf):
+    from lakegraph.operators.quality import pivot_metrics, tall_metrics
+
+    edges = _edges(spark, sf).agg(F.count(F.lit(1)).alias("edges"))
+    tables = derive.concepts(spark, sf).agg(F.count_if(C("type") == "Table").alias("tables"))
+    row = pivot_metrics(tall_metrics(edges).unionByName(tall_metrics(tables)), ["edges", "tables"])
+    return row.select(
+        C("edges").cast("bigint").alias("edge_count"),
+        F.round(C("edges") / F.greatest(C("tables"), F.lit(1.0)), 6).alias("density"),
+    )
