@@ -58,7 +58,9 @@ def _step(frontier: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
 def _levels(edges: DataFrame, starts: DataFrame, hops: int, parents: bool, wanted: DataFrame | None = None):
     """Checkpointed frames ``start, node, depth[, parent]``, one per depth."""
     edges = cut(edges.select("src", "dst").distinct())
-    level = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0))
+    if "start" not in starts.columns:
+        starts = starts.select(F.col("node").alias("start"), "node")
+    level = starts.select("start", "node").distinct().withColumn("depth", F.lit(0))
     if parents:
         level = level.withColumn("parent", F.lit(None).cast("string"))
     level = cut(level)
@@ -150,7 +152,10 @@ def lineage_paths(lineage: DataFrame) -> DataFrame:
 def unrooted_nodes(edges: DataFrame, hops: int = 6) -> DataFrame:
     """Nodes no root reaches within ``hops``: members of pure cycles and what hangs off them."""
     edges = cut(edges.select("src", "dst").distinct())
-    covered = reach(edges, roots(edges), hops).select("node").distinct()
+    tops = roots(edges)
+    # All roots share one start, so the state is one row per node.
+    shared = tops.select(F.lit("").alias("start"), "node")
+    covered = reach(edges, shared, hops).select("node")
     return nodes(edges).join(covered, "node", "left_anti")
 
 

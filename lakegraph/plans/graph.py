@@ -31,7 +31,7 @@ def _reach_sql(starts: str, hops: int, edges: str = "edges", src: str = "src", d
 {name}_walk AS (
   SELECT node AS start, node, CAST(0 AS BIGINT) AS depth FROM ({starts}) s
   UNION SELECT w.start, e.{dst}, w.depth + 1 FROM {name}_walk w JOIN {edges} e ON e.{src} = w.node WHERE w.depth < {hops}
-), {name} AS (SELECT start, node, min(depth) AS depth FROM {name}_walk GROUP BY ALL)
+), {name} AS MATERIALIZED (SELECT start, node, min(depth) AS depth FROM {name}_walk GROUP BY ALL)
 """
 
 
@@ -100,9 +100,11 @@ WITH pairs AS (
   SELECT '/sources/supplier-' || CAST(s_suppkey AS VARCHAR) || '.md' AS start,
          '/dashboards/nation-' || CAST(s_nationkey AS VARCHAR) || '.md' AS goal FROM supplier WHERE s_suppkey % 7 = 0
 ), {_reach_sql("SELECT DISTINCT start AS node FROM pairs", 5, 'cycle_edges')},
-parents AS (
-  SELECT r.start, r.node, r.depth, min(e.src) AS parent FROM reached r JOIN cycle_edges e ON e.dst = r.node
-  JOIN reached p ON p.start = r.start AND p.node = e.src AND p.depth = r.depth - 1 GROUP BY ALL
+onward AS MATERIALIZED (
+  SELECT p.start, p.node AS parent, e.dst AS node, p.depth + 1 AS depth FROM reached p JOIN cycle_edges e ON e.src = p.node
+), parents AS MATERIALIZED (
+  SELECT o.start, o.node, o.depth, min(o.parent) AS parent
+  FROM onward o JOIN reached r ON r.start = o.start AND r.node = o.node AND r.depth = o.depth GROUP BY ALL
 ), back AS (
   SELECT p.start, p.goal, r.depth AS position, r.node FROM pairs p JOIN reached r ON r.start = p.start AND r.node = p.goal
   UNION ALL SELECT b.start, b.goal, b.position - 1, q.parent FROM back b JOIN parents q
@@ -139,13 +141,20 @@ def g06(spark, sf):
     return paths.withColumn("hop_count", C("hop_count").cast("bigint"))
 
 
-@query("g06_unrooted_nodes", with_parts("cycle_links cycle_edges", f"""
-WITH {_reach_sql("SELECT DISTINCT src AS node FROM cycle_edges WHERE src NOT IN (SELECT dst FROM cycle_edges)", 6, 'cycle_edges')}
-SELECT node FROM (SELECT src AS node FROM cycle_edges UNION SELECT dst FROM cycle_edges) n WHERE node NOT IN (SELECT node FROM reached)
+@query("g06_unrooted_nodes", with_parts("cycle_links cycle_edges", """
+WITH ring AS MATERIALIZED (
+  SELECT src, dst FROM cycle_edges WHERE NOT contains(src, '/retired-') AND NOT starts_with(src, '/metrics/')
+), walk AS (
+  SELECT DISTINCT src AS node, 0 AS depth FROM ring WHERE src NOT IN (SELECT dst FROM ring)
+  UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN ring e ON e.src = w.node WHERE w.depth < 6
+)
+SELECT node FROM (SELECT src AS node FROM ring UNION SELECT dst FROM ring) n WHERE node NOT IN (SELECT node FROM walk)
 """))
 def g06_unrooted(spark, sf):
-    """Nodes of the looped graph that no root reaches."""
-    return graph.unrooted_nodes(_edges(spark, sf, cyclic=True))
+    """Nodes of the looped graph that no root reaches, once the loops are all there is."""
+    edges = _edges(spark, sf, cyclic=True)
+    ring = edges.filter(~F.contains("src", F.lit("/retired-")) & ~C("src").startswith("/metrics/"))
+    return graph.unrooted_nodes(ring)
 
 
 _AROUND = f"""
