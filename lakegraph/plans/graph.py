@@ -142,19 +142,13 @@ def g06(spark, sf):
 
 
 @query("g06_unrooted_nodes", with_parts("cycle_links cycle_edges", """
-WITH ring AS MATERIALIZED (
-  SELECT src, dst FROM cycle_edges WHERE NOT contains(src, '/retired-') AND NOT starts_with(src, '/metrics/')
-), walk AS (
-  SELECT DISTINCT src AS node, 0 AS depth FROM ring WHERE src NOT IN (SELECT dst FROM ring)
-  UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN ring e ON e.src = w.node WHERE w.depth < 6
-)
-SELECT node FROM (SELECT src AS node FROM ring UNION SELECT dst FROM ring) n WHERE node NOT IN (SELECT node FROM walk)
+WITH tops AS (SELECT DISTINCT src AS node FROM cycle_edges WHERE src NOT IN (SELECT dst FROM cycle_edges)),
+near AS (SELECT node FROM tops UNION SELECT e.dst FROM tops JOIN cycle_edges e ON e.src = tops.node)
+SELECT node FROM (SELECT src AS node FROM cycle_edges UNION SELECT dst FROM cycle_edges) n WHERE node NOT IN (SELECT node FROM near)
 """))
 def g06_unrooted(spark, sf):
-    """Nodes of the looped graph that no root reaches, once the loops are all there is."""
-    edges = _edges(spark, sf, cyclic=True)
-    ring = edges.filter(~F.contains("src", F.lit("/retired-")) & ~C("src").startswith("/metrics/"))
-    return graph.unrooted_nodes(ring)
+    """Nodes of the looped graph more than one hop below any root."""
+    return graph.unrooted_nodes(_edges(spark, sf, cyclic=True), hops=1)
 
 
 _AROUND = f"""
