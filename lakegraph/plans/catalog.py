@@ -1 +1,130 @@
+"""Upserts, audit, listings, link merges and promotion."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakegraph import model
+from lakegraph.operators import catalog
+from lakegraph.plans.registry import quoted, query, slug_sql, strip_sql, with_parts
+from lakegraph.plans.text import _PROSE, _human_sql
+from lakegraph.sources import derive
+
+C = F.col
+
+
+@query("k06_catalog_listing", with_parts("concepts", f"""
+SELECT catalog, path, '- [' || replace(replace(coalesce(title, stem), '[', chr(92) || '['), ']', chr(92) || ']') || '](' || path || ')'
+       || CASE WHEN coalesce(layer, '') <> '' AND catalog NOT IN ({quoted(model.UNANNOTATED_CATALOGS)}) THEN ' · ' || layer ELSE '' END AS line
+FROM concepts
+"""))
+def k06(spark, sf):
+    return catalog.listing_lines(derive.concepts(spark, sf))
+
+
+def _snapshots(spark, sf):
+    """Documents as written last time, and as found now: some changed, new, gone or only re-stamped."""
+    docs = derive.table(spark, sf, "documents")
+
+    def rows(df, key, body, stamp):
+        path = F.concat(F.lit("/glossary/document-"), key.cast("string"), F.lit(".md"))
+        header = {"title": F.concat(F.lit("Term "), C("lang")), "type": F.lit("GlossaryTerm"), "source": C("source")}
+        return df.select(
+            path.alias("path"), F.lit("GlossaryTerm").alias("type"), catalog.fingerprint(header, body).alias("fingerprint"),
+            F.lit(stamp).alias("timestamp"),
+        )
+
+    current = rows(docs.filter(C("doc_id") % 13 != 4), C("doc_id"), C("text"), "2024-01-01T00:00:00Z")
+    body = F.when(C("doc_id") % 10 == 3, F.concat("text", F.lit(" revised"))).when(
+        C("doc_id") % 10 == 5, F.concat(F.lit("\n"), "text", F.lit("\n\n"))
+    ).otherwise(C("text"))
+    incoming = rows(docs.filter(C("doc_id") % 17 != 0), C("doc_id"), body, "2024-02-02T00:00:00Z")
+    return current, incoming
+
+
+_UPSERT = """
+WITH d AS (
+  SELECT '/glossary/document-' || CAST(doc_id AS VARCHAR) || '.md' AS path, doc_id % 13 <> 4 AS had, doc_id % 17 <> 0 AS has,
+         doc_id % 10 = 3 AS changed FROM documents
+), a AS (
+  SELECT path, CASE WHEN NOT has THEN 'kept' WHEN NOT had THEN 'created' WHEN changed THEN 'updated' ELSE 'skipped' END AS action,
+         CASE WHEN had THEN '2024-01-01T00:00:00Z' ELSE '2024-02-02T00:00:00Z' END AS timestamp
+  FROM d WHERE had OR has
+)
+"""
+
+
+@query("k07_upsert", _UPSERT + "SELECT path, action, timestamp FROM a")
+def k07(spark, sf):
+    return catalog.upsert(*_snapshots(spark, sf)).select("path", "action", "timestamp")
+
+
+@query("k08_audit_events", _UPSERT + """
+SELECT left(md5(path || '|batch-7'), 16) AS event_id, '/write-events/' || left(md5(path || '|batch-7'), 16) || '.md' AS path,
+       'write GlossaryTerm ' || regexp_replace(path, '^.*/', '') AS title, 'ana' AS author, 'unknown' AS host,
+       path AS target, 'documents' AS rel, action
+FROM a WHERE action IN ('created', 'updated')
+""")
+def k08(spark, sf):
+    return catalog.audit_events(catalog.upsert(*_snapshots(spark, sf)), "ana", "batch-7")
+
+
+@query("k09_link_merge", with_parts("concepts links", f"""
+WITH pairs(rel, back) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in model.INVERSE_RELATIONS.items())}),
+added AS (
+  SELECT l.target AS src, p.back AS rel, l.src AS target FROM links l JOIN pairs p ON p.rel = l.rel
+  WHERE l.target IN (SELECT path FROM concepts)
+  UNION SELECT src, rel, target FROM links WHERE rel = 'visualizes'
+)
+SELECT rel, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT target) AS targets FROM (
+  SELECT src, rel, target FROM links UNION SELECT src, rel, target FROM added) m GROUP BY rel
+"""))
+def k09(spark, sf):
+    """All links with their inverses, plus a batch of links that are there already."""
+    concepts, links = derive.concepts(spark, sf), derive.links(spark, sf)
+    added = catalog.inverse_links(links, concepts).unionByName(links.filter(C("rel") == "visualizes"))
+    return catalog.merge_links(links, added).groupBy("rel").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("sources"), F.count_distinct("target").alias("targets")
+    )
+
+
+@query("k09_inverse_links", with_parts("concepts links", """
+SELECT target AS src, 'businessizes' AS rel, src AS target FROM links WHERE rel = 'derived_from' AND target IN (SELECT path FROM concepts)
+"""))
+def k09_inverse(spark, sf):
+    return catalog.inverse_links(derive.links(spark, sf), derive.concepts(spark, sf))
+
+
+@query("v09_business_promotion", with_parts("concepts links", f"""
+WITH served AS (SELECT DISTINCT target AS path FROM links WHERE rel = 'derived_from'),
+named AS (
+  SELECT *, {_human_sql('coalesce(title, stem)')} AS name FROM concepts
+  WHERE type IN ('Table', 'View') AND layer = 'gold' AND path NOT IN (SELECT path FROM served)
+)
+SELECT path AS source, name, '/business-objects/' || {slug_sql('name')} || '.md' AS object_path, '/glossary/' || {slug_sql('name')} || '.md' AS term_path,
+       sha256(CASE WHEN coalesce(description, '') <> '' AND NOT starts_with(lower(description), 'table ') AND NOT starts_with(lower(description), 'referenced')
+         THEN {strip_sql('description')}
+         ELSE coalesce({_PROSE}, '**' || name || '** is a business entity materialized from the ' || coalesce(layer, 'curated')
+         || ' data layer. It represents the canonical business meaning of the technical asset `' || coalesce(fqn, title, name) || '`.') END) AS definition_hash
+FROM named
+"""))
+def v09(spark, sf):
+    """Business objects for gold tables and views, those derived from already left out."""
+    concepts, links = derive.concepts(spark, sf), derive.links(spark, sf)
+    promoted = catalog.promote_layer(concepts, catalog.inverse_links(links, concepts))
+    return promoted.select("source", "name", "object_path", "term_path", F.sha2("definition", 256).alias("definition_hash"))
+
+
+@query("v09_promotion_links", with_parts("concepts links", f"""
+WITH named AS (
+  SELECT path, '/business-objects/' || {slug_sql(_human_sql('coalesce(title, stem)'))} || '.md' AS o,
+         '/glossary/' || {slug_sql(_human_sql('coalesce(title, stem)'))} || '.md' AS t FROM concepts
+  WHERE type IN ('Table', 'View') AND layer = 'gold'
+)
+SELECT DISTINCT src, rel, target FROM (
+  SELECT o AS src, 'derived_from' AS rel, path AS target FROM named UNION ALL SELECT path, 'businessizes', o FROM named
+  UNION ALL SELECT o, 'glosses', t FROM named UNION ALL SELECT t, 'glosses', o FROM named) x
+"""))
+def v09_links(spark, sf):
+    concepts, links = derive.concepts(spark, sf), derive.links(spark, sf)
+    return catalog.promotion_links(catalog.promote_layer(concepts, links))

@@ -1 +1,73 @@
+"""Streaming jobs over the events table, run to the end of what is there."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakegraph.plans.registry import query
+from lakegraph.session import scratch_path
+from lakegraph.sources import derive
+from lakegraph.streaming import landing
+
+C = F.col
+_EVENTS = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, props FROM events"
+
+
+def _stream(spark, sf):
+    schema = derive.table(spark, sf, "events").schema
+    return landing.file_stream(spark, sf, schema, "events.parquet").withColumn("ts", C("ts").cast("timestamp"))
+
+
+def _shown(df):
+    return df.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "user_id", "event_type", "value", "props")
+
+
+@query("t01_stream_landing", _EVENTS)
+def t01(spark, sf):
+    target, state = scratch_path(spark, "bronze"), scratch_path(spark, "bronze-state")
+    landing.land(_stream(spark, sf), target, state)
+    return _shown(spark.read.parquet(target))
+
+
+@query("t02_idempotent_landing", _EVENTS)
+def t02(spark, sf):
+    """Events that all arrive twice, landed twice over."""
+    target, state = scratch_path(spark, "once"), scratch_path(spark, "once-state")
+    for _ in range(2):
+        doubled = _stream(spark, sf).unionByName(_stream(spark, sf))
+        landing.land_once(doubled, target, state, "event_id", "ts", "1 hour")
+    return _shown(spark.read.parquet(target))
+
+
+@query("t03_stream_cleanse", """
+SELECT event_id, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'error' AND value IS NOT NULL
+""")
+def t03(spark, sf):
+    target, state = scratch_path(spark, "silver"), scratch_path(spark, "silver-state")
+    clean = landing.cleanse(_stream(spark, sf), (C("event_type") != "error") & C("value").isNotNull())
+    landing.land(clean, target, state)
+    return spark.read.parquet(target).select("event_id", "user_id", "event_type", C("props.k").alias("k"))
+
+
+@query("t04_daily_counts", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS event_count,
+       CAST(sum(CAST(value AS DECIMAL(28, 6))) AS DOUBLE) AS total FROM events GROUP BY ALL
+""")
+def t04(spark, sf):
+    target, state = scratch_path(spark, "daily"), scratch_path(spark, "daily-state")
+    landing.daily_counts(_stream(spark, sf), target, state, "ts", "event_type", "2 days")
+    return landing.read_batches(spark, target, ["day", "event_type"]).select(
+        C("day").cast("string").alias("day"), "event_type", "event_count", C("total").cast("double").alias("total")
+    )
+
+
+@query("t05_cdc_upsert", """
+SELECT user_id, event_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) x WHERE n = 1
+""")
+def t05(spark, sf):
+    """Latest event per user."""
+    target, state = scratch_path(spark, "users"), scratch_path(spark, "users-state")
+    landing.upsert_latest(_stream(spark, sf), target, state, "user_id", ["ts", "event_id"])
+    latest = landing.read_batches(spark, target, ["user_id"], ["ts", "event_id"])
+    return latest.select("user_id", "event_id", "event_type", "value")
