@@ -51,6 +51,11 @@ def _parsed_columns(concepts):
     )
 
 
+def derived_files(assets, root: str) -> None:
+    """One file per asset below ``root``."""
+    assets.select("catalog", "stem", _asset_text().alias("value")).write.partitionBy("catalog", "stem").text(root)
+
+
 @query("s01_bundle_scan", with_parts("concepts", """
 SELECT path, type, title, description, array_to_string(tags, '|') AS tags FROM concepts WHERE type IN ('SourceSystem', 'Dashboard', 'Metric')
 """))
@@ -58,7 +63,7 @@ def s01(spark, sf):
     """Asset files of all source systems, dashboards and metrics, written and scanned back."""
     assets = derive.concepts(spark, sf).filter(C("type").isin("SourceSystem", "Dashboard", "Metric"))
     root = scratch_path(spark, "assets")
-    assets.select("catalog", "stem", _asset_text().alias("value")).write.partitionBy("catalog", "stem").text(root)
+    derived_files(assets, root)
     files = bundle.scan_files(spark, root, "*.txt").filter(bundle.is_asset_file(C("path")))
     named = files.withColumn("path", F.concat(
         F.lit("/"), F.regexp_extract("path", "/catalog=([^/]+)/", 1), F.lit("/"),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakegraph.plans.registry import query
+from lakegraph.plans.quality import _FINDINGS
+from lakegraph.plans.registry import query, with_parts
+from lakegraph.plans.sources import derived_files
 from lakegraph.session import scratch_path
-from lakegraph.sources import derive
+from lakegraph.sources import bundle, derive
 from lakegraph.streaming import landing
 
 C = F.col
@@ -71,3 +73,21 @@ def t05(spark, sf):
     landing.upsert_latest(_stream(spark, sf), target, state, "user_id", ["ts", "event_id"])
     latest = landing.read_batches(spark, target, ["user_id"], ["ts", "event_id"])
     return latest.select("user_id", "event_id", "event_type", "value")
+
+
+@query("t07_revalidation", with_parts("concepts links", f"""
+WITH {_FINDINGS} SELECT path, rule, detail FROM findings WHERE starts_with(path, '/dashboards/')
+"""))
+def t07(spark, sf):
+    """Dashboard files are edited; only their catalog is validated again."""
+    root, state, out = (scratch_path(spark, n) for n in ("edited", "edited-state", "findings"))
+    concepts, links = derive.concepts(spark, sf), derive.links(spark, sf)
+    derived_files(concepts.filter(C("type") == "Dashboard"), root)
+    files = bundle.scan_files(spark, root, "*.txt", streaming=True)
+    catalog = F.concat(F.lit("/"), F.regexp_extract("path", "/catalog=([^/]+)/", 1), F.lit("/edited.md"))
+    landing.revalidate(
+        files.withColumn("path", catalog), state, lambda: (concepts, links),
+        lambda found, batch: found.write.mode("overwrite").parquet(f"{out}/batch_id={batch}"),
+        lambda lines, batch: lines.write.mode("overwrite").parquet(f"{out}-lines/batch_id={batch}"),
+    )
+    return spark.read.parquet(out).select("path", "rule", "detail")
