@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakegraph import model
 
 
+# Default size of a scan split.
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 
@@ -16,6 +20,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later filters and expressions read instead of recomputing.
+
+    A generator is a boundary the optimizer does not move filters or
+    expressions across, and it costs no shuffle.
+    """
+    fields = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(fields)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its input is too small to have a split for each.
+
+    For expensive row-wise work on small inputs; an input of more than one
+    scan split per core, by the optimizer's estimate, is left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def slugify(text: Column, max_len: int = 80) -> Column:
     """Lower-case name of letters, digits and single dashes; ``untitled`` if nothing is left."""
     kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s\x85\p{Z}.-]", "")
@@ -57,7 +83,7 @@ def token_counts(tokens: Column) -> Column:
         ))
 
     empty = F.array().cast("array<struct<token:string,tf:bigint>>")
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), counts)).otherwise(empty)
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), counts)).otherwise(empty)
 
 
 def l2_norm(counts: Column) -> Column:
@@ -69,7 +95,7 @@ def l2_norm(counts: Column) -> Column:
 def term_vector(counts: Column, terms: int = model.VECTOR_TERMS) -> Column:
     """Heaviest terms as ``array<struct<token, weight>>``; equal weights in token order."""
     def weigh(norm: Column) -> Column:
-        ranked = F.array_sort(F.transform(
+        ranked = F.sort_array(F.transform(
             counts, lambda c: F.struct((-c["tf"]).alias("order"), c["token"].alias("token"))
         ))
         return F.transform(

@@ -1,7 +1,8 @@
 """Lineage graph: edges, bounded traversals, paths, neighbourhoods.
 
 Traversals run level by level for many start nodes at once.  Every level is
-checkpointed, so plans stay flat and a lost executor costs one re-read.
+written to the shared folder, so plans stay flat and a lost executor costs one
+re-read.
 A level small enough to be counted as such is broadcast; a larger one goes
 through a shuffle join, where adaptive execution splits hub nodes.
 """
@@ -56,8 +57,10 @@ def _step(frontier: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
 
 
 def _levels(edges: DataFrame, starts: DataFrame, hops: int, parents: bool, wanted: DataFrame | None = None):
-    """Checkpointed frames ``start, node, depth[, parent]``, one per depth."""
-    edges = cut(edges.select("src", "dst").distinct())
+    """Materialised frames ``start, node, depth[, parent]``, one per depth.
+
+    ``edges`` are read once per level, so callers materialise them first.
+    """
     if "start" not in starts.columns:
         starts = starts.select(F.col("node").alias("start"), "node")
     level = starts.select("start", "node").distinct().withColumn("depth", F.lit(0))
@@ -93,6 +96,10 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int = 5, *, parents: bool =
     ``depth`` is the smallest hop count.  ``parents`` adds the smallest node
     one hop nearer, which makes the traversal tree deterministic.
     """
+    return _reach(cut(edges.select("src", "dst")), starts, hops, parents)
+
+
+def _reach(edges: DataFrame, starts: DataFrame, hops: int, parents: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, _levels(edges, starts, hops, parents))
 
 
@@ -112,7 +119,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> Dat
     """
     pairs = cut(pairs.select("start", "goal").distinct())
     levels = _levels(
-        edges, pairs.select(F.col("start").alias("node")), max_hops, True,
+        cut(edges.select("src", "dst")), pairs.select(F.col("start").alias("node")), max_hops, True,
         wanted=pairs.select("start", F.col("goal").alias("node")),
     )
     at = reduce(DataFrame.unionByName, levels)
@@ -133,7 +140,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> Dat
 def materialized_lineage(edges: DataFrame, hops: int = 6) -> DataFrame:
     """``root, node, depth, parent`` below every root; only edges that exist."""
     edges = cut(edges.select("src", "dst").distinct())
-    return reach(edges, roots(edges), hops, parents=True).withColumnRenamed("start", "root")
+    return _reach(edges, roots(edges), hops, True).withColumnRenamed("start", "root")
 
 
 def lineage_paths(lineage: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ def unrooted_nodes(edges: DataFrame, hops: int = 6) -> DataFrame:
     tops = roots(edges)
     # All roots share one start, so the state is one row per node.
     shared = tops.select(F.lit("").alias("start"), "node")
-    covered = reach(edges, shared, hops).select("node")
+    covered = _reach(edges, shared, hops).select("node")
     return nodes(edges).join(covered, "node", "left_anti")
 
 
@@ -211,7 +218,8 @@ def neighbourhoods(
 def focus_nodes(edges: DataFrame, focus: DataFrame, hops: int = 2) -> DataFrame:
     """Nodes up- or downstream of the focus, the focus included."""
     edges = cut(edges.select("src", "dst").distinct())
-    return downstream(edges, focus, hops).select("node").union(upstream(edges, focus, hops).select("node")).distinct()
+    down, up = _reach(edges, focus, hops), _reach(reverse(edges), focus, hops)
+    return down.select("node").union(up.select("node")).distinct()
 
 
 def subgraph(edges: DataFrame, kept: DataFrame) -> DataFrame:
@@ -219,7 +227,7 @@ def subgraph(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return (
         edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi")
         .join(kept.select(F.col("node").alias("dst")), "dst", "left_semi")
-        .select("src", "dst")
+        .select("src", "dst").distinct()
     )
 
 

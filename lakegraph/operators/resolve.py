@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakegraph import model
 from lakegraph.functions.naming import concept_ref, path_for_type
 from lakegraph.functions.sqltext import source_refs, sql_sources, sql_targets
-from lakegraph.functions.text import let, slugify
+from lakegraph.functions.text import let, settle, slugify
 
 RESOLVABLE = ("tables", "views", "queries")
 
@@ -86,11 +86,11 @@ def _containing(wanted: DataFrame, known: DataFrame) -> DataFrame:
 
 def statement_edges(statements: DataFrame, sql: str = "sql", *, compat: bool = False) -> DataFrame:
     """``path, source, target`` names: everything a statement reads flows into what it writes."""
-    both = statements.select(
-        "path",
-        F.explode(sql_targets(F.col(sql), compat=compat)).alias("target"),
-        sql_sources(F.col(sql), compat=compat).alias("sources"),
+    named = settle(
+        statements.select("path", sql),
+        targets=sql_targets(F.col(sql), compat=compat), sources=sql_sources(F.col(sql), compat=compat),
     )
+    both = named.select("path", F.explode("targets").alias("target"), "sources")
     return both.select("path", F.explode("sources").alias("source"), "target").filter(
         F.col("source") != F.col("target")
     )
@@ -115,8 +115,12 @@ def stub_tables(statements: DataFrame, *, compat: bool = False) -> DataFrame:
     A layer in the qualified name counts; otherwise a reader in silver or gold
     implies bronze.  The reader with the smallest path speaks for the table.
     """
-    reads = statements.select("path", "layer", F.explode(source_refs(F.col("sql"), compat=compat)).alias("ref"))
-    written = statements.select(F.explode(sql_targets(F.col("sql"), compat=compat)).alias("name")).distinct()
+    named = settle(
+        statements.select("path", "layer", "sql"),
+        refs=source_refs(F.col("sql"), compat=compat), targets=sql_targets(F.col("sql"), compat=compat),
+    )
+    reads = named.select("path", "layer", F.explode("refs").alias("ref"))
+    written = named.select(F.explode("targets").alias("name")).distinct()
     first = (
         reads.withColumn("name", F.substring_index("ref", ".", -1))
         .groupBy("name").agg(F.min(F.struct("path", "layer", "ref")).alias("reader"))

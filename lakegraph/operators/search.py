@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lakegraph import model
 from lakegraph.functions.text import (
-    card_text, query_words, short_hash, term_vector, token_counts, tokenize,
+    card_text, query_words, settle, short_hash, spread, term_vector, token_counts, tokenize,
 )
+from lakegraph.session import cut
 
 
 def index_cards(concepts: DataFrame) -> DataFrame:
     """Assets with their index text, tokens and in-row term counts; no shuffle."""
     text = card_text(F.col("title"), F.col("description"), F.col("type"), F.col("tags"), F.col("body"))
-    return (
-        concepts.withColumn("text", text)
-        .withColumn("tokens", tokenize(F.col("text")))
-        .withColumn("counts", token_counts(F.col("tokens")))
-    )
+    tokens = settle(settle(spread(concepts), text=text), tokens=tokenize(F.col("text")))
+    return settle(tokens, counts=token_counts(F.col("tokens")))
 
 
 def inventory(cards: DataFrame) -> DataFrame:
@@ -107,7 +105,12 @@ def prefix_weights(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def search_scores(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, path, score`` of every hit of every query."""
+    """``query_id, path, score`` of every hit of every query.
+
+    Postings are read twice, for their vocabulary and for the hits, so a
+    derived table of them is materialised first.
+    """
+    pairs = cut(pairs)
     asked = query_tokens(queries)
     weights = (
         exact_weights(asked)

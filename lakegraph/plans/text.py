@@ -65,12 +65,10 @@ SELECT doc_id, sha256({scrub_sql('text')}) AS scrubbed_hash, length({scrub_sql('
        {_labels_oracle('text')} AS labels FROM documents
 """)
 def p04(spark, sf):
-    docs = derive.table(spark, sf, "documents").select(
-        "doc_id", scrub.scrub(C("text")).alias("clean"), scrub.scrub_labels(C("text")).alias("labels")
-    )
-    return docs.select(
-        "doc_id", F.sha2("clean", 256).alias("scrubbed_hash"),
-        F.length("clean").cast("bigint").alias("scrubbed_length"), F.array_join("labels", ",").alias("labels"),
+    docs = text.spread(derive.table(spark, sf, "documents").select("doc_id", "text"))
+    return text.settle(docs, s=scrub.scrub_with_labels(C("text"))).select(
+        "doc_id", F.sha2("s.clean", 256).alias("scrubbed_hash"),
+        F.length("s.clean").cast("bigint").alias("scrubbed_length"), F.array_join("s.labels", ",").alias("labels"),
     )
 
 

@@ -57,11 +57,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that loops keep flat plans.
+    """Writes ``df`` as a table in the shared folder and reads it back.
 
-    A lost executor re-reads the checkpoint files; nothing is recomputed.
+    Loops keep flat plans, a lost executor costs a re-read instead of a
+    recomputation, and the optimizer sees the real size of the result.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

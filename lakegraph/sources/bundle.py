@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakegraph import model
 from lakegraph.functions.naming import stem_of
-from lakegraph.functions.text import bundle_hrefs, let
+from lakegraph.functions.text import bundle_hrefs, let, settle, spread
 
 _ENTRY = r"^([A-Za-z_][\w.-]*)\s*:(.*)$"
 _NULLS = ("null", "Null", "~", "")
@@ -86,7 +86,7 @@ def parse_header(raw: DataFrame) -> DataFrame:
     last = let(found, lambda es: F.filter(es, lambda e, i: ~F.exists(
         F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"]
     )))
-    parsed = _settled(_settled(raw, lines=lines), entries=last)
+    parsed = settle(settle(raw, lines=lines), entries=last)
 
     block = F.array_join(_entry("links", "block"), "\n")
     items = F.filter(F.split(block, r"(?m)^\s*-\s+"), lambda x: F.trim(x) != "")
@@ -105,7 +105,7 @@ def parse_header(raw: DataFrame) -> DataFrame:
         "entries",
         lambda e: (e["key"] != "links") & F.exists(e["block"], lambda l: ~l.rlike(r"^\s*-\s")),
     ) | (~F.element_at("lines", 1).rlike(_ENTRY))
-    return _settled(
+    return settle(
         parsed,
         links=F.coalesce(links, F.array().cast("array<struct<target:string,rel:string>>")),
         bad_links=F.coalesce(bad, F.lit(0)),
@@ -114,16 +114,6 @@ def parse_header(raw: DataFrame) -> DataFrame:
     ).drop("lines")
 
 
-def _settled(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that later filters and expressions read instead of recomputing.
-
-    A generator is a boundary the optimizer does not move filters or
-    expressions across.
-    """
-    fields = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(fields)))
-
-
 def _entry(key: str, part: str) -> Column:
     return F.get(F.filter("entries", lambda e: e["key"] == key), F.lit(0))[part]
 
@@ -154,14 +144,14 @@ def read_concepts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
 
 
 def parse_concepts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parsed = parse_header(split_header(files))
+    parsed = parse_header(split_header(spread(files)))
     errors = parsed.filter(F.col("header_error").isNotNull()).select("path", "header_error")
     extra = F.map_from_entries(F.transform(
         F.filter("entries", lambda e: ~e["key"].isin(*_CORE_KEYS)),
         lambda e: F.struct(e["key"], F.coalesce(
             unquote(e["value"]), F.when(F.size(e["block"]) > 0, F.array_join(e["block"], "\n")), F.lit(""))),
     ))
-    named = _settled(
+    named = settle(
         parsed.filter(F.col("header_error").isNull()),
         extra_fields=extra,
         tag_list=text_list("tags"),

@@ -99,16 +99,16 @@ FROM {{region}}
 """
 
 LINKS_SQL = f"""
-SELECT DISTINCT {_supplier_path('l_suppkey')} AS src, 'feeds' AS rel, {_part_path('l_partkey')} AS target
-FROM {{lineitem}}
+SELECT {_supplier_path('l_suppkey')} AS src, 'feeds' AS rel, {_part_path('l_partkey')} AS target
+FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {{lineitem}}) sp
 UNION ALL
-SELECT DISTINCT {_order_path('l_orderkey')}, 'reads_from',
+SELECT {_order_path('l_orderkey')}, 'reads_from',
        CASE WHEN l_orderkey % 53 = 0 THEN '/queries/retired-' || CAST(l_partkey AS STRING) || '.md'
             ELSE {_part_path('l_partkey')} END
-FROM {{lineitem}}
+FROM (SELECT DISTINCT l_orderkey, l_partkey FROM {{lineitem}}) op
 UNION ALL
-SELECT DISTINCT {_part_path('l_partkey')}, 'consumes_stream', {_supplier_path('l_suppkey')}
-FROM {{lineitem}} WHERE l_partkey % 5 = 3 AND (l_partkey + l_suppkey) % 40 = 0
+SELECT {_part_path('l_partkey')}, 'consumes_stream', {_supplier_path('l_suppkey')}
+FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {{lineitem}} WHERE l_partkey % 5 = 3 AND (l_partkey + l_suppkey) % 40 = 0) ps
 UNION ALL
 SELECT {_customer_path('o_custkey')}, CASE WHEN o_orderkey % 19 = 0 THEN 'related_to' ELSE 'derived_from' END,
        {_order_path('o_orderkey')}
