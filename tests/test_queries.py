@@ -5,7 +5,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from lakegraph.sources.derive import TABLES
-from tools.check import rows_of
+from tools.check import forbidden_nodes, rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +22,7 @@ def con():
 def test_matches_check_sql(spark, con, name):
     df = queries()[name](spark, SF)
     got = df.collect()
+    assert not forbidden_nodes(df)
     sql = oracle_sql().get(name)
     if sql is None:
         assert got
