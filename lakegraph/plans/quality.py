@@ -45,10 +45,9 @@ def a03(spark, sf):
 SELECT count(DISTINCT layer) AS layers, round(count(DISTINCT layer) / 3.0, 6) AS coverage FROM concepts WHERE layer IN ('bronze', 'silver', 'gold')
 """))
 def u03(spark, sf):
-    wanted = spark.createDataFrame([(m,) for m in model.MEDALLION], "layer string")
-    present = derive.concepts(spark, sf).select("layer").intersect(wanted)
+    present = derive.concepts(spark, sf).filter(C("layer").isin(*model.MEDALLION)).select("layer").distinct()
     return present.agg(
-        F.count(F.lit(1)).alias("layers"), F.round(F.count(F.lit(1)) / 3.0, 6).alias("coverage")
+        F.count(F.lit(1)).alias("layers"), F.round(F.count(F.lit(1)) / len(model.MEDALLION), 6).alias("coverage")
     )
 
 
