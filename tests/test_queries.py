@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from lakegraph.plans import ORACLES, QUERIES
 from lakegraph.sources.derive import TABLES
 from tools.check import forbidden_nodes, rows_of
 
@@ -18,12 +19,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_check_sql(spark, con, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = df.collect()
     assert not forbidden_nodes(df)
-    sql = oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert got
         return
