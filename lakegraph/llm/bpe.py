@@ -22,7 +22,7 @@ from lakegraph.llm.common import RaggedCache, in_parts, map_columns, sums_by
 #: Pieces of more bytes are merged one by one with a heap, in the same order.
 WIDEST = 256
 #: Characters of text that are encoded together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 _NO_RANK = np.iinfo(np.int32).max
 
 # The characters with Unicode's White_Space property.
@@ -204,8 +204,9 @@ _loaded: dict[int, Bpe] = {}
 
 def _load(key, tokens, pattern: str) -> Bpe:
     """One encoder per worker process and vocabulary."""
+    gc.collect()
+    gc.disable()  # the caches hold many objects and no cycles
     if key not in _loaded:
-        gc.disable()  # the caches hold many objects and no cycles
         _loaded.clear()
         _loaded[key] = Bpe(tokens.value, pattern)
     return _loaded[key]

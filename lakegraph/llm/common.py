@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts at just these bytes.
@@ -58,7 +59,7 @@ def map_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         types = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in _cut(whole, list(given))):
             if types is None:
                 types = arrow_types(fields)
             out = work(*(batch.column(n).to_pylist() for n in given))
@@ -71,6 +72,21 @@ def map_columns(
     return made.selectExpr(*(f"{n} AS {quoted(c)}" for n, c in named.items()), *(quoted(n) for n in names))
 
 
+#: Bytes of the first input column that one call of a mapping function gets; a longer value comes alone.
+CALL_BYTES = 4_000_000
+
+
+def _cut(batch: pa.RecordBatch, inputs: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``CALL_BYTES``, so that long texts don't add up in a worker."""
+    column = batch.column(inputs[0])
+    if not (pa.types.is_string(column.type) or pa.types.is_binary(column.type)) or column.nbytes <= CALL_BYTES:
+        yield batch
+        return
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for begin, end in in_parts(sizes, CALL_BYTES):
+        yield batch.slice(begin, end - begin)
+
+
 def arrow_types(fields: list[T.StructField]) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -91,7 +107,7 @@ class RaggedCache:
     anew when it holds ``limit`` keys, so its memory has a bound.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
