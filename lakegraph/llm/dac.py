@@ -172,8 +172,9 @@ _loaded: dict[str, WordIds] = {}
 
 def _word_ids(definition: str) -> WordIds:
     """One encoder per worker process and vocabulary."""
+    gc.collect()
+    gc.disable()  # the caches hold many objects and no cycles
     if definition not in _loaded:
-        gc.disable()  # the caches hold many objects and no cycles
         _loaded.clear()
         _loaded[definition] = WordIds(definition)
     return _loaded[definition]
@@ -245,7 +246,8 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[f.name for f in fields])
 
     found = segments.select("part", "segment", "doc_ids", "lengths", "codes").mapInArrow(run, T.StructType(fields))
-    return found.join(segment_starts(segments), ["part", "segment"]).select(
+    # Written first: its size is then known, so that a small one is sent along and the ids stay where they are.
+    return found.join(session.cut(segment_starts(segments)), ["part", "segment"]).select(
         "doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
