@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of the first input column that one call of a mapping function gets; a longer value comes alone.
+CALL_BYTES = 4_000_000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,6 +46,7 @@ def map_columns(
     make: Callable[[], Callable[..., dict[str, object]]],
     fields: list[T.StructField],
     keep: Iterable[str] | None = None,
+    call_bytes: int = CALL_BYTES,
 ) -> DataFrame:
     """Adds columns computed in Python, one Arrow batch at a time and without a shuffle.
 
@@ -59,7 +64,7 @@ def map_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         types = None
-        for batch in (part for whole in batches for part in _cut(whole, list(given))):
+        for batch in (part for whole in batches for part in _cut(whole, list(given)[0], call_bytes)):
             if types is None:
                 types = arrow_types(fields)
             out = work(*(batch.column(n).to_pylist() for n in given))
@@ -72,18 +77,14 @@ def map_columns(
     return made.selectExpr(*(f"{n} AS {quoted(c)}" for n, c in named.items()), *(quoted(n) for n in names))
 
 
-#: Bytes of the first input column that one call of a mapping function gets; a longer value comes alone.
-CALL_BYTES = 4_000_000
-
-
-def _cut(batch: pa.RecordBatch, inputs: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of about ``CALL_BYTES``, so that long texts don't add up in a worker."""
-    column = batch.column(inputs[0])
-    if not (pa.types.is_string(column.type) or pa.types.is_binary(column.type)) or column.nbytes <= CALL_BYTES:
+def _cut(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``most`` bytes of a column, so that long texts don't add up in a worker."""
+    column = batch.column(name)
+    if not (pa.types.is_string(column.type) or pa.types.is_binary(column.type)) or column.nbytes <= most:
         yield batch
         return
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-    for begin, end in in_parts(sizes, CALL_BYTES):
+    for begin, end in in_parts(sizes, most):
         yield batch.slice(begin, end - begin)
 
 

@@ -13,6 +13,7 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lakegraph.llm.common import map_columns, words_of
@@ -115,9 +116,9 @@ class Lexicon:
         """As :meth:`match`, for a word as it stands in a text; remembered for many words."""
         found = self.seen.get(raw)
         if found is None:
-            if len(self.seen) > 400_000:
+            if len(self.seen) > 200_000:
                 self.seen.clear()
-            if len(self.steps) > 400_000:
+            if len(self.steps) > 200_000:
                 self.steps.clear()
             found = self.seen[raw] = self.match(bare(raw))
         return found
@@ -205,28 +206,26 @@ def learn(
 
     def contexts():
         def work(texts):
-            out = []
+            terms, around, ends = [], [], [0]
             for t in texts:
-                words = words_of(t)
-                found = set()
-                names = [bare(w) for w in words]
+                names = [bare(w) for w in words_of(t)]
                 padded = ["", *names, ""]
+                found = set()
                 for i, w in enumerate(names):
                     if 3 <= len(w) <= 24 and w.isalpha():
-                        around = hash_of(padded[i], padded[i + 2])
-                        found.add((w, around))
-                        # A stem's contexts are its endings too.
-                        found.update((w[:n] + "*", around) for n in STEM_LENGTHS if len(w) > n)
-                out.append([{"term": a, "context": b} for a, b in found])
-            return {"found": out}
+                        context = zlib.crc32(f"{padded[i]} {padded[i + 2]}".encode())
+                        found.add((w, context))
+                        found.update((w[:n] + "*", context) for n in STEM_LENGTHS if len(w) > n)
+                terms += [a for a, _ in found]
+                around += [b for _, b in found]
+                ends.append(len(terms))
+            items = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(around, pa.int64())], names=["term", "context"])
+            return {"found": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)}
 
         return work
 
-    def hash_of(a: str, b: str) -> int:
-        return zlib.crc32(f"{a} {b}".encode())
-
     item = T.StructType([T.StructField("term", T.StringType()), T.StructField("context", T.LongType())])
-    found = map_columns(sample, ["text"], contexts, [T.StructField("found", T.ArrayType(item))], ["toxic"])
+    found = map_columns(sample, ["text"], contexts, [T.StructField("found", T.ArrayType(item))], ["toxic"], call_bytes=400_000)
     single = found.select("toxic", F.explode("found").alias("f")).select("f.term", "f.context", "toxic").distinct()
     counts = single.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
     counts = cut(counts)
@@ -255,7 +254,8 @@ def learn(
 
 def feature_maker(model: Model):
     def make():
-        gc.disable()
+        gc.collect()
+        gc.disable()  # the memory of words holds many objects and no cycles
         lexicon = model.lexicon()
         return lambda texts: {"x": [features(t, lexicon) for t in texts]}
 
