@@ -22,7 +22,9 @@ from lakegraph.llm.common import RaggedCache, in_parts, map_columns, sums_by
 #: Pieces of more bytes are merged one by one with a heap, in the same order.
 WIDEST = 256
 #: Characters of text that are encoded together.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
+#: Chunks, and pieces of chunks, that a worker remembers.
+CACHE = 120_000
 _NO_RANK = np.iinfo(np.int32).max
 
 # The characters with Unicode's White_Space property.
@@ -95,7 +97,7 @@ class Bpe:
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairTable(tokens)
         self.split = regex.compile(pattern).findall
-        self.chunks, self.pieces = RaggedCache(self._chunks), RaggedCache(self._pieces)
+        self.chunks, self.pieces = RaggedCache(self._chunks, CACHE), RaggedCache(self._pieces, CACHE)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         out: list = [None] * len(pieces)

@@ -30,6 +30,12 @@ def let_workers_import(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
 
 
+def prepare(spark: SparkSession) -> None:
+    """What the corpus jobs need of a session: workers that import this package, and small batches, as texts can be long."""
+    let_workers_import(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
@@ -72,6 +78,8 @@ def map_columns(
                 v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip((out[n] for n in names), types)
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[*named, *names])
+            del out, arrays
+            pa.default_memory_pool().release_unused()
 
     made = source.mapInArrow(run, schema)
     return made.selectExpr(*(f"{n} AS {quoted(c)}" for n, c in named.items()), *(quoted(n) for n in names))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakegraph.llm import boilerplate, bpe, dac, mixing, multi_index, prefix_tree, quality, ring, simhash, toxicity
-from lakegraph.llm.common import let_workers_import, read_table
+from lakegraph.llm.common import prepare, read_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            let_workers_import(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
