@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lakegraph.llm.common import in_parts, map_columns
+from lakegraph.llm.common import in_parts, lowest, map_columns
 
 # Elements that end a block, that never hold text, and that have no end tag.
 BLOCK_TAGS = frozenset(
@@ -309,8 +309,9 @@ def learn(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample
     article between parts of other kinds under many names, so that the labeller
     does not depend on that element.
     """
-    rows = pages.select(F.col(page_id).alias("i"), F.col(html).alias("h")).where("h IS NOT NULL").orderBy(
-        F.xxhash64("i"), F.xxhash64("h")).limit(sample).collect()
+    given = pages.select(F.col(page_id).alias("i"), F.col(html).alias("h")).where("h IS NOT NULL")
+    ids = given.agg(F.approx_count_distinct(F.xxhash64("i"))).first()[0]
+    rows = lowest(given, "i", sample, ids, F.xxhash64("h")).collect()
     known = [(b, weak_labels(b)) for b in (blocks_of(r.h) for r in rows) if b]
     labeller = Labeller()
     if not known:

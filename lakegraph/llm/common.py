@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts at just these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,20 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def lowest(rows: DataFrame, key: str, sample: int, keys: int, *ties: Column | str) -> DataFrame:
+    """At most ``sample`` rows: those of smallest hash of ``key``, equal ones by ``ties``.
+
+    Hashes are spread evenly, so of ``keys`` distinct keys about two samples lie below
+    a bound known in advance. Only rows below it are ordered: all tasks together
+    offer some two samples, where a bare limit lets each task offer a whole one.
+    """
+    hashed = F.xxhash64(key)
+    share = (2 * sample + 100) / max(1, keys)
+    if share < 1:
+        rows = rows.where(hashed < F.lit(min(2 ** 63 - 1, int(share * 2 ** 64) - 2 ** 63)))
+    return rows.orderBy(hashed, *ties).limit(sample)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lakegraph.llm.common import arrow_types, map_columns
+from lakegraph.llm.common import arrow_types, lowest, map_columns
 from lakegraph.session import cut
 
 #: Vectors, and queries, that one packed block holds.
@@ -48,7 +48,7 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(vectors: DataFrame, k: int = 32, sample: int = 20_000) -> list[np.ndarray]:
     """Centroids of both halves, from the ``sample`` vectors of smallest id hash."""
-    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
+    some = lowest(vectors, "vec_id", sample, vectors.count(), "vec_id").select("v").toPandas()
     if some.empty:
         return []
     rows = np.array(some["v"].tolist())

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lakegraph.llm.common import map_columns, words_of
+from lakegraph.llm.common import lowest, map_columns, words_of
 from lakegraph.session import cut
 
 _OPENING = "\"'“”„‘‚«»‹›"
@@ -178,12 +178,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, to
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(
         F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = cut(own)
-    order = [F.xxhash64("doc_id"), "doc_id"]
     chosen, sizes = [], dict(own.groupBy("toxic").count().collect())
     for label, most in ((1, toxic), (0, clean)):
         n = sizes.get(label, 0)
         if n:
-            chosen.append(own.where(F.col("toxic") == label).orderBy(*order).limit(most).withColumn("weight", F.lit(n / min(n, most))))
+            picked = lowest(own.where(F.col("toxic") == label), "doc_id", most, n, "doc_id")
+            chosen.append(picked.withColumn("weight", F.lit(n / min(n, most))))
     if not chosen:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, text string, toxic int, weight double")
     few = chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])

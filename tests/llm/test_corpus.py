@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from lakegraph.llm import boilerplate, bpe, dac, mixing, multi_index, prefix_tree, quality, ring, simhash, toxicity
-from lakegraph.llm.common import let_workers_import
+from lakegraph.llm.common import let_workers_import, lowest
 from lakegraph.llm.components import components
 from tools.check import rows_of
 
@@ -145,6 +145,14 @@ def test_longest_repeat_and_cover_are_limits(spark):
 
 # -- 3 ---------------------------------------------------------------------
 
+@pytest.mark.parametrize("keys", [0, 3000, 6000])
+def test_lowest_is_the_whole_order_by(spark, keys):
+    rows = spark.range(3000).selectExpr("IF(id = 7, NULL, id) AS id", "id % 3 AS tie")
+    whole = rows.orderBy(F.xxhash64("id"), "tie").limit(40).collect()
+    assert lowest(rows, "id", 40, keys, "tie").collect() == whole
+    assert lowest(rows.limit(0), "id", 40, 0, "tie").count() == 0
+
+
 def test_multi_index_recall_and_order(spark):
     let_workers_import(spark)
     rng = np.random.default_rng(0)
