@@ -69,15 +69,19 @@ FORWARD_FLOW = ("feeds", "transforms_to", "writes_to", "promotes_to", "lands_as"
 # ... and from the target back to the owner.
 REVERSE_FLOW = ("reads_from", "queries", "sourced_from", "derived_from", "visualizes", "consumes_stream")
 
-# Links written back on the target of a link.
-INVERSE_RELATIONS = {
-    "derived_from": "businessizes",
-    "validates": "validated_by",
-    "documents": "documented_by",
-    "wireframes": "has_wireframe",
-    "ingests_from": "ingested_by",
-    "lands_as": "sourced_from",
-}
+# Links written back on the target of a link: owner's type, its relation, the relation written back.
+INVERSE_RELATIONS = (
+    ("BusinessObject", "derived_from", "businessizes"),
+    ("BusinessObject", "glosses", "glosses"),
+    ("Table", "contains", "defines"),
+    ("DQRule", "validates", "validated_by"),
+    ("Diagram", "documents", "documented_by"),
+    ("Wireframe", "wireframes", "has_wireframe"),
+    ("Stream", "lands_as", "sourced_from"),
+    ("IngestionJob", "ingests_from", "ingested_by"),
+    ("IngestionJob", "lands_as", "sourced_from"),
+    ("IngestionJob", "lands_as", "ingested_by"),
+)
 
 MEDALLION = ("bronze", "silver", "gold")
 PROMOTION_ORDER = ("raw", "bronze", "silver", "gold")

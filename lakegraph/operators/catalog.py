@@ -108,12 +108,22 @@ def merge_links(links: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def inverse_links(links: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Links to write back on targets, only on assets that exist."""
-    pairs = F.create_map(*[F.lit(x) for kv in model.INVERSE_RELATIONS.items() for x in kv])
-    back = links.filter(F.col("rel").isin(*model.INVERSE_RELATIONS)).select(
-        F.col("target").alias("src"), pairs[F.col("rel")].alias("rel"), F.col("src").alias("target")
+    """Links to write back on targets, only on assets that exist.
+
+    What is written back depends on the type of the link's owner: a business
+    object derived from a table marks the table, a metric derived from it does not.
+    """
+    back = F.array_compact(F.array(*[
+        F.when((F.col("type") == type_) & (F.col("rel") == rel), F.lit(inverse))
+        for type_, rel, inverse in model.INVERSE_RELATIONS
+    ]))
+    owners = concepts.filter(F.col("type").isin(*{t for t, _, _ in model.INVERSE_RELATIONS})).select(
+        F.col("path").alias("src"), "type")
+    named = links.filter(F.col("rel").isin(*{r for _, r, _ in model.INVERSE_RELATIONS})).join(owners, "src")
+    written = named.select(
+        F.col("target").alias("src"), F.explode(back).alias("rel"), F.col("src").alias("target")
     ).distinct()
-    return back.join(concepts.select(F.col("path").alias("src")), "src", "left_semi").select("src", "rel", "target")
+    return written.join(concepts.select(F.col("path").alias("src")), "src", "left_semi").select("src", "rel", "target")
 
 
 def promotions(tables: DataFrame) -> DataFrame:

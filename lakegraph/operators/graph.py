@@ -10,6 +10,7 @@ through a shuffle join, where adaptive execution splits hub nodes.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -56,8 +57,8 @@ def _step(frontier: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
     return edges.join(side.withColumnRenamed("node", "src"), "src")
 
 
-def _levels(edges: DataFrame, starts: DataFrame, hops: int, parents: bool, wanted: DataFrame | None = None):
-    """Materialised frames ``start, node, depth[, parent]``, one per depth.
+def _levels(edges: DataFrame, starts: DataFrame, hops: int | None, parents: bool, wanted: DataFrame | None = None):
+    """Materialised frames ``start, node, depth[, parent]``, one per depth; without ``hops`` until nothing new is reached.
 
     ``edges`` are read once per level, so callers materialise them first.
     """
@@ -69,7 +70,7 @@ def _levels(edges: DataFrame, starts: DataFrame, hops: int, parents: bool, wante
     level = cut(level)
     levels = [level]
     open_pairs = wanted
-    for depth in range(1, hops + 1):
+    for depth in count(1) if hops is None else range(1, hops + 1):
         rows = level.count()
         if rows == 0:
             break
@@ -90,7 +91,7 @@ def _levels(edges: DataFrame, starts: DataFrame, hops: int, parents: bool, wante
     return levels
 
 
-def reach(edges: DataFrame, starts: DataFrame, hops: int = 5, *, parents: bool = False) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, hops: int | None = 5, *, parents: bool = False) -> DataFrame:
     """``start, node, depth`` of everything downstream of each start, the start included.
 
     ``depth`` is the smallest hop count.  ``parents`` adds the smallest node
@@ -99,19 +100,19 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int = 5, *, parents: bool =
     return _reach(cut(edges.select("src", "dst")), starts, hops, parents)
 
 
-def _reach(edges: DataFrame, starts: DataFrame, hops: int, parents: bool = False) -> DataFrame:
+def _reach(edges: DataFrame, starts: DataFrame, hops: int | None, parents: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, _levels(edges, starts, hops, parents))
 
 
-def downstream(edges: DataFrame, starts: DataFrame, hops: int = 5) -> DataFrame:
+def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 5) -> DataFrame:
     return reach(edges, starts, hops)
 
 
-def upstream(edges: DataFrame, starts: DataFrame, hops: int = 5) -> DataFrame:
+def upstream(edges: DataFrame, starts: DataFrame, hops: int | None = 5) -> DataFrame:
     return reach(reverse(edges), starts, hops)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = 8) -> DataFrame:
     """``start, goal, position, node`` of one shortest path per connected ``start, goal`` pair.
 
     Among equally short paths the one with the smallest predecessors wins.
@@ -137,7 +138,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> Dat
     return reduce(DataFrame.unionByName, steps).drop("parent")
 
 
-def materialized_lineage(edges: DataFrame, hops: int = 6) -> DataFrame:
+def materialized_lineage(edges: DataFrame, hops: int | None = 6) -> DataFrame:
     """``root, node, depth, parent`` below every root; only edges that exist."""
     edges = cut(edges.select("src", "dst").distinct())
     return _reach(edges, roots(edges), hops, True).withColumnRenamed("start", "root")
@@ -156,13 +157,13 @@ def lineage_paths(lineage: DataFrame) -> DataFrame:
     )
 
 
-def unrooted_nodes(edges: DataFrame, hops: int = 6) -> DataFrame:
-    """Nodes no root reaches within ``hops``: members of pure cycles and what hangs off them."""
+def unrooted_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes no root reaches, however far: members of pure cycles and what only they reach."""
     edges = cut(edges.select("src", "dst").distinct())
     tops = roots(edges)
     # All roots share one start, so the state is one row per node.
     shared = tops.select(F.lit("").alias("start"), "node")
-    covered = _reach(edges, shared, hops).select("node")
+    covered = _reach(edges, shared, None).select("node")
     return nodes(edges).join(covered, "node", "left_anti")
 
 

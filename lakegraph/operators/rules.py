@@ -81,20 +81,20 @@ def quarantine(rows: DataFrame, predicates: dict[str, Column]) -> tuple[DataFram
 def check_contracts(contracts: DataFrame, verdicts: DataFrame, freshness: DataFrame | None = None) -> DataFrame:
     """``contract, rules, failed, passed``: every rule of a contract passed and its job is in time.
 
-    A rule nobody evaluated counts as failed.  ``contracts`` has ``contract,
-    quality_rules`` and, for a freshness clause, ``job``.
+    A rule nobody evaluated counts as failed, and so does a job without a
+    freshness row. A contract without rules has none that fail, one without a
+    ``job`` no limit to miss.
     """
-    asked = contracts.select("contract", F.explode("quality_rules").alias("rule"))
+    asked = contracts.select("contract", F.explode_outer("quality_rules").alias("rule"))
     judged = asked.join(verdicts.select("rule", "passed"), "rule", "left").groupBy("contract").agg(
-        F.count(F.lit(1)).alias("rules"),
-        F.count_if(~F.coalesce("passed", F.lit(False))).alias("failed"),
+        F.count("rule").alias("rules"),
+        F.count_if(F.col("rule").isNotNull() & ~F.coalesce("passed", F.lit(False))).alias("failed"),
     )
     result = judged.withColumn("passed", F.col("failed") == 0)
     if freshness is not None:
-        late = contracts.select("contract", "job").join(freshness.select("job", "in_time"), "job", "left")
-        result = result.join(late.select("contract", "in_time"), "contract").withColumn(
-            "passed", F.col("passed") & F.coalesce("in_time", F.lit(False))
-        ).drop("in_time")
+        timely = contracts.select("contract", "job").join(freshness.select("job", "in_time"), "job", "left").select(
+            "contract", F.coalesce("in_time", F.col("job").isNull()).alias("in_time"))
+        result = result.join(timely, "contract").withColumn("passed", F.col("passed") & F.col("in_time")).drop("in_time")
     return result
 
 

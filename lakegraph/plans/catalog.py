@@ -70,10 +70,10 @@ def k08(spark, sf):
 
 
 @query("k09_link_merge", with_parts("concepts links", f"""
-WITH pairs(rel, back) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in model.INVERSE_RELATIONS.items())}),
+WITH pairs(type, rel, back) AS (VALUES {', '.join(str(row) for row in model.INVERSE_RELATIONS)}),
 added AS (
-  SELECT l.target AS src, p.back AS rel, l.src AS target FROM links l JOIN pairs p ON p.rel = l.rel
-  WHERE l.target IN (SELECT path FROM concepts)
+  SELECT l.target AS src, p.back AS rel, l.src AS target FROM links l JOIN concepts o ON o.path = l.src
+  JOIN pairs p ON p.rel = l.rel AND p.type = o.type WHERE l.target IN (SELECT path FROM concepts)
   UNION SELECT src, rel, target FROM links WHERE rel = 'visualizes'
 )
 SELECT rel, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT target) AS targets FROM (
@@ -88,11 +88,21 @@ def k09(spark, sf):
     )
 
 
-@query("k09_inverse_links", with_parts("concepts links", """
+# Part assets of all types land as order tables; of these only ingestion jobs write back.
+_LANDINGS = (
+    f"SELECT DISTINCT {derive._part_path('l_partkey')} AS src, 'lands_as' AS rel, {derive._order_path('l_orderkey')} AS target FROM {{lineitem}}"
+)
+
+
+@query("k09_inverse_links", with_parts("concepts links", f"""
 SELECT target AS src, 'businessizes' AS rel, src AS target FROM links WHERE rel = 'derived_from' AND target IN (SELECT path FROM concepts)
+UNION
+SELECT target, b.back, src FROM ({derive.for_engine(_LANDINGS)}) l, (VALUES ('sourced_from'), ('ingested_by')) AS b(back)
+WHERE starts_with(src, '/ingestion/') AND target IN (SELECT path FROM concepts) AND src IN (SELECT path FROM concepts)
 """))
 def k09_inverse(spark, sf):
-    return catalog.inverse_links(derive.links(spark, sf), derive.concepts(spark, sf))
+    links = derive.links(spark, sf).unionByName(derive._run(spark, sf, _LANDINGS))
+    return catalog.inverse_links(links, derive.concepts(spark, sf))
 
 
 @query("v09_business_promotion", with_parts("concepts links", f"""
@@ -104,8 +114,7 @@ named AS (
 SELECT path AS source, name, '/business-objects/' || {slug_sql('name')} || '.md' AS object_path, '/glossary/' || {slug_sql('name')} || '.md' AS term_path,
        sha256(CASE WHEN coalesce(description, '') <> '' AND NOT starts_with(lower(description), 'table ') AND NOT starts_with(lower(description), 'referenced')
          THEN {strip_sql('description')}
-         ELSE coalesce({_PROSE}, '**' || name || '** is a business entity materialized from the ' || coalesce(layer, 'curated')
-         || ' data layer. It represents the canonical business meaning of the technical asset `' || coalesce(fqn, title, name) || '`.') END) AS definition_hash
+         ELSE coalesce({_PROSE}, '**' || name || '**: the business view of `' || coalesce(fqn, title, name) || '`, kept in the ' || coalesce(layer, 'curated') || ' layer.') END) AS definition_hash
 FROM named
 """))
 def v09(spark, sf):

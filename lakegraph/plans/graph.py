@@ -73,12 +73,12 @@ def g02(spark, sf):
 
 
 @query("g02_downstream_cyclic", with_parts("concepts cycle_links cycle_edges", f"""
-WITH {_reach_sql("SELECT path AS node FROM concepts WHERE type = 'Dashboard'", 3, 'cycle_edges')}
+WITH {_reach_sql("SELECT path AS node FROM concepts WHERE type = 'Dashboard'", 5, 'cycle_edges')}
 SELECT start, depth, count(*) AS n FROM reached GROUP BY ALL
 """))
 def g02_cyclic(spark, sf):
     dashboards = derive.concepts(spark, sf).filter(C("type") == "Dashboard").select(C("path").alias("node"))
-    reached = graph.downstream(_edges(spark, sf, cyclic=True), dashboards, hops=3)
+    reached = graph.downstream(_edges(spark, sf, cyclic=True), dashboards)
     return _long_depth(reached.groupBy("start", "depth").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -141,14 +141,35 @@ def g06(spark, sf):
     return paths.withColumn("hop_count", C("hop_count").cast("bigint"))
 
 
-@query("g06_unrooted_nodes", with_parts("cycle_links cycle_edges", """
-WITH tops AS (SELECT DISTINCT src AS node FROM cycle_edges WHERE src NOT IN (SELECT dst FROM cycle_edges)),
-near AS (SELECT node FROM tops UNION SELECT e.dst FROM tops JOIN cycle_edges e ON e.src = tops.node)
-SELECT node FROM (SELECT src AS node FROM cycle_edges UNION SELECT dst FROM cycle_edges) n WHERE node NOT IN (SELECT node FROM near)
-"""))
+@query("g06_unrooted_nodes", """
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT 'region-' || CAST(n_regionkey AS VARCHAR) AS src, 'nation-' || CAST(n_nationkey AS VARCHAR) AS dst FROM nation WHERE n_nationkey % 2 = 0
+  UNION SELECT 'nation-' || CAST(s_nationkey AS VARCHAR), 'supplier-' || CAST(s_suppkey AS VARCHAR) FROM supplier
+  UNION SELECT 'supplier-' || CAST(s_suppkey AS VARCHAR), 'nation-' || CAST(s_nationkey AS VARCHAR) FROM supplier
+  UNION SELECT 'nation-' || CAST(c_nationkey AS VARCHAR), 'customer-' || CAST(c_custkey AS VARCHAR) FROM customer
+  UNION SELECT 'customer-' || CAST(o_custkey AS VARCHAR), 'order-' || CAST(o_orderkey AS VARCHAR) FROM orders
+  UNION SELECT 'order-' || CAST(l_orderkey AS VARCHAR), 'line-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) FROM lineitem
+), covered(node) AS (
+  SELECT DISTINCT src FROM e WHERE src NOT IN (SELECT dst FROM e)
+  UNION SELECT e.dst FROM covered JOIN e ON e.src = covered.node
+)
+SELECT node FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) n WHERE node NOT IN (SELECT node FROM covered)
+""")
 def g06_unrooted(spark, sf):
-    """Nodes of the looped graph more than one hop below any root."""
-    return graph.unrooted_nodes(_edges(spark, sf, cyclic=True), hops=1)
+    """Only even nations hang off a region; the others form loops with their suppliers, from which customers, orders and lines follow."""
+    name = lambda kind, *keys: F.concat_ws("-", F.lit(kind), *[C(k).cast("string") for k in keys])
+    hops = [
+        ("nation", name("region", "n_regionkey"), name("nation", "n_nationkey"), C("n_nationkey") % 2 == 0),
+        ("supplier", name("nation", "s_nationkey"), name("supplier", "s_suppkey"), F.lit(True)),
+        ("supplier", name("supplier", "s_suppkey"), name("nation", "s_nationkey"), F.lit(True)),
+        ("customer", name("nation", "c_nationkey"), name("customer", "c_custkey"), F.lit(True)),
+        ("orders", name("customer", "o_custkey"), name("order", "o_orderkey"), F.lit(True)),
+        ("lineitem", name("order", "l_orderkey"), name("line", "l_orderkey", "l_linenumber"), F.lit(True)),
+    ]
+    edges = graph.union_edges(*[
+        derive.table(spark, sf, t).filter(kept).select(src.alias("src"), dst.alias("dst")) for t, src, dst, kept in hops
+    ])
+    return graph.unrooted_nodes(edges)
 
 
 _AROUND = f"""
@@ -223,23 +244,23 @@ def g09(spark, sf):
 
 
 @query("w05_hop_pairs", """
-WITH p AS (SELECT l_orderkey AS k, min(l_suppkey) AS s, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey)
-SELECT k AS path_id, CAST(3 AS BIGINT) AS hop_count, position, src, dst FROM (
+WITH p AS (
+  SELECT l_orderkey * 10 + l_linenumber AS k, l_suppkey AS s, l_partkey AS p, l_orderkey AS o, o_custkey AS c
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT CAST(k AS BIGINT) AS path_id, CAST(3 AS BIGINT) AS hop_count, position, src, dst FROM (
   SELECT k, CAST(1 AS BIGINT) AS position, 'supplier-' || CAST(s AS VARCHAR) AS src, 'part-' || CAST(p AS VARCHAR) AS dst FROM p
-  UNION ALL SELECT k, 2, 'part-' || CAST(p AS VARCHAR), 'order-' || CAST(k AS VARCHAR) FROM p
-  UNION ALL SELECT k, 3, 'order-' || CAST(k AS VARCHAR), 'customer-' || CAST(o_custkey AS VARCHAR) FROM p JOIN orders ON o_orderkey = k
-) x WHERE k IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT k, 2, 'part-' || CAST(p AS VARCHAR), 'order-' || CAST(o AS VARCHAR) FROM p
+  UNION ALL SELECT k, 3, 'order-' || CAST(o AS VARCHAR), 'customer-' || CAST(c AS VARCHAR) FROM p
+) x
 """)
 def w05(spark, sf):
-    """The path supplier, part, order, customer of every order as hops."""
-    ends = derive.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p")
-    )
+    """The path supplier, part, order, customer of every order line as hops."""
+    lines = derive.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     orders = derive.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     name = lambda kind, c: F.concat(F.lit(f"{kind}-"), C(c).cast("string"))
-    paths = ends.join(orders, C("l_orderkey") == C("o_orderkey")).select(
-        C("o_orderkey").alias("path_id"),
-        F.array(name("supplier", "s"), name("part", "p"), name("order", "o_orderkey"), name("customer", "o_custkey")).alias("nodes"),
+    paths = lines.join(orders, C("l_orderkey") == C("o_orderkey")).select(
+        (C("l_orderkey") * 10 + C("l_linenumber")).cast("bigint").alias("path_id"),
+        F.array(name("supplier", "l_suppkey"), name("part", "l_partkey"), name("order", "o_orderkey"), name("customer", "o_custkey")).alias("nodes"),
     )
     return graph.hop_pairs(paths)
 

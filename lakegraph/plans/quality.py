@@ -149,7 +149,7 @@ parts AS (
 ), scores AS (
   SELECT *,
     round(0.35 * (tables > 0)::INT + 0.25 * least(1, n / 3.0) + 0.20 * (CASE WHEN ok THEN 1 ELSE 0.35 END)
-      + 0.20 * greatest(0, round(1 - least(orphans, 20) / greatest(tables, 1), 3)), 3) AS structural_coverage,
+      + 0.20 * greatest(0, round(1 - orphans / greatest(tables, 1), 3)), 3) AS structural_coverage,
     round(least(1, round(0.45 + least(edges / greatest(tables, 1), 2) * 0.25, 3) + (CASE WHEN ok THEN 0.1 ELSE 0 END)), 3) AS lineage_integrity,
     round(0.4 * (linked / streams) + 0.3 * (CASE WHEN workflows > 0 THEN 1 ELSE 0.6 END) + 0.3 * (CASE WHEN bronze > 0 THEN 1 ELSE 0.4 END), 3) AS stream_job_landing,
     round(round(0.55 * least(1, objects / gold) + 0.25 * least(1, terms / objects) + 0.20 * least(1, round(objects / tables, 2)), 3)
@@ -159,7 +159,7 @@ parts AS (
   FROM parts
 ), resisted AS (
   SELECT *, least(CASE WHEN hard_fail_count > 0 THEN 0.4 ELSE 1 END,
-    greatest(0, round(1 - 0.15 * (hard_fail_count + vacuous + least(errors, 10)), 3))) AS adversarial_resistance FROM scores
+    greatest(0, round(1 - 0.15 * (hard_fail_count + vacuous + errors), 3))) AS adversarial_resistance FROM scores
 ), total AS (
   SELECT *, round(0.2 * structural_coverage + 0.25 * lineage_integrity + 0.15 * stream_job_landing + 0.15 * business_fidelity
     + 0.15 * evidence_traceability + 0.1 * adversarial_resistance, 3) AS score FROM resisted

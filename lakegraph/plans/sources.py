@@ -82,24 +82,20 @@ def s02(spark, sf):
 
 
 @query("s03_link_explode", """
-SELECT CAST(l_orderkey AS BIGINT) AS order_id, pos, target, rel FROM (
-  SELECT l_orderkey, CAST(0 AS BIGINT) AS pos, '/queries/part-' || CAST(min(l_partkey) AS VARCHAR) || '.md' AS target, 'reads_from' AS rel FROM lineitem GROUP BY l_orderkey
-  UNION ALL
-  SELECT l_orderkey, 1, '/queries/part-' || CAST(max(l_partkey) AS VARCHAR) || '.md', 'depends_on' FROM lineitem GROUP BY l_orderkey
-) x
+SELECT CAST(l_orderkey AS BIGINT) AS order_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos,
+       '/queries/part-' || CAST(l_partkey AS VARCHAR) || '.md' AS target, CASE WHEN l_linenumber % 2 = 1 THEN 'reads_from' ELSE 'depends_on' END AS rel
+FROM lineitem
 """)
 def s03(spark, sf):
-    ends = derive.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi")
-    )
-    target = lambda c: F.concat(F.lit("/queries/part-"), C(c).cast("string"), F.lit(".md")).alias("target")
-    nested = ends.select(
-        C("l_orderkey").alias("path"),
-        F.array(F.struct(target("lo"), F.lit("reads_from").alias("rel")),
-                F.struct(target("hi"), F.lit("depends_on").alias("rel"))).alias("links"),
-    )
+    """All lines of every order as links."""
+    link = F.struct("l_linenumber", "l_partkey")
+    ordered = derive.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(link)).alias("lines"))
+    nested = ordered.select(C("l_orderkey").alias("path"), F.transform("lines", lambda l: F.struct(
+        F.concat(F.lit("/queries/part-"), l["l_partkey"].cast("string"), F.lit(".md")).alias("target"),
+        F.when(l["l_linenumber"] % 2 == 1, "reads_from").otherwise("depends_on").alias("rel"),
+    )).alias("links"))
     return bundle.explode_links(nested).select(
-        C("src").alias("order_id"), C("pos").cast("bigint").alias("pos"), "target", "rel"
+        C("src").cast("bigint").alias("order_id"), C("pos").cast("bigint").alias("pos"), "target", "rel"
     )
 
 
@@ -142,10 +138,25 @@ def s06(spark, sf):
     )
 
 
-@query("s07_parquet_datasets")
+# Dataset folders and the table each holds; names that start with an underscore are no datasets.
+_DATASETS = {"gold/nation": "nation", "staging/erp/region": "region", "raw/supplier": "supplier", "misc/part": "part", "gold/_tmp": "region"}
+
+
+@query("s07_parquet_datasets", """
+SELECT '/gold/nation' AS folder, 'nation' AS name, 'gold' AS layer, count(*) AS n FROM nation
+UNION ALL SELECT '/staging/erp/region', 'region', 'bronze', count(*) FROM region
+UNION ALL SELECT '/raw/supplier', 'supplier', 'raw', count(*) FROM supplier
+UNION ALL SELECT '/misc/part', 'part', 'silver', count(*) FROM part
+""")
 def s07(spark, sf):
-    """Dataset folders below the data folder (a file listing; depends on where the data lies)."""
-    return lake.parquet_datasets(spark, sf)
+    """Tables written below a lake folder, listed as datasets and counted from the listed folders."""
+    root = scratch_path(spark, "lake")
+    for folder, table in _DATASETS.items():
+        derive.table(spark, sf, table).write.parquet(f"{root}/{folder}")
+    rows = spark.read.option("recursiveFileLookup", True).schema("n int").parquet(root).select(
+        F.regexp_replace(bundle.relative_path(C("_metadata.file_path"), root), r"/[^/]*$", "").alias("folder"))
+    counted = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    return lake.parquet_datasets(spark, root).join(counted, "folder").select("folder", "name", "layer", "n")
 
 
 _TABLE_COLUMNS = {

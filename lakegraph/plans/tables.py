@@ -134,16 +134,18 @@ def v08(spark, sf):
 
 
 CONTRACTS = [("sales", ["orders-priced", "orders-keyed"], "purchase"), ("lines", ["lines-keyed"], "view"),
-             ("activity", ["events-typed", "events-fresh"], "error"), ("unknown", ["events-typed", "never-written"], "view")]
+             ("activity", ["events-typed", "events-fresh"], "error"), ("unknown", ["events-typed", "never-written"], "view"),
+             ("unlimited", ["orders-keyed"], None), ("ruleless", [], "purchase"), ("bare", None, None)]
 
 
 @query("v07_contract_check", f"""
 WITH {_VERDICTS}, {_FRESHNESS}, contracts(contract, rules, job) AS (
   VALUES ('sales', ['orders-priced', 'orders-keyed'], 'purchase'), ('lines', ['lines-keyed'], 'view'),
-         ('activity', ['events-typed', 'events-fresh'], 'error'), ('unknown', ['events-typed', 'never-written'], 'view')
-), asked AS (SELECT contract, job, unnest(rules) AS rule FROM contracts),
+         ('activity', ['events-typed', 'events-fresh'], 'error'), ('unknown', ['events-typed', 'never-written'], 'view'),
+         ('unlimited', ['orders-keyed'], NULL), ('ruleless', [], 'purchase'), ('bare', NULL, NULL)
+), asked AS (SELECT contract, job, unnest(CASE WHEN len(rules) > 0 THEN rules ELSE [NULL] END) AS rule FROM contracts),
 judged AS (
-  SELECT contract, job, count(*) AS rules, count(*) FILTER (NOT coalesce(passed, false)) AS failed
+  SELECT contract, job, count(rule) AS rules, count(*) FILTER (rule IS NOT NULL AND NOT coalesce(passed, false)) AS failed
   FROM asked LEFT JOIN verdicts USING (rule) GROUP BY ALL
 )
 SELECT contract, rules, failed, failed = 0 AND coalesce(age_minutes <= sla_minutes, sla_minutes IS NULL) AS passed

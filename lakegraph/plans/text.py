@@ -41,7 +41,7 @@ def p02(spark, sf):
         "path",
         naming.path_for_type(C("type"), text.slugify(title)).alias("by_type"),
         naming.concept_ref(title).alias("by_name"),
-        naming.concept_ref(F.substring("path", 2, 1000)).alias("by_relative_path"),
+        naming.concept_ref(F.substr("path", F.lit(2))).alias("by_relative_path"),
         naming.concept_ref(C("path")).alias("by_path"),
         naming.concept_ref(F.concat("stem", F.lit(".md"))).alias("by_file"),
     )
@@ -161,8 +161,7 @@ _PROSE = (
 SELECT path, sha256(CASE
   WHEN coalesce(description, '') <> '' AND NOT starts_with(lower(description), 'table ') AND NOT starts_with(lower(description), 'referenced')
     THEN {strip_sql('description')}
-  ELSE coalesce({_PROSE}, '**' || name || '** is a business entity materialized from the ' || coalesce(layer, 'curated')
-    || ' data layer. It represents the canonical business meaning of the technical asset `' || coalesce(fqn, title, name) || '`.')
+  ELSE coalesce({_PROSE}, '**' || name || '**: the business view of `' || coalesce(fqn, title, name) || '`, kept in the ' || coalesce(layer, 'curated') || ' layer.')
   END) AS definition_hash
 FROM (SELECT *, {_human_sql('coalesce(title, stem)')} AS name FROM concepts) c
 """))

@@ -29,11 +29,15 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*.md", *, streaming:
 
 
 def relative_path(file_path: Column, root: str) -> Column:
-    """Path below ``root`` from the percent-encoded URI a scan reports."""
+    """Path below ``root`` from the percent-encoded URI a scan reports.
+
+    The folder is looked for once, from the left, so a path that repeats it further down keeps its whole tail.
+    """
     folder = root.split("://", 1)[-1].rstrip("/")
     folder = folder.split(":", 1)[-1] if folder.startswith("file:") else folder
     decoded = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
-    return F.concat(F.lit("/"), F.ltrim(F.substring_index(decoded, folder + "/", -1), F.lit("/")))
+    return F.concat(F.lit("/"), F.ltrim(
+        F.substr(decoded, F.instr(decoded, folder + "/") + len(folder) + 1), F.lit("/")))
 
 
 def is_asset_file(path: Column) -> Column:
@@ -137,6 +141,31 @@ _CORE_STRINGS = ("type", "title", "description", "layer", "status", "wiki_key",
 _CORE_KEYS = _CORE_STRINGS + ("verified", "generated", "tags", "links")
 
 
+def _typed_fields() -> dict[str, Column]:
+    """Columns that the operators read, from the keys an asset file may spell them with, first come first."""
+    spelled = {"kind": ("source_kind", "kind"), "mode": ("ingestion_mode", "mode"), "fqn": ("fqn",), "uri": ("uri",),
+               "source": ("source",), "name": ("name",)}
+    return {name: F.coalesce(*[F.nullif(F.col("extra_fields")[k], F.lit("")) for k in keys]) for name, keys in spelled.items()}
+
+
+def _text_of(entry: Column) -> Column:
+    """Value as text; the lines of a list joined."""
+    return F.coalesce(unquote(entry["value"]), F.when(F.size(entry["block"]) > 0, F.array_join(entry["block"], "\n")))
+
+
+def _kind_of(entry: Column) -> Column:
+    """How a value was written: string, number, integer, boolean or array; NULL for nothing or a null word."""
+    value = entry["value"]
+    listed = value.startswith("[") | ((value == "") & (F.size(entry["block"]) > 0))
+    return (
+        F.when(listed, F.lit("array")).when(value.isin(*_NULLS), F.lit(None).cast("string"))
+        .when(F.lower(value).isin("true", "false"), F.lit("boolean"))
+        .when(value.rlike(r"^[-+]?[0-9]+$"), F.lit("integer"))
+        .when(value.rlike(r"^[-+]?(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"), F.lit("number"))
+        .otherwise(F.lit("string"))
+    )
+
+
 def read_concepts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """``(concepts, errors)`` of an asset folder; catalog listings are not assets."""
     files = scan_files(spark, root).filter(is_asset_file(F.col("path")))
@@ -166,7 +195,11 @@ def parse_concepts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("tag_list").alias("tags"),
         "links",
         "bad_links",
+        *[field.alias(name) for name, field in _typed_fields().items()],
         F.transform("entries", lambda e: e["key"]).alias("keys"),
+        F.map_from_entries(F.transform("entries", lambda e: F.struct(e["key"], _text_of(e)))).alias("fields"),
+        F.map_from_entries(F.transform("entries", lambda e: F.struct(e["key"], _kind_of(e)))).alias("kinds"),
+        F.size(F.filter("links", lambda l: F.coalesce(l["target"], F.lit("")) == "")).alias("untargeted_links"),
         F.col("extra_fields").alias("extra"),
         "body",
     )

@@ -135,10 +135,11 @@ FROM {{supplier}}
 
 STATEMENTS_SQL = """
 WITH used AS (
-  SELECT l_orderkey, min(l_partkey) AS lo, max(l_partkey) AS hi FROM {lineitem} GROUP BY l_orderkey
+  SELECT l_orderkey, array_sort(array_agg(DISTINCT 'bronze.part_' || CAST(l_partkey AS STRING))) AS parts
+  FROM {lineitem} GROUP BY l_orderkey
 ), named AS (
   SELECT o_orderkey AS k, CAST(o_orderkey AS STRING) AS id, 'silver.cust_' || CAST(o_custkey AS STRING) AS cust,
-         'bronze.part_' || CAST(lo AS STRING) AS p1, 'bronze.part_' || CAST(hi AS STRING) AS p2
+         {joined}(parts, ' CROSS JOIN ') AS parts
   FROM {orders} JOIN used ON l_orderkey = o_orderkey
 )
 SELECT CASE k % 5 WHEN 0 THEN 'gold/marts/' WHEN 1 THEN 'silver/sales/' WHEN 2 THEN 'staging/'
@@ -146,14 +147,14 @@ SELECT CASE k % 5 WHEN 0 THEN 'gold/marts/' WHEN 1 THEN 'silver/sales/' WHEN 2 T
        'order_' || id AS stem,
        CASE k % 4 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' WHEN 2 THEN 'bronze' ELSE NULL END AS declared_layer,
        CASE k % 8
-         WHEN 0 THEN 'CREATE OR REPLACE TABLE gold.order_' || id || ' AS SELECT * FROM ' || cust || ' JOIN ' || p1 || ' ON true'
-         WHEN 1 THEN 'INSERT INTO gold.order_' || id || ' SELECT c.* FROM ' || cust || ' c LEFT JOIN ' || p2 || ' p ON c.k = p.k'
-         WHEN 2 THEN 'MERGE INTO gold.order_' || id || ' t USING (SELECT * FROM ' || p1 || ') s ON t.k = s.k'
+         WHEN 0 THEN 'CREATE OR REPLACE TABLE gold.order_' || id || ' AS SELECT * FROM ' || cust || ' CROSS JOIN ' || parts
+         WHEN 1 THEN 'INSERT INTO gold.order_' || id || ' SELECT c.* FROM ' || cust || ' c LEFT JOIN (SELECT * FROM ' || parts || ') p ON c.k = p.k'
+         WHEN 2 THEN 'MERGE INTO gold.order_' || id || ' t USING (SELECT * FROM ' || parts || ') s ON t.k = s.k'
          WHEN 3 THEN 'CREATE OR REPLACE VIEW gold.v_order_' || id || ' AS SELECT * FROM gold.order_' || id || ' JOIN ' || cust || ' USING (k)'
-         WHEN 4 THEN '-- copied FROM landing.old_' || id || chr(10) || 'CREATE TABLE silver.order_' || id || ' AS SELECT '' from nowhere '' AS note FROM ' || p1
-         WHEN 5 THEN 'INSERT INTO gold.order_' || id || ' WITH recent AS (SELECT * FROM ' || cust || ') SELECT * FROM recent JOIN ' || p2 || ' ON true'
-         WHEN 6 THEN 'SELECT * FROM "silver"."cust_' || id || '" JOIN ' || p1 || ' ON true /* JOIN old.x */'
-         ELSE 'CREATE VIEW gold.order_' || id || ' AS SELECT * FROM ' || p1 || ' JOIN ' || p2 || ' ON true'
+         WHEN 4 THEN '-- copied FROM landing.old_' || id || chr(10) || 'CREATE TABLE silver.order_' || id || ' AS SELECT '' from nowhere '' AS note FROM ' || parts
+         WHEN 5 THEN 'INSERT INTO gold.order_' || id || ' WITH recent AS (SELECT * FROM ' || cust || ') SELECT * FROM recent CROSS JOIN ' || parts
+         WHEN 6 THEN 'SELECT * FROM "silver"."cust_' || id || '" CROSS JOIN ' || parts || ' /* JOIN old.x */'
+         ELSE 'CREATE VIEW gold.order_' || id || ' AS SELECT * FROM ' || parts
        END AS sql
 FROM named
 """
@@ -168,12 +169,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    return spark.sql(sql.replace("{joined}", "array_join"), **used)
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assets with ``tags`` as an array."""
-    return _run(spark, sf_dir, CONCEPTS_SQL).withColumn("tags", F.split("tag_text", r"\|")).drop("tag_text")
+    """Assets with ``tags`` as an array; ``uri``, ``source`` and ``name`` are columns of scanned assets and NULL here."""
+    rows = _run(spark, sf_dir, CONCEPTS_SQL).withColumn("tags", F.split("tag_text", r"\|")).drop("tag_text")
+    return rows.withColumns({c: F.lit(None).cast("string") for c in ("uri", "source", "name")})
 
 
 def links(spark: SparkSession, sf_dir: str, *, cyclic: bool = False) -> DataFrame:
@@ -188,4 +190,4 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def for_engine(sql: str) -> str:
     """The same text over tables of their plain names."""
-    return sql.format(**{t: t for t in TABLES})
+    return sql.format(joined="array_to_string", **{t: t for t in TABLES})

@@ -1,3 +1,4 @@
+from lakegraph.operators import catalog, grade, graph, quality, search
 from lakegraph.sources import bundle, lake
 from pyspark.sql import functions as F
 
@@ -77,3 +78,34 @@ def test_column_concepts(spark):
     concepts, links = lake.column_concepts(harvested, "gold", "Sales", "erp")
     assert {r.path for r in concepts.collect()} == {"/tables/gold-my-t.md", "/columns/gold-my-t-a.md", "/columns/gold-my-t-b.md", "/schemas/sales.md"}
     assert links.count() == 8 and links.filter(F.col("rel") == "contains").count() == 3
+
+
+def test_repeated_root_and_typed_fields(spark, tmp_path):
+    root = tmp_path / "t"
+    inner = str(root).lstrip("/")
+    head = "---\ntype: SourceSystem\ntitle: A\nsource_kind: stream\nkind: api\nrows: 5\nshare: 0.5\nverified: true\ntags: [a]\nuri: null\nlinks:\n- rel: feeds\n---\n"
+    write(root, {"a.md": head, f"x/{inner}/a.md": "---\ntype: IngestionJob\ntitle: J\ningestion_mode: cdc\n---\n"})
+    concepts, _ = bundle.read_concepts(spark, str(root))
+    rows = {r.path: r for r in concepts.collect()}
+    assert set(rows) == {"/a.md", f"/x/{inner}/a.md"}
+    a, j = rows["/a.md"], rows[f"/x/{inner}/a.md"]
+    assert (a.kind, a.uri, a.untargeted_links, j.mode) == ("stream", None, 1, "cdc")
+    assert a.kinds == {"type": "string", "title": "string", "source_kind": "string", "kind": "string", "rows": "integer", "share": "number",
+                       "verified": "boolean", "tags": "array", "uri": None, "links": "array"}
+
+
+def test_operators_take_scanned_assets(spark, tmp_path):
+    write(tmp_path, {
+        "sources/s.md": "---\ntype: SourceSystem\ntitle: S\nsource_kind: stream\n---\n",
+        "ingestion/j.md": "---\ntype: IngestionJob\ntitle: J\ningestion_mode: cdc\nstatus: odd\nlinks:\n- target: /sources/s.md\n  rel: ingests_from\n---\n",
+        "tables/gold-t.md": "---\ntype: Table\ntitle: T\nlayer: gold\nfqn: g.t\n---\n",
+    })
+    concepts, _ = bundle.read_concepts(spark, str(tmp_path))
+    links = bundle.explode_links(concepts).select("src", "rel", "target")
+    edges = graph.flow_edges(links)
+    assert [r.path for r in quality.stream_sources(concepts).collect()] == ["/sources/s.md"]
+    assert quality.fake_streams(concepts, links).count() == 0 and quality.unlanded_streams(concepts, links, edges).count() == 1
+    assert "`g.t`" in catalog.promote_layer(concepts, links).first().definition
+    assert [(r.path, r.field) for r in quality.check_headers(concepts, quality.header_rules(spark)).collect()] == [("/tables/gold-t.md", "layer")][:0]
+    assert search.intent_scores(concepts, "t", "general").count() > 0
+    assert grade.grade_inputs(concepts, links, edges).first().streams == 1.0

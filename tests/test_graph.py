@@ -62,6 +62,9 @@ def test_roots_lineage_and_pure_cycles(spark):
     assert parents == {"a": None, "b": "a", "c": "a", "d": "b", "e": "d", "gone": "e"}
     assert [tuple(r) for r in graph.lineage_paths(lineage).collect()] == [("a", "path-a-to-gone", 6, 4)]
     assert {r.node for r in graph.unrooted_nodes(edges(spark)).collect()} == {"x", "y"}
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(9)]
+    assert graph.unrooted_nodes(edges(spark, chain)).count() == 0
+    assert graph.downstream(edges(spark, chain), starts(spark, "n0"), None).agg(F.max("depth")).first()[0] == 9
 
 
 def test_flow_direction(spark):

@@ -9,12 +9,12 @@ from lakegraph import model
 from lakegraph.operators import catalog, grade, packs, quality, resolve, rules, search
 
 CONCEPT = ("path string, catalog string, stem string, type string, title string, description string, layer string, "
-           "status string, kind string, mode string, tags array<string>, fqn string, body string")
+           "status string, kind string, mode string, tags array<string>, fqn string, body string, uri string, source string, name string")
 
 
 def concepts(spark, *rows):
     base = dict(path=None, catalog=None, stem=None, type=None, title=None, description=None, layer=None, status="active",
-                kind=None, mode=None, tags=[], fqn=None, body="")
+                kind=None, mode=None, tags=[], fqn=None, body="", uri=None, source=None, name=None)
     full = []
     for r in rows:
         r = {**base, **r}
@@ -141,8 +141,9 @@ def test_links_merge_once_and_invert(spark):
     have = links(spark, ("/a", "feeds", "/b"))
     added = links(spark, ("/a", "feeds", "b"), ("/a", "feeds", "/b"), ("/a", "uses", "/b"))
     assert sorted(tuple(r) for r in catalog.merge_links(have, added).collect()) == [("/a", "feeds", "/b"), ("/a", "uses", "/b")]
-    frame = concepts(spark, dict(path="/tables/t.md"))
-    back = catalog.inverse_links(links(spark, ("/o", "derived_from", "/tables/t.md"), ("/o", "derived_from", "/gone")), frame)
+    frame = concepts(spark, dict(path="/tables/t.md"), dict(path="/o", type="BusinessObject", catalog="o"), dict(path="/m", type="Metric", catalog="m"))
+    back = catalog.inverse_links(links(
+        spark, ("/o", "derived_from", "/tables/t.md"), ("/o", "derived_from", "/gone"), ("/m", "derived_from", "/tables/t.md")), frame)
     assert [tuple(r) for r in back.collect()] == [("/tables/t.md", "businessizes", "/o")]
 
 
@@ -204,6 +205,11 @@ def test_grade_hard_fails(spark):
     g = _grade(spark, frame, [], index_built=False)
     assert g.hard_fail_count == 2 and not g.passed and g.lineage_integrity == 0.25
     assert g.business_fidelity == 0.0 and g.adversarial_resistance == 0.4
+    many = [dict(path=f"/tables/t{i}.md", type="Table", title="T") for i in range(60)]
+    tied = [(f"/tables/t{i}.md", "feeds", f"/tables/t{i + 1}.md") for i in range(19)]
+    few = _grade(spark, concepts(spark, *many), tied)
+    more = _grade(spark, concepts(spark, *many), tied[:3])
+    assert few.structural_coverage > more.structural_coverage and "orphans:56" in more.revisions
     empty = _grade(spark, frame.limit(0), [])
     assert empty.structural_coverage == 0.4 and empty.stream_job_landing == 0.5 and empty.business_fidelity == 0.8
 
@@ -232,6 +238,26 @@ def test_rules_fail_without_a_verdict(spark):
     assert rules.evaluate_rules([{"name": "f", "target": "t", "expression": "max(d) >= current_date - 1"}], {"t": fresh}, "2024-01-01").first().passed
 
 
+def test_contracts_without_rules_or_limits(spark):
+    contracts = spark.createDataFrame(
+        [("a", ["r"], None), ("b", [], "late"), ("c", None, None), ("d", ["r", "gone"], "ok"), ("e", ["r"], "never")],
+        "contract string, quality_rules array<string>, job string")
+    verdicts = spark.createDataFrame([("r", True)], "rule string, passed boolean")
+    fresh = spark.createDataFrame([("late", False), ("ok", True)], "job string, in_time boolean")
+    got = {r.contract: (r.rules, r.failed, r.passed) for r in rules.check_contracts(contracts, verdicts, fresh).collect()}
+    assert got == {"a": (1, 0, True), "b": (0, 0, False), "c": (0, 0, True), "d": (2, 1, False), "e": (1, 0, False)}
+
+
+def test_schema_drift(spark):
+    columns = "table_name string, column_name string, data_type string, nullable boolean"
+    actual = spark.createDataFrame([("t", "a", "int", True), ("t", "b", "int", False), ("t", "x", "int", False), ("t", "p", "int", False)], columns)
+    captured = spark.createDataFrame(
+        [("t", "a", "bigint", True, False), ("t", "b", "int", True, False), ("t", "y", "int", False, False), ("t", "p", "int", False, True)],
+        columns + ", pii boolean")
+    assert {(r.column_name, r.drift, r.pii) for r in quality.schema_drift(captured, actual).collect()} == {
+        ("a", "type", False), ("b", "nullability", False), ("x", "extra", False), ("y", "missing", False), ("p", "none", True)}
+
+
 def test_quarantine_treats_null_as_broken(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (-1, None)], "n int, s string")
     good, bad = rules.quarantine(df, {"has_s": F.col("s").isNotNull(), "positive": F.col("n") > 0})

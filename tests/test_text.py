@@ -96,7 +96,7 @@ def test_definition_falls_through(spark):
 
     assert d("Net sales", "x") == "Net sales"
     assert d("Table sales (gold)", "# H\n\n- item\n|t|\n Prose line. \n") == "Prose line."
-    assert d("Referenced by q", "# H\n**b**", "gold").startswith("**Sales** is a business entity materialized from the gold data layer")
+    assert d("Referenced by q", "# H\n**b**", "gold").startswith("**Sales**: the business view of `")
 
 
 def test_synonyms(spark):
