@@ -3,8 +3,9 @@
 Traversals run level by level for many start nodes at once.  Every level is
 written to the shared folder, so plans stay flat and a lost executor costs one
 re-read.
-A level small enough to be counted as such is broadcast; a larger one goes
-through a shuffle join, where adaptive execution splits hub nodes.
+Written levels have real sizes, so the optimizer broadcasts a small one by the
+session's own limit; a larger one goes through a shuffle join, where adaptive
+execution splits hub nodes.
 """
 
 from __future__ import annotations
@@ -17,9 +18,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lakegraph import model
 from lakegraph.session import cut
 
-# A level of at most this many rows (two paths each) is safe to broadcast.
-BROADCAST_ROWS = 100_000
-
 
 def flow_edges(links: DataFrame) -> DataFrame:
     """Distinct ``src, dst`` in data-flow direction; other relations make no edge."""
@@ -52,9 +50,8 @@ def roots(edges: DataFrame) -> DataFrame:
     )
 
 
-def _step(frontier: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
-    side = F.broadcast(frontier) if rows <= BROADCAST_ROWS else frontier
-    return edges.join(side.withColumnRenamed("node", "src"), "src")
+def _step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    return edges.join(frontier.withColumnRenamed("node", "src"), "src")
 
 
 def _levels(edges: DataFrame, starts: DataFrame, hops: int | None, parents: bool, wanted: DataFrame | None = None):
@@ -71,8 +68,7 @@ def _levels(edges: DataFrame, starts: DataFrame, hops: int | None, parents: bool
     levels = [level]
     open_pairs = wanted
     for depth in count(1) if hops is None else range(1, hops + 1):
-        rows = level.count()
-        if rows == 0:
+        if level.isEmpty():
             break
         if open_pairs is not None:
             open_pairs = cut(open_pairs.join(level.select("start", "node"), ["start", "node"], "left_anti"))
@@ -81,7 +77,7 @@ def _levels(edges: DataFrame, starts: DataFrame, hops: int | None, parents: bool
             level_in = level.join(open_pairs.select("start").distinct(), "start", "left_semi")
         else:
             level_in = level
-        reached = _step(level_in.select("start", "node"), edges, rows).groupBy("start", F.col("dst").alias("node"))
+        reached = _step(level_in.select("start", "node"), edges).groupBy("start", F.col("dst").alias("node"))
         found = reached.agg(F.min("src").alias("parent")) if parents else reached.agg(F.lit(0).alias("_")).drop("_")
         seen = reduce(DataFrame.unionByName, [l.select("start", "node") for l in levels])
         level = found.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
@@ -196,10 +192,9 @@ def neighbourhoods(
     taken = cut(foci.select(F.col("node").alias("focus"), "node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, hops + 1):
         frontier = taken.filter(F.col("depth") == depth - 1).select("focus", "node")
-        rows = frontier.count()
-        if rows == 0:
+        if frontier.isEmpty():
             break
-        found = _step(frontier, near, rows).select("focus", F.col("dst").alias("node"))
+        found = _step(frontier, near).select("focus", F.col("dst").alias("node"))
         if depth == 1 and focus_links is not None:
             own = nearest(
                 focus_links.select("src", F.col("target").alias("dst"))

@@ -154,12 +154,15 @@ def substring_hits(concepts: DataFrame, queries: list[tuple[str, str]], limit: i
 def search_or_scan(
     pairs: DataFrame, concepts: DataFrame, queries: list[tuple[str, str]], limit: int = 20
 ) -> DataFrame:
-    """Index hits; queries without any fall back to the substring scan."""
+    """Index hits; only queries without any fall back to the substring scan, and without such there is no scan.
+
+    What comes to the driver are ids from the given ``queries``.
+    """
     asked = concepts.sparkSession.createDataFrame(queries, "query_id string, query string")
-    hits = search(pairs, asked, limit)
-    scanned = substring_hits(concepts, queries, limit)
-    missed = scanned.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    return hits.unionByName(missed)
+    hits = cut(search(pairs, asked, limit))
+    answered = {r.query_id for r in hits.select("query_id").distinct().collect()}
+    missed = [q for q in queries if q[0] not in answered]
+    return hits.unionByName(substring_hits(concepts, missed, limit)) if missed else hits
 
 
 def intent_types(intent: str, registered: tuple[str, ...] = ()) -> list[str]:

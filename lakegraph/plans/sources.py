@@ -15,7 +15,7 @@ from lakegraph.sources import bundle, derive, lake
 C = F.col
 
 
-def _asset_text():
+def asset_text():
     """A concept row as the text of its asset file, with one flow link and one plain link."""
     q = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v)
@@ -25,6 +25,7 @@ def _asset_text():
         F.when(C("description").isNotNull(), line("description", q(C("description")))),
         F.when(C("layer").isNotNull(), line("layer", C("layer"))), line("status", C("status")),
         line("verified", F.lit("true")), F.when(C("kind").isNotNull(), line("source_kind", C("kind"))),
+        F.when(C("mode").isNotNull(), line("ingestion_mode", C("mode"))), F.when(C("fqn").isNotNull(), line("fqn", C("fqn"))),
         F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]")),
         F.lit("links:"), F.concat(F.lit("- target: /"), C("catalog"), F.lit("/index.md")), F.lit("  rel: cataloged_in"),
         F.lit("- target: /layers/silver.md"), F.lit("  rel: layered_as"),
@@ -53,7 +54,7 @@ def _parsed_columns(concepts):
 
 def derived_files(assets, root: str) -> None:
     """One file per asset below ``root``."""
-    assets.select("catalog", "stem", _asset_text().alias("value")).write.partitionBy("catalog", "stem").text(root)
+    assets.select("catalog", "stem", asset_text().alias("value")).write.partitionBy("catalog", "stem").text(root)
 
 
 @query("s01_bundle_scan", with_parts("concepts", """
@@ -76,7 +77,7 @@ def s01(spark, sf):
 @query("s02_header_fields", _PARSED_SQL)
 def s02(spark, sf):
     """Every derived asset rendered as file text and taken apart again."""
-    files = derive.concepts(spark, sf).select("path", _asset_text().alias("text"))
+    files = derive.concepts(spark, sf).select("path", asset_text().alias("text"))
     concepts, _ = bundle.parse_concepts(files)
     return _parsed_columns(concepts)
 

@@ -26,12 +26,15 @@ def brute_reach(rows, start, hops):
     return depth
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_reach_with_broadcast_and_shuffle(spark, monkeypatch, limit):
-    monkeypatch.setattr(graph, "BROADCAST_ROWS", limit)
-    got = {}
-    for r in graph.downstream(edges(spark), starts(spark, "a", "x", "nowhere"), 3).collect():
-        got.setdefault(r.start, {})[r.node] = r.depth
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_reach_with_broadcast_and_shuffle(spark, limit):
+    got, before = {}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        for r in graph.downstream(edges(spark), starts(spark, "a", "x", "nowhere"), 3).collect():
+            got.setdefault(r.start, {})[r.node] = r.depth
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {s: brute_reach(EDGES, s, 3) for s in ("a", "x", "nowhere")}
 
 
