@@ -100,21 +100,54 @@ def star_links(prints: np.ndarray, pivots: np.ndarray, radius: int) -> list[tupl
     return [(int(prints[i]), int(prints[r])) for i in range(len(prints)) if (r := top(i)) != i]
 
 
-def links(distinct: DataFrame, radius: int = 2, pivots: int = 16) -> DataFrame:
+def _blocks(bits, width: int, parts: int) -> list:
+    """The low ``width`` bits of ``bits`` cut into ``parts`` runs."""
+    bounds = [round(width * i / parts) for i in range(parts + 1)]
+    return [F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << high - low) - 1)) for low, high in zip(bounds, bounds[1:])]
+
+
+def _pair_keys(blocks: list, *front):
+    """One hash per pair of blocks, over the pair and ``front``."""
+    return F.array(*(F.xxhash64(*front, F.lit(k), x, y) for k, (x, y) in enumerate(combinations(blocks, 2))))
+
+
+def block_keys(distinct: DataFrame, radius: int, key_rows: int) -> DataFrame:
+    """``key, fingerprint``: fingerprints within ``radius`` bits share a key.
+
+    A key fixes two of ``radius + 2`` blocks. One of more than ``key_rows`` rows is
+    replaced by finer ones: what differs lies in the other bits, so two of ``radius + 2``
+    blocks of those agree as well. At radius 2 a finer key fixes 48 bits, and no more
+    than 65,536 fingerprints have one.
+    """
+    n = radius + 2
+    blocks = _blocks(F.col("fingerprint"), 64, n)
+    width = [round(64 * (i + 1) / n) - round(64 * i / n) for i in range(n)]
+    kinds = []
+    for pair in combinations(range(n), 2):
+        rest, bits = F.lit(0).cast("bigint"), 0
+        for i in sorted(set(range(n)) - set(pair)):
+            rest, bits = F.shiftleft(rest, width[i]).bitwiseOR(blocks[i]), bits + width[i]
+        kinds.append((rest, bits))
+    coarse = distinct.select("fingerprint", F.posexplode(_pair_keys(blocks)).alias("kind", "key"))
+    # Rows are aggregated before the shuffle, so a crowded key travels as one count a task.
+    crowded = cut(coarse.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > key_rows).select("kind", "key"))
+    if crowded.isEmpty():
+        return coarse.select("key", "fingerprint")
+    finer = F.coalesce(*(
+        F.when(F.col("kind") == k, _pair_keys(_blocks(rest, bits, n), F.col("key"))) for k, (rest, bits) in enumerate(kinds)))
+    split = coarse.join(crowded, ["kind", "key"], "left_semi").select(F.explode(finer).alias("key"), "fingerprint")
+    return coarse.join(crowded, ["kind", "key"], "left_anti").select("key", "fingerprint").unionByName(split)
+
+
+def links(distinct: DataFrame, radius: int = 2, pivots: int = 16, key_rows: int = 20_000) -> DataFrame:
     """``a, b``: pairs of fingerprints that span the same components as all pairs within ``radius`` bits.
 
     ``distinct`` has one row per ``fingerprint``. Every fingerprint goes to the keys
     of its block pairs; a key's rows lie side by side after one shuffle, and a key
     gives fewer pairs than it has rows, so groups of near copies stay linear.
+    Keys of more than ``key_rows`` rows are split first, with no link lost.
     """
-    n_blocks = radius + 2
-    bounds = [round(64 * i / n_blocks) for i in range(n_blocks + 1)]
-    block = lambda i: F.expr(
-        f"shiftrightunsigned(fingerprint, {bounds[i]}) & {(1 << bounds[i + 1] - bounds[i]) - 1}L")
-    keys = F.array(*(F.struct(F.lit(k).alias("kind"), block(i).alias("x"), block(j).alias("y"))
-                     for k, (i, j) in enumerate(combinations(range(n_blocks), 2))))
-    keyed = distinct.select(F.explode(keys).alias("key"), "fingerprint").select(
-        F.xxhash64("key.kind", "key.x", "key.y").alias("key"), "fingerprint")
+    keyed = block_keys(distinct, radius, key_rows)
     chosen = np.random.default_rng(7).integers(0, 1 << 63, pivots, dtype=np.uint64) << np.uint64(1)
 
     def run(batches):

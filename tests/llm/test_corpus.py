@@ -499,8 +499,9 @@ def test_near_copies_match_all_pairs(docs, none):
     assert simhash.near_copies(none).count() == 0
 
 
+@pytest.mark.parametrize("key_rows", [20_000, 3])
 @pytest.mark.parametrize("radius", [1, 2, 3])
-def test_links_span_chains_and_clusters(spark, radius):
+def test_links_span_chains_and_clusters(spark, radius, key_rows):
     let_workers_import(spark)
     rng = np.random.default_rng(radius)
     prints = {int(x) for x in rng.integers(0, 1 << 63, 40)} | {0, (1 << 64) - 1}
@@ -512,7 +513,7 @@ def test_links_span_chains_and_clusters(spark, radius):
             prints.add(x)
     prints = sorted(prints)
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fingerprint bigint")
-    found = {r.node & (1 << 64) - 1: r.root for r in components(simhash.links(df, radius)).collect()}
+    found = {r.node & (1 << 64) - 1: r.root for r in components(simhash.links(df, radius, key_rows=key_rows)).collect()}
     want = plain_components(list(range(len(prints))), prints, radius)
     groups = collections.defaultdict(set)
     for p, c in zip(prints, want):
@@ -523,6 +524,17 @@ def test_links_span_chains_and_clusters(spark, radius):
     assert sum(len(m) > 1 for m in groups.values()) == len(set(found.values()))
 
 
+def test_crowded_keys_are_split(spark):
+    # All prints agree in the upper 32 bits, so one key would hold them all.
+    prints = sorted({int(x) for x in np.random.default_rng(5).integers(0, 1 << 32, 4000)})
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint bigint")
+    keyed = simhash.block_keys(df, 2, 500)
+    largest = keyed.groupBy("key").count().agg(F.max("count")).first()[0]
+    assert largest < 500 and len(prints) > 500
+    whole = simhash.block_keys(df, 2, 10_000)
+    assert whole.groupBy("key").count().agg(F.max("count")).first()[0] == len(prints)
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     rows = [(i, i + 1) for i in range(200)] + [(1000, j) for j in range(1001, 1400)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a bigint, b bigint")).collect()}
