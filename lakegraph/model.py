@@ -83,6 +83,58 @@ INVERSE_RELATIONS = (
     ("IngestionJob", "lands_as", "ingested_by"),
 )
 
+# What a field of an asset links to: owner's type, field, relations written, type of the named asset.
+CAPTURE_RULES = (
+    ("Table", "layer", ("layered_as",), "Layer"),
+    ("Table", "schema", ("defines",), "Schema"),
+    ("Table", "source", ("sourced_from",), "SourceSystem"),
+    ("Table", "columns", ("contains",), "Column"),
+    ("View", "layer", ("layered_as",), "Layer"),
+    ("View", "sources", ("reads_from",), "Table"),
+    ("Query", "sources", ("queries",), "Table"),
+    ("Query", "sql_artifact", ("implements",), "SqlArtifact"),
+    ("Query", "dax_artifact", ("implements",), "DaxArtifact"),
+    ("Dashboard", "metrics", ("visualizes",), "Metric"),
+    ("Dashboard", "tables", ("visualizes",), "Table"),
+    ("Report", "metrics", ("visualizes",), "Metric"),
+    ("Report", "tables", ("visualizes",), "Table"),
+    ("SemanticModel", "tables", ("models",), "Table"),
+    ("SemanticModel", "metrics", ("measures",), "Metric"),
+    ("Metric", "business_object", ("measures",), "BusinessObject"),
+    ("Transformation", "from_layer", ("reads_from", "transforms_to"), "Layer"),
+    ("Transformation", "to_layer", ("writes_to",), "Layer"),
+    ("Transformation", "inputs", ("reads_from",), "Table"),
+    ("Transformation", "outputs", ("writes_to",), "Table"),
+    ("BusinessObject", "sources", ("derived_from",), "Table"),
+    ("BusinessObject", "terms", ("glosses",), "GlossaryTerm"),
+    ("GlossaryTerm", "objects", ("glosses",), "BusinessObject"),
+    ("DataLake", "layers", ("contains",), "Layer"),
+    ("DataMart", "domain", ("belongs_to_domain",), "DataDomain"),
+    ("DataMart", "lake", ("part_of_lake",), "DataLake"),
+    ("DataMart", "tables", ("contains",), "Table"),
+    ("DataCatalog", "schemas", ("contains",), "Schema"),
+    ("DataProduct", "domain", ("belongs_to_domain",), "DataDomain"),
+    ("DataProduct", "tables", ("publishes",), "Table"),
+    ("DataProduct", "contract", ("implements_contract",), "DataContract"),
+    ("Stream", "table", ("lands_as", "feeds"), "Table"),
+    ("StorageLocation", "layer", ("layered_as",), "Layer"),
+    ("DQRule", "table", ("validates", "quality_of"), "Table"),
+    ("IngestionJob", "target_layer", ("writes_to", "layered_as"), "Layer"),
+    ("IngestionJob", "sources", ("ingests_from", "reads_from"), "SourceSystem"),
+    ("IngestionJob", "streams", ("ingests_from", "consumes_stream"), "Stream"),
+    ("IngestionJob", "tables", ("lands_as", "writes_to", "lands_into"), "Table"),
+    ("IngestionJob", "storage", ("writes_to", "stored_in"), "StorageLocation"),
+    ("Diagram", "subjects", ("documents",), "Table"),
+    ("Wireframe", "subjects", ("wireframes",), "Table"),
+)
+# Links that come with one on the other asset, whether that exists yet or not: owner's type, field, relation there.
+CAPTURE_BACK = (
+    ("Table", "schema", "contains"),
+    ("Table", "columns", "defines"),
+    ("Query", "sql_artifact", "implements"),
+    ("Query", "dax_artifact", "implements"),
+)
+
 MEDALLION = ("bronze", "silver", "gold")
 PROMOTION_ORDER = ("raw", "bronze", "silver", "gold")
 # Path segments that name a layer, by priority, and the layer each stands for.

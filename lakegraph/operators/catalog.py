@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakegraph import model
-from lakegraph.functions.naming import humanize, infer_definition, path_for_type, synonyms
+from lakegraph.functions.naming import catalog_of, concept_ref, humanize, infer_definition, path_for_type, synonyms
 from lakegraph.functions.text import slugify, strip
 
 
@@ -126,6 +126,56 @@ def inverse_links(links: DataFrame, concepts: DataFrame) -> DataFrame:
     return written.join(concepts.select(F.col("path").alias("src")), "src", "left_semi").select("src", "rel", "target")
 
 
+def asset_fields(concepts: DataFrame) -> DataFrame:
+    """``path, type, field, name`` of scanned assets: one row per name in a field that some capture rule reads."""
+    read = sorted({rule[1] for rule in model.CAPTURE_RULES})
+    rows = concepts.select("path", "type", F.explode("fields").alias("field", "value")).filter(F.col("field").isin(read))
+    inner = F.regexp_replace(F.regexp_replace("value", r"^\s*\[|\]\s*$", ""), r"(?m)^\s*-\s+", "")
+    # Only a bracketed list is cut at commas; a plain name may hold one.
+    parts = F.when(F.ltrim("value").startswith("["), F.split(inner, ",")).otherwise(F.split(inner, "\n"))
+    unquoted = F.regexp_replace(strip(F.col("name")), r"^([\"'])(.*)\1$", "$2")
+    return rows.select("path", "type", "field", F.explode(parts).alias("name")).withColumn("name", unquoted).filter(F.col("name") != "")
+
+
+def captured_links(fields: DataFrame) -> DataFrame:
+    """``src, rel, target`` that assets write for the names in their fields, each link once.
+
+    ``fields`` has one ``path, type, field, name`` per name, so an asset with very
+    many names is many rows. A name may be a path. The rules are a fixed list,
+    looked up in the row.
+    """
+    def link(src: Column, rel: Column | str, target: Column) -> Column:
+        return F.struct(src.alias("src"), (F.lit(rel) if isinstance(rel, str) else rel).alias("rel"), target.alias("target"))
+
+    key = F.concat_ws(".", "type", "field")
+    entry = lambda value: F.element_at(F.create_map(*[x for pair in value for x in pair]), key)
+    rels = entry([(F.lit(f"{t}.{f}"), F.array(*map(F.lit, rels))) for t, f, rels, _ in model.CAPTURE_RULES])
+    kind = entry([(F.lit(f"{t}.{f}"), F.lit(target)) for t, f, _, target in model.CAPTURE_RULES])
+    back = entry([(F.lit(f"{t}.{f}"), F.lit(rel)) for t, f, rel in model.CAPTURE_BACK])
+    known = fields.select("path", "name", rels.alias("rels"), kind.alias("kind"), back.alias("back")).filter(F.col("rels").isNotNull())
+    named = known.select("path", "rels", "back", concept_ref(F.col("name"), catalog_of(F.col("kind"))).alias("other"))
+    written = F.concat(
+        F.transform("rels", lambda r: link(F.col("path"), r, F.col("other"))),
+        F.when(F.col("back").isNotNull(), F.array(link(F.col("other"), F.col("back"), F.col("path")))).otherwise(F.array()),
+    )
+    return named.select(F.inline(written)).distinct()
+
+
+def lineage_path_links(nodes: DataFrame) -> DataFrame:
+    """Links of recorded lineage paths, from ``path, pos, node``.
+
+    The path asset contains every node and feeds all but the first; each node
+    feeds and transforms to the one after it. A window orders the nodes of one path,
+    nodes of equal position by name.
+    """
+    order = Window.partitionBy("path").orderBy("pos", "node")
+    placed = nodes.withColumn("before", F.lag("node").over(order))
+    link = lambda src, rel, target: F.struct(F.col(src).alias("src"), F.lit(rel).alias("rel"), F.col(target).alias("target"))
+    later = F.array(link("path", "feeds", "node"), link("before", "feeds", "node"), link("before", "transforms_to", "node"))
+    written = F.concat(F.array(link("path", "contains", "node")), F.when(F.col("before").isNotNull(), later).otherwise(F.array()))
+    return placed.select(F.inline(written)).distinct()
+
+
 def promotions(tables: DataFrame) -> DataFrame:
     """``base, from_layer, to_layer``: adjacent layers in which the same base name exists.
 

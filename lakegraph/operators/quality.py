@@ -118,6 +118,25 @@ def job_edges(concepts: DataFrame, links: DataFrame) -> DataFrame:
     return flow_edges(links.join(declaring, "src", "left_semi"))
 
 
+def jointly_named_edges(edges: DataFrame, concepts: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges both of whose ends a third job, transformation or query links to.
+
+    Each edge is looked up by the end that fewer jobs name, so an asset that very
+    many jobs name adds no more rows than the other ends of its edges have jobs.
+    """
+    jobs = concepts.filter(F.col("type").isin(*model.JOB_TYPES, "Query", "View", "SqlArtifact")).select(F.col("path").alias("src"))
+    named = links.join(jobs, "src", "left_semi").select(F.col("src").alias("job"), F.col("target").alias("node")).distinct()
+    count = named.groupBy("node").agg(F.count(F.lit(1)).alias("jobs"))
+    ends = edges.select("src", "dst").distinct()
+    for end in ("src", "dst"):
+        ends = ends.join(count.select(F.col("node").alias(end), F.col("jobs").alias(f"{end}_jobs")), end)
+    src_first = F.col("src_jobs") <= F.col("dst_jobs")
+    rare, other = (F.when(src_first, F.col(a)).otherwise(F.col(b)) for a, b in (("src", "dst"), ("dst", "src")))
+    candidates = ends.select("src", "dst", rare.alias("node"), other.alias("other")).join(named, "node")
+    both = candidates.join(named.select("job", F.col("node").alias("other")), ["job", "other"], "left_semi")
+    return both.filter(~F.col("job").isin(F.col("src"), F.col("dst"))).select("src", "dst").distinct()
+
+
 def edges_without_evidence(edges: DataFrame, *evidence: DataFrame) -> DataFrame:
     """Edges found in none of the evidence edge sets (statements, jobs, attestations)."""
     proven = reduce(DataFrame.unionByName, [e.select("src", "dst") for e in evidence])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lakegraph import model
 from lakegraph.functions.text import (
@@ -89,14 +89,11 @@ def prefix_weights(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     Vocabulary tokens are cut to the lengths that occur among the query
     tokens and matched by equality, on the vocabulary and never on postings.
     """
-    lengths = sorted(r[0] for r in asked.select(F.length("token")).distinct().collect())
-    if not lengths:
-        return exact_weights(asked)
+    lengths = asked.agg(F.collect_set(F.length("token"))).scalar()
+    sized = vocabulary.select("token", lengths.alias("lengths"))
     pieces = F.transform(
-        F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n < F.length("token")),
-        lambda n: F.substring(F.col("token"), F.lit(1), n),
-    )
-    cut_tokens = vocabulary.select("token", F.explode(pieces).alias("asked_token"))
+        F.filter("lengths", lambda n: n < F.length("token")), lambda n: F.substring(F.col("token"), F.lit(1), n))
+    cut_tokens = sized.select("token", F.explode(pieces).alias("asked_token"))
     return (
         cut_tokens.join(asked.withColumnRenamed("token", "asked_token"), "asked_token")
         .groupBy("query_id", "token")
@@ -104,6 +101,29 @@ def prefix_weights(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def read_postings(spark: SparkSession, path: str, asked: DataFrame | None = None) -> DataFrame:
+    """``token, path`` pairs of a stored index.
+
+    With ``asked`` only the folders of the first letters of its tokens are read;
+    the letters are a subquery of at most one short array.
+    """
+    stored = spark.read.schema("token string, path string, prefix string").parquet(path)
+    if asked is not None:
+        letters = asked.agg(F.collect_set(F.substring("token", 1, 1))).scalar()
+        stored = stored.filter(F.array_contains(letters, F.col("prefix")))
+    return stored.select("token", "path")
+
+
+def _weights(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    both = exact_weights(asked).unionByName(prefix_weights(asked, vocabulary))
+    return both.groupBy("query_id", "token").agg(F.sum("weight").alias("weight"))
+
+
+def _scores(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    # Weights are quarters, so sums are exact in any order.
+    return pairs.join(weights, "token").groupBy("query_id", "path").agg(F.sum("weight").alias("score"))
+
+
 def search_scores(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, path, score`` of every hit of every query.
 
@@ -111,14 +131,18 @@ def search_scores(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     derived table of them is materialised first.
     """
     pairs = cut(pairs)
+    return _scores(pairs, _weights(query_tokens(queries), pairs.select("token").distinct()))
+
+
+def search_stored(spark: SparkSession, path: str, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """As ``search``, over the folders of an index written by ``write_postings`` that can hold a hit.
+
+    A prefix match shares its first letter with the query token, so both the
+    vocabulary and the hits come from the same few folders.
+    """
     asked = query_tokens(queries)
-    weights = (
-        exact_weights(asked)
-        .unionByName(prefix_weights(asked, pairs.select("token").distinct()))
-        .groupBy("query_id", "token").agg(F.sum("weight").alias("weight"))
-    )
-    # Weights are quarters, so sums are exact in any order.
-    return pairs.join(weights, "token").groupBy("query_id", "path").agg(F.sum("weight").alias("score"))
+    pairs = read_postings(spark, path, asked)
+    return top_hits(_scores(pairs, _weights(asked, pairs.select("token").distinct())), limit)
 
 
 def top_hits(scores: DataFrame, limit: int = 20) -> DataFrame:

@@ -105,6 +105,63 @@ def k09_inverse(spark, sf):
     return catalog.inverse_links(links, derive.concepts(spark, sf))
 
 
+# Fields of assets, one name a row; names are plain or paths.
+_FIELDS = f"""
+SELECT {derive._order_path('o_orderkey')} AS path, 'Table' AS type, 'layer' AS field, {derive._order_layer('o_orderkey')} AS name FROM {{orders}}
+UNION ALL SELECT {derive._order_path('o_orderkey')}, 'Table', 'schema', 'Sales ' || o_orderpriority FROM {{orders}}
+UNION ALL SELECT {derive._order_path('l_orderkey')}, 'Table', 'columns', 'order_' || CAST(l_orderkey AS STRING) || '.line ' || CAST(l_linenumber AS STRING) FROM {{lineitem}}
+UNION ALL SELECT {derive._part_path('l_partkey')},
+    CASE l_partkey % 5 WHEN 0 THEN 'Query' WHEN 1 THEN 'Transformation' WHEN 2 THEN 'Workflow' WHEN 3 THEN 'IngestionJob' ELSE 'View' END,
+    CASE l_partkey % 5 WHEN 1 THEN 'inputs' WHEN 3 THEN 'tables' ELSE 'sources' END, {derive._order_path('l_orderkey')}
+  FROM (SELECT DISTINCT l_partkey, l_orderkey FROM {{lineitem}}) po
+UNION ALL SELECT {derive._customer_path('o_custkey')}, 'BusinessObject', 'sources', {derive._order_path('o_orderkey')} FROM {{orders}}
+UNION ALL SELECT '/glossary/document-' || CAST(doc_id AS STRING) || '.md', 'GlossaryTerm', 'objects', 'Customer ' || lang FROM {{documents}}
+UNION ALL SELECT '/dashboards/nation-' || CAST(n_nationkey AS STRING) || '.md', 'Dashboard', 'metrics', 'Region ' || CAST(n_regionkey AS STRING) FROM {{nation}}
+UNION ALL SELECT '/quality/part-' || CAST(p_partkey AS STRING) || '.md', 'DQRule', 'table', p_brand || ' (' || p_type || ')' FROM {{part}}
+"""
+_CAPTURED = (
+    ("Table", "layer", "layered_as", "layers", None), ("Table", "schema", "defines", "schemas", "contains"),
+    ("Table", "columns", "contains", "columns", "defines"), ("Query", "sources", "queries", "tables", None),
+    ("Transformation", "inputs", "reads_from", "tables", None), ("View", "sources", "reads_from", "tables", None),
+    ("IngestionJob", "tables", "lands_as", "tables", None), ("IngestionJob", "tables", "writes_to", "tables", None),
+    ("IngestionJob", "tables", "lands_into", "tables", None), ("BusinessObject", "sources", "derived_from", "tables", None),
+    ("GlossaryTerm", "objects", "glosses", "business-objects", None), ("Dashboard", "metrics", "visualizes", "metrics", None),
+    ("DQRule", "table", "validates", "tables", None), ("DQRule", "table", "quality_of", "tables", None),
+)
+
+
+@query("k09_captured_links", f"""
+WITH fields AS ({derive.for_engine(_FIELDS)}),
+rules(type, field, rel, folder, back) AS (VALUES {', '.join(str(r).replace('None', 'NULL') for r in _CAPTURED)}),
+named AS (
+  SELECT f.path, r.rel, r.back, CASE WHEN starts_with(f.name, '/') THEN f.name ELSE '/' || r.folder || '/' || {slug_sql('f.name')} || '.md' END AS other
+  FROM fields f JOIN rules r ON r.type = f.type AND r.field = f.field
+)
+SELECT path AS src, rel, other AS target FROM named UNION SELECT other, back, path FROM named WHERE back IS NOT NULL
+""")
+def k09_captured(spark, sf):
+    return catalog.captured_links(derive._run(spark, sf, _FIELDS))
+
+
+_PATH_NODES = f"""
+SELECT DISTINCT '/lineage/order-' || CAST(l_orderkey AS STRING) || '.md' AS path,
+       CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS pos, {derive._part_path('l_partkey')} AS node FROM {{lineitem}}
+"""
+
+
+@query("k09_lineage_paths", f"""
+WITH nodes AS ({derive.for_engine(_PATH_NODES)}), hops AS (
+  SELECT a.path, a.node AS before, b.node FROM nodes a JOIN nodes b ON b.path = a.path AND b.pos > a.pos
+  WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.path = a.path AND c.pos > a.pos AND c.pos < b.pos)
+)
+SELECT path AS src, 'contains' AS rel, node AS target FROM nodes UNION SELECT path, 'feeds', node FROM hops
+UNION SELECT before, 'feeds', node FROM hops UNION SELECT before, 'transforms_to', node FROM hops
+""")
+def k09_paths(spark, sf):
+    """Each order's lines as a recorded path through its parts."""
+    return catalog.lineage_path_links(derive._run(spark, sf, _PATH_NODES))
+
+
 @query("v09_business_promotion", with_parts("concepts links", f"""
 WITH served AS (SELECT DISTINCT target AS path FROM links WHERE rel = 'derived_from'),
 named AS (

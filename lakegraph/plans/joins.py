@@ -253,6 +253,28 @@ def j13(spark, sf):
     return quality.edges_without_evidence(graph.flow_edges(links), proven, quality.job_edges(concepts, links))
 
 
+# Storage zones that suppliers are said to feed; some jobs name both ends, of others only one or none.
+_ZONE_EDGES = f"""
+SELECT DISTINCT {derive._supplier_path('l_suppkey')} AS src, '/storage/zone-' || CAST(p_size AS STRING) || '.md' AS dst
+FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey WHERE (l_partkey + l_suppkey) % 8 = 0
+"""
+
+
+@query("j13_joint_evidence", with_parts("concepts links", f"""
+WITH zone_edges AS ({derive.for_engine(_ZONE_EDGES)}), named AS (
+  SELECT DISTINCT l.src AS job, l.target AS node FROM links l JOIN concepts c ON c.path = l.src
+  WHERE c.type IN ('Workflow', 'Transformation', 'IngestionJob', 'Query', 'View', 'SqlArtifact')
+)
+SELECT src, dst, EXISTS (SELECT 1 FROM named a JOIN named b ON a.job = b.job
+  WHERE a.node = src AND b.node = dst AND a.job <> src AND a.job <> dst) AS proven FROM zone_edges
+"""))
+def j13_joint(spark, sf):
+    """Edges to storage zones, and whether a third job links to both ends."""
+    edges = cut(derive._run(spark, sf, _ZONE_EDGES))
+    proven = quality.jointly_named_edges(edges, derive.concepts(spark, sf), derive.links(spark, sf))
+    return edges.join(proven.withColumn("proven", F.lit(True)), ["src", "dst"], "left").fillna(False, ["proven"])
+
+
 @query("j14_phantom_nodes", with_parts("concepts links edges nodes", """
 SELECT node FROM nodes WHERE node NOT IN (SELECT path FROM concepts)
 """))

@@ -8,7 +8,8 @@ from lakegraph import model
 from lakegraph.functions import text
 from lakegraph.operators import graph, packs, search
 from lakegraph.plans.graph import _edges
-from lakegraph.plans.registry import query, quoted, strip_sql, tokens_sql, with_parts
+from lakegraph.plans.registry import ORACLES, query, quoted, strip_sql, tokens_sql, with_parts
+from lakegraph.session import scratch_path
 from lakegraph.sources import derive
 
 C = F.col
@@ -159,6 +160,14 @@ def r01(spark, sf):
     return hits.withColumn("rank", C("rank").cast("bigint"))
 
 
+@query("r01_stored_search", ORACLES["r01_indexed_search"])
+def r01_stored(spark, sf):
+    """The index is written once; the search reads only folders of the asked first letters."""
+    path = scratch_path(spark, "postings")
+    search.write_postings(search.postings(_cards(spark, sf)), path)
+    return search.search_stored(spark, path, _asked(spark)).withColumn("rank", C("rank").cast("bigint"))
+
+
 @query("w02_ranked_hits", f"""
 WITH {_DOCS}, bench AS (
   SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest({tokens_sql('text')}) AS token FROM benchmark) a GROUP BY ALL

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakegraph import model
 from lakegraph.operators import catalog, grade, packs, quality, resolve, rules, search
+from lakegraph.sources import bundle
 
 CONCEPT = ("path string, catalog string, stem string, type string, title string, description string, layer string, "
            "status string, kind string, mode string, tags array<string>, fqn string, body string, uri string, source string, name string")
@@ -269,3 +270,60 @@ def test_fixed_tables_are_consistent():
     assert abs(sum(model.GRADE_WEIGHTS.values()) - 1) < 1e-9
     assert all(abs(sum(w.values()) - 1) < 1e-9 for _, w in model.RUBRICS.values())
     assert len(model.CATALOGS) == 33 and not set(model.FORWARD_FLOW) & set(model.REVERSE_FLOW)
+
+
+# -- captured links, joint evidence, stored index ---------------------------------
+
+
+def test_captured_links(spark):
+    fields = spark.createDataFrame([
+        ("/tables/gold-a.md", "Table", "layer", "Gold"), ("/tables/gold-a.md", "Table", "columns", "gold-a id"),
+        ("/tables/gold-a.md", "Table", "columns", "gold-a id"), ("/queries/q.md", "Query", "dax_artifact", "dax/Total.md"),
+        ("/streams/s.md", "Stream", "table", "/tables/gold-a.md"), ("/tables/gold-a.md", "Table", "nothing", "x"),
+        ("/odd/x.md", None, "layer", "Gold"), ("/workflows/w.md", "Workflow", "sources", "a"),
+    ], "path string, type string, field string, name string")
+    got = sorted(tuple(r) for r in catalog.captured_links(fields).collect())
+    assert got == sorted([
+        ("/tables/gold-a.md", "layered_as", "/layers/gold.md"), ("/tables/gold-a.md", "contains", "/columns/gold-a-id.md"),
+        ("/columns/gold-a-id.md", "defines", "/tables/gold-a.md"), ("/queries/q.md", "implements", "/dax/Total.md"),
+        ("/dax/Total.md", "implements", "/queries/q.md"), ("/streams/s.md", "lands_as", "/tables/gold-a.md"),
+        ("/streams/s.md", "feeds", "/tables/gold-a.md"),
+    ])
+
+
+def test_fields_of_scanned_assets(spark):
+    text = '---\ntype: Report\ntitle: R\nmetrics: ["Net sales", Margin]\ntables:\n- /tables/a.md\n- "b c"\nowner: x\n---\n'
+    files = spark.createDataFrame([("/reports/r.md", text)], "path string, text string")
+    fields = catalog.asset_fields(bundle.parse_concepts(files)[0])
+    assert sorted((r.field, r.name) for r in fields.collect()) == [
+        ("metrics", "Margin"), ("metrics", "Net sales"), ("tables", "/tables/a.md"), ("tables", "b c")]
+    assert {r.target for r in catalog.captured_links(fields).collect()} == {
+        "/metrics/margin.md", "/metrics/net-sales.md", "/tables/a.md", "/tables/b-c.md"}
+
+
+def test_lineage_path_links(spark):
+    rows = spark.createDataFrame([("/p", 1, "a"), ("/p", 2, "b"), ("/p", 3, "c"), ("/q", 1, "z")], "path string, pos int, node string")
+    assert sorted(tuple(r) for r in catalog.lineage_path_links(rows).collect()) == sorted([
+        *[("/p", "contains", n) for n in "abc"], ("/q", "contains", "z"), ("/p", "feeds", "b"), ("/p", "feeds", "c"),
+        *[(x, rel, y) for x, y in ("ab", "bc") for rel in ("feeds", "transforms_to")]])
+
+
+def test_joint_evidence(spark):
+    frame = concepts(spark, dict(path="/j", type="Workflow"), dict(path="/k", type="Transformation"), dict(path="/n", type="Metric"))
+    links = spark.createDataFrame([
+        ("/j", "reads_from", "a"), ("/j", "writes_to", "b"), ("/k", "reads_from", "a"), ("/k", "documents", "c"),
+        ("/n", "derived_from", "a"), ("/n", "derived_from", "d"), ("/k", "x", "/j"), ("/k", "x", "/k")], "src string, rel string, target string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("a", "d"), ("a", "/k"), ("a", "/j")], "src string, dst string")
+    got = {tuple(r) for r in quality.jointly_named_edges(edges, frame, links).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("a", "/j")}
+
+
+def test_stored_search_reads_only_asked_folders(spark, tmp_path):
+    pairs = spark.createDataFrame([("alpha", "/1"), ("alphabet", "/2"), ("beta", "/3"), ("gamma", "/4")], "token string, path string")
+    search.write_postings(pairs, str(tmp_path / "index"))
+    asked = spark.createDataFrame([("q", "alpha"), ("r", "none-such gamma"), ("s", "")], "query_id string, query string")
+    found = search.search_stored(spark, str(tmp_path / "index"), asked)
+    assert {(r.query_id, r.path, r.score) for r in found.collect()} == {("q", "/1", 1.0), ("q", "/2", 0.25), ("r", "/4", 1.0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in plan or "PartitionFilters: [array_contains" in plan
+    assert search.search_stored(spark, str(tmp_path / "index"), asked.filter("query_id = 's'")).count() == 0
