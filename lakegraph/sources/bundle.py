@@ -55,16 +55,16 @@ def unquote(value: Column) -> Column:
 
 
 def split_header(files: DataFrame) -> DataFrame:
-    """``path, header, body`` of the files that have a header; line ends normalised."""
-    text = F.regexp_replace("text", r"\r\n?", "\n")
-    return (
-        files.withColumn("text", text)
-        .filter(F.col("text").rlike(model.FRONTMATTER))
-        .select(
-            "path",
-            F.regexp_extract("text", model.FRONTMATTER, 1).alias("header"),
-            F.regexp_replace("text", model.FRONTMATTER, "").alias("body"),
-        )
+    """``path, header, body`` of the files that have a header; line ends normalised.
+
+    The pattern runs once over the text; header and body are cut out by its length.
+    """
+    text = F.when(F.contains("text", F.lit("\r")), F.regexp_replace("text", r"\r\n?", "\n")).otherwise(F.col("text"))
+    front = settle(files.select("path", text.alias("text")), front=F.regexp_extract("text", model.FRONTMATTER, 0))
+    return front.filter(F.col("front") != "").select(
+        "path",
+        F.regexp_extract("front", model.FRONTMATTER, 1).alias("header"),
+        F.substr("text", F.length("front") + 1).alias("body"),
     )
 
 
@@ -91,6 +91,8 @@ def parse_header(raw: DataFrame) -> DataFrame:
         F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"]
     )))
     parsed = settle(settle(raw, lines=lines), entries=last)
+    # Keys are distinct now, so fields are looked up in a map.
+    parsed = settle(parsed, by_key=F.map_from_entries(F.transform("entries", lambda e: F.struct(e["key"], e))))
 
     block = F.array_join(_entry("links", "block"), "\n")
     items = F.filter(F.split(block, r"(?m)^\s*-\s+"), lambda x: F.trim(x) != "")
@@ -119,7 +121,7 @@ def parse_header(raw: DataFrame) -> DataFrame:
 
 
 def _entry(key: str, part: str) -> Column:
-    return F.get(F.filter("entries", lambda e: e["key"] == key), F.lit(0))[part]
+    return F.col("by_key")[key][part]
 
 
 def scalar(key: str) -> Column:
