@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegraph.llm import boilerplate, bpe, dac, mixing, multi_index, prefix_tree, quality, ring, simhash, toxicity
+from lakegraph.llm import boilerplate, bpe, dac, merkle, minhash, mixing, multi_index, prefix_tree, quality, ring, simhash, toxicity, whitening
 from lakegraph.llm.common import prepare, read_table
 
 QUERIES: dict = {}
@@ -122,3 +122,101 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     near = simhash.near_copies(read_table(spark, sf_dir, "documents"))
     return near.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+@query("op11_polynomial_whitening")
+def op11(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), keep=["vec_id"]).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def _merkle_leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+#: The table of the unsigned crc32, byte by byte, and the remainder of a number's decimal digits.
+_CRC_TABLE = """(SELECT list(v ORDER BY i) FROM (SELECT i, list_reduce(
+    CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT)) AS v
+  FROM range(256) t(i)))"""
+_CRC = """xor(list_reduce([CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+    lambda crc, b: xor(crc >> 8, crc_table[CAST(xor(crc, b) & 255 AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+def _merkle_rounds(name: str, given: str, key: str) -> str:
+    """A tree of runs of three per key, level by level, and each node's siblings."""
+    return f"""
+ {name} AS (
+  SELECT {key}, 0 AS level, pos, digest, n FROM {given}
+  UNION ALL
+  SELECT {key}, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM {name} WHERE n > 1 GROUP BY {key}, level, pos // 3),
+ {name}_siblings AS (
+  SELECT a.{key}, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {name} a JOIN {name} b ON a.{key} = b.{key} AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1
+  GROUP BY a.{key}, a.level, a.pos)"""
+
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+ given AS (
+  SELECT row_number() OVER () AS i, doc_id, source, coalesce('=' || source, '') AS tree, {_merkle_leaf("text")} AS digest,
+         CASE WHEN {_CRC} % 2 = 0 THEN {_merkle_leaf("replace(text, chr(10), '')")} END AS bad
+  FROM documents, crc),
+ leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM given),
+ {_merkle_rounds("low", "leaves", "tree")},
+ subroots AS (
+  SELECT tree, '' AS whole, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+ {_merkle_rounds("high", "subroots", "whole")},
+ climb AS (
+  SELECT i, tree, 0 AS level, pos, coalesce(bad, digest) AS h, '' AS proof, n FROM leaves
+  UNION ALL
+  SELECT c.i, c.tree, c.level + 1, c.pos // 3, sha256(s.l || c.h || s.r), c.proof || s.l || s.r, (c.n + 2) // 3
+  FROM climb c JOIN low_siblings s ON c.tree = s.tree AND c.level = s.level AND c.pos = s.pos WHERE c.n > 1),
+ top AS (
+  SELECT c.i, 0 AS level, s.pos, c.h, c.proof, s.n FROM climb c JOIN subroots s ON c.tree = s.tree WHERE c.n = 1
+  UNION ALL
+  SELECT c.i, c.level + 1, c.pos // 3, sha256(s.l || c.h || s.r), c.proof || s.l || s.r, (c.n + 2) // 3
+  FROM top c JOIN high_siblings s ON c.level = s.level AND c.pos = s.pos WHERE c.n > 1)
+SELECT v.doc_id, v.digest AS leaf, s.digest AS subroot, r.digest AS root, sha256(t.proof) AS proof_sha256, t.h AS folded_root, t.h = r.digest AS verified
+FROM leaves v JOIN subroots s ON v.tree = s.tree JOIN top t ON v.i = t.i AND t.n = 1, (SELECT digest FROM high WHERE n = 1) r
+"""
+
+
+@query("op12_path_copying_merkle", _MERKLE_SQL)
+def op12(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = merkle.manifest(docs, tampered=tampered, changed={"text": F.replace("text", F.lit("\n"), F.lit(""))})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_MINHASH_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS i, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
+  FROM documents),
+ words AS (SELECT i, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM given),
+ fives AS (
+  SELECT i, concat_ws(' ', word, lead(word, 1) OVER here, lead(word, 2) OVER here, lead(word, 3) OVER here, lead(word, 4) OVER here) AS g,
+         k, count(*) OVER (PARTITION BY i) AS n
+  FROM words WINDOW here AS (PARTITION BY i ORDER BY k)),
+ items AS (SELECT DISTINCT i, g FROM fives WHERE k <= greatest(1, n - 4)),
+ sizes AS (SELECT i, count(*) AS n FROM items GROUP BY i),
+ shared AS (SELECT a.i AS a, b.i AS b, count(*) AS c FROM items a JOIN items b ON a.g = b.g AND a.i < b.i GROUP BY a.i, b.i),
+ linked AS (
+  SELECT p.a, p.b FROM shared p JOIN sizes x ON x.i = p.a JOIN sizes y ON y.i = p.b WHERE 100 * p.c >= 85 * (x.n + y.n - p.c)),
+ both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+ reach AS (SELECT i AS a, i AS b FROM given UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+ least AS (SELECT r.a AS i, min(o.doc_id) AS component_id FROM reach r JOIN given o ON o.i = r.b GROUP BY r.a)
+SELECT s.doc_id, coalesce(z.n, 0) AS n_shingles, l.component_id, s.doc_id IS NOT DISTINCT FROM l.component_id AS kept
+FROM given s JOIN least l ON s.i = l.i LEFT JOIN sizes z ON z.i = s.i
+"""
+
+
+@query("op13_tensored_minhash", _MINHASH_SQL)
+def op13(spark, sf_dir):
+    return minhash.near_copies(read_table(spark, sf_dir, "documents"))

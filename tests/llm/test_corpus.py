@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from lakegraph.llm import boilerplate, bpe, dac, jaccard, mixing, multi_index, prefix_tree, quality, ring, simhash, toxicity
+from lakegraph.llm import boilerplate, bpe, dac, mixing, multi_index, prefix_tree, quality, ring, simhash, toxicity
 from lakegraph.llm.common import let_workers_import, lowest
 from lakegraph.llm.components import components
 from tools.check import rows_of
@@ -550,15 +550,18 @@ def test_query_runs_whole(spark, name):
     sql = oracle_sql().get(name)
     if sql:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+        for view in ("conversations", "documents", "embeddings"):
+            con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SF}/{view}.parquet'")
         cur = con.execute(sql)
         assert rows_of(df.columns, got) == rows_of([d[0] for d in cur.description], cur.fetchall())
-    table = {"op1": "conversations", "op3": "embeddings", "op9": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op1": "conversations", "op3": "embeddings", "op9": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     source = spark.read.parquet(f"{SF}/{table}.parquet")
     if name.startswith("op1_"):
         assert len(got) == source.select("conv_id").distinct().count() + 1
     elif name.startswith("op3_"):
         assert len(got) == 20 * source.where("vec_id % 20 = 0").count()
+    elif name.startswith("op11_"):
+        assert len(got) == 4 * source.count()
     else:
         assert len(got) == source.count()
 
@@ -597,55 +600,3 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, docs, none):
         stage(spark, extra, SF).collect()
         assert stage(spark, none, SF).count() == 0
     assert corpus_pipeline.drop_near_copies(spark, extra, SF).where("doc_id = 6").count() == 1
-
-
-# -- near copies by similarity ----------------------------------------------
-
-def plain_shingles(text):
-    words = [w.lower() for w in (text or "").encode().split()]
-    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
-
-
-def similar_components(ids, texts):
-    sets = [plain_shingles(t) for t in texts]
-    root = list(range(len(ids)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a == b or 5 * len(a & b) >= 4 * len(a | b):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    least = {}
-    for i, r in zip(ids, root):
-        if i is not None:
-            least[r] = min(i, least.get(r, i))
-    return [least.get(r) for r in root]
-
-
-def edited(rng, words, share):
-    words = list(words)
-    for i in rng.choice(len(words), max(1, int(share * len(words))), replace=False):
-        words[i] = f"new{rng.integers(1 << 30)}"
-    return " ".join(words)
-
-
-@pytest.mark.parametrize("stars", [0, 2])
-def test_similar_texts_match_all_pairs(spark, docs, none, stars):
-    let_workers_import(spark)
-    rng = np.random.default_rng(5)
-    line = [f"common{i}" for i in range(40)]
-    texts = [r.text for r in docs.collect()] + ["a b c d", "a b c d e f g h", "a b c d e f g h i"]
-    for size in (9, 30, 100, 400):
-        base = line[:size // 2] + [f"w{rng.integers(1 << 30)}" for _ in range(size - size // 2)]
-        texts += [" ".join(base).upper(), *(edited(rng, base, share) for share in (0.01, 0.02, 0.03, 0.04, 0.08) for _ in range(4))]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[-1])]
-    want = similar_components(*zip(*rows))
-    got = jaccard.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), stars=stars).collect()
-    assert collections.Counter(map(tuple, got)) == collections.Counter((i, c) for (i, _), c in zip(rows, want))
-    assert jaccard.near_copies(none).count() == 0
-
-
-def test_pipeline_drops_copies_beyond_two_bits(spark):
-    """596/917 (0.921, 7 bits) and 783/3006 (0.912, 6 bits) are near copies by the pipeline's rule."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id IN (596, 917, 783, 3006, 1, 2)")
-    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
-    assert kept == {596, 783, 1, 2}
