@@ -9,6 +9,10 @@ set. A table key is one band of the first collection with one of the second, so
 A key of few sets gives all its pairs. A crowded key first holds each set against
 one of them; if that leaves it in several components, its sets are brought
 together and compared exactly, so that only links leave the task.
+
+Before full sets move for a pair, small sketches do: the least shingle of each of
+``BINS`` bins, which two sets share with probability s per bin. A pair whose shared
+bins lie ``SIGMAS`` standard deviations below what the wanted similarity gives goes.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ PIECE_SHINGLES, PIECE_SETS = 1_000_000, 2_000
 CHUNK = 1 << 15
 #: Sets a task remembers so as to send each of them once.
 SEEN = 200_000
+#: Bins of a sketch, one byte each, and how far below its mean a linked pair's count of shared bins may lie (5: 3 in 10 million lie lower).
+BINS, SIGMAS = 128, 5
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 2048
 
@@ -84,16 +90,24 @@ class Bands:
         return out
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A byte of the least shingle in each bin, 0 for none. ``shingles`` are sorted, so a bin's first one is its least."""
+    bins, first = np.unique(shingles & np.uint64(BINS - 1), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[bins] = (shingles[first] >> np.uint64(20)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
 def sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, node`` (hash of the set, null if it is empty), ``n`` (its size), its ``bands`` and the set itself.
+    """``doc_id, node`` (hash of the set, null if it is empty), ``n`` (its size), its ``bands``, its ``sketch`` and the set itself.
 
-    Bands and set are null where the task has sent the same set before. No shuffle.
+    All but node and size are null where the task has sent the same set before. No shuffle.
     """
     def make():
         all_bands, seen = Bands(bands, rows), set()
 
         def work(texts):
-            out = {"node": [], "n": [], "bands": [], "shingles": []}
+            out = {"node": [], "n": [], "bands": [], "sketch": [], "shingles": []}
             for text in texts:
                 s = shingle_set(text, shingle)
                 node = xxhash.xxh64_intdigest(s.tobytes(), HASH_SEED) - (1 << 63) if len(s) else None
@@ -105,6 +119,7 @@ def sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 out["node"].append(node)
                 out["n"].append(len(s))
                 out["bands"].append(all_bands.of(s).view(np.int64) if fresh else None)
+                out["sketch"].append(sketch(s) if fresh else None)
                 out["shingles"].append(s.tobytes() if fresh else None)
             return out
 
@@ -112,7 +127,7 @@ def sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
     fields = [
         T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
-        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]
+        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
     return map_columns(docs, ["text"], make, fields, ["doc_id"])
 
 
@@ -199,6 +214,24 @@ def first_pairs(keyed: DataFrame, least: tuple[int, int]) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint, rows bigint").distinct()
 
 
+def likely(pairs: DataFrame, distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs whose sketches agree as often as those of linked sets do."""
+    share = least[0] / least[1]
+    sketches = distinct.select("node", "sketch")
+    both = pairs.join(sketches.toDF("a", "_a"), "a").join(sketches.toDF("b", "_b"), "b")
+
+    def make():
+        def work(left, right):
+            x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, BINS) for v in (left, right))
+            filled = ((x > 0) | (y > 0)).sum(axis=1)
+            equal = ((x == y) & (x > 0)).sum(axis=1)
+            return {"likely": equal >= share * filled - SIGMAS * np.sqrt(share * (1 - share) * filled) - 1}
+
+        return work
+
+    return map_columns(both, ["_a", "_b"], make, [T.StructField("likely", T.BooleanType())], ["a", "b"]).where("likely").select("a", "b")
+
+
 def _wanted_sets(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, shingles`` of the given nodes, once each."""
     return prints.where("shingles IS NOT NULL").select("node", "shingles").join(nodes, "node", "left_semi").dropDuplicates(["node"])
@@ -309,10 +342,12 @@ def near_copies(
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = cut(sets(given, shingle, bands, rows))
     distinct = cut(prints.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands")))
+        F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"),
+        F.first("sketch", ignorenulls=True).alias("sketch")))
     keyed = table_keys(distinct, bands)
     first = cut(first_pairs(keyed, least))
-    links = cut(confirmed(first.where("a IS NOT NULL").select("a", "b"), prints, least))
+    near = cut(likely(first.where("a IS NOT NULL").select("a", "b"), distinct, least))
+    links = cut(confirmed(near, prints, least))
     roots = cut(components(links))
     crowded = first.where("a IS NULL").select(F.col("b").alias("key"))
     if not crowded.isEmpty():

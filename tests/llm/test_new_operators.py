@@ -295,3 +295,19 @@ def test_tensored_bands_find_what_they_promise():
         same = a == b
         found += bool(same[:8].any() and same[8:].any())
     assert found >= 299
+
+
+def test_sketches_pass_linked_pairs_and_few_others(spark):
+    rng = np.random.default_rng(4)
+    rows, pairs = [], []
+    for k in range(600):
+        n, share = int(rng.integers(1, 500)), 0.85 if k % 2 else 0.4
+        shared = rng.integers(0, 1 << 63, max(1, round(n * share)), dtype=np.uint64)
+        own = rng.integers(0, 1 << 63, max(0, round(n * (1 - share))), dtype=np.uint64)
+        for side, part in ((0, own[::2]), (1, own[1::2])):
+            rows.append((2 * k + side, bytearray(minhash.sketch(np.unique(np.concatenate([shared, part]))))))
+        pairs.append((2 * k, 2 * k + 1, n))
+    distinct = spark.createDataFrame(rows, "node bigint, sketch binary")
+    found = {r.a // 2 for r in minhash.likely(spark.createDataFrame([p[:2] for p in pairs], "a bigint, b bigint"), distinct, (85, 100)).collect()}
+    assert found >= set(range(1, 600, 2))
+    assert not found & {k for k in range(0, 600, 2) if pairs[k][2] > 150}
