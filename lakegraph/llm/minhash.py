@@ -57,6 +57,17 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], HASH_SEED) for a, b in zip(starts, ends[shingle - 1:].tolist())], np.uint64))
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """Six bytes of each shingle: of two sets of a thousand, one pair in 300 million has two different shingles that agree in them."""
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A fixed permutation of the 64-bit numbers that spreads their bits."""
     values = values ^ values >> np.uint64(32)
@@ -120,7 +131,7 @@ def sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 out["n"].append(len(s))
                 out["bands"].append(all_bands.of(s).view(np.int64) if fresh else None)
                 out["sketch"].append(sketch(s) if fresh else None)
-                out["shingles"].append(s.tobytes() if fresh else None)
+                out["shingles"].append(packed(s) if fresh else None)
             return out
 
         return work
@@ -134,7 +145,7 @@ def sets(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 def table_keys(distinct: DataFrame, bands: int) -> DataFrame:
     """``key, node, n``: a row per table of every set. A key is a band of each collection."""
     keys = [F.xxhash64(F.lit(i * bands + j), F.col("bands")[i], F.col("bands")[bands + j]) for i in range(bands) for j in range(bands)]
-    return distinct.select(F.explode(F.array(*keys)).alias("key"), "node", "n")
+    return distinct.select(F.explode(F.array(*keys)).alias("key"), "node", F.col("n").cast("int").alias("n"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[int, list[np.ndarray], bool, bool]]:
@@ -185,6 +196,7 @@ def first_pairs(keyed: DataFrame, least: tuple[int, int]) -> DataFrame:
             return made
 
         for key, (node, n), begins, ends in _runs(batches, FEW):
+            n = n.astype(np.int64)
             if begins and ends and len(node) <= FEW:
                 x, y = np.triu_indices(len(node), 1)
                 fits = np.minimum(n[x], n[y]) * q >= np.maximum(n[x], n[y]) * p
@@ -232,22 +244,28 @@ def likely(pairs: DataFrame, distinct: DataFrame, least: tuple[int, int]) -> Dat
     return map_columns(both, ["_a", "_b"], make, [T.StructField("likely", T.BooleanType())], ["a", "b"]).where("likely").select("a", "b")
 
 
-def _wanted_sets(prints: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, shingles`` of the given nodes, once each."""
-    return prints.where("shingles IS NOT NULL").select("node", "shingles").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+def wanted_sets(prints: DataFrame, distinct: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, shingles`` of the given nodes, once each.
+
+    The rows to read are written first: their size is then known, so that few of them are sent to the sets instead of
+    moving all sets.
+    """
+    rows = cut(distinct.select("node", "row").join(nodes.distinct(), "node", "left_semi").select("row"))
+    return prints.where("shingles IS NOT NULL").select("row", "node", "shingles").join(rows, "row", "left_semi").drop("row")
 
 
-def confirmed(pairs: DataFrame, prints: DataFrame, least: tuple[int, int]) -> DataFrame:
+def confirmed(pairs: DataFrame, prints: DataFrame, distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs whose full sets have the similarity ``least`` or more."""
     p, q = least
-    found = cut(_wanted_sets(prints, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    both = pairs.join(found.toDF("a", "_a"), "a").join(found.toDF("b", "_b"), "b")
+    both = pairs
+    for end in ("b", "a"):
+        both = both.join(wanted_sets(prints, distinct, pairs.select(F.col(end).alias("node"))).toDF(end, f"_{end}"), end)
 
     def make():
         def work(left, right):
             ok = []
             for x, y in zip(left, right):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = unpacked(x), unpacked(y)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(shared * q >= p * (len(x) + len(y) - shared))
             return {"linked": ok}
@@ -263,7 +281,7 @@ def spanning_links(node: np.ndarray, root: np.ndarray, shingles: list[bytes], le
     Sizes of all intersections come from the product of the incidence matrix with itself.
     """
     p, q = least
-    given = [np.frombuffer(s, np.uint64) for s in shingles]
+    given = [unpacked(s) for s in shingles]
     n = np.array([len(s) for s in given], np.int64)
     values, column, many = np.unique(np.concatenate(given), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(given)), n)
@@ -298,7 +316,9 @@ def spanning_links(node: np.ndarray, root: np.ndarray, shingles: list[bytes], le
     return links
 
 
-def crowded_links(keyed: DataFrame, crowded: DataFrame, roots: DataFrame, prints: DataFrame, least: tuple[int, int]) -> DataFrame:
+def crowded_links(
+    keyed: DataFrame, crowded: DataFrame, roots: DataFrame, prints: DataFrame, distinct: DataFrame, least: tuple[int, int],
+) -> DataFrame:
     """``a, b``: links among the sets of crowded keys that known ``roots`` leave apart.
 
     A key of more than a piece is cut by hash into pieces, and each two of them meet in a place of their own.
@@ -314,7 +334,7 @@ def crowded_links(keyed: DataFrame, crowded: DataFrame, roots: DataFrame, prints
     rows = rows.select(
         F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("place"), "node", "root").distinct()
     rows = cut(rows)
-    found = cut(_wanted_sets(prints, rows.select("node").distinct()))
+    found = wanted_sets(prints, distinct, rows.select("node"))
 
     def run(batches):
         for _, (node, root, shingles), _, _ in _runs(batches):
@@ -340,18 +360,18 @@ def near_copies(
     Repeated rows stay; an empty table gives no rows.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    prints = cut(sets(given, shingle, bands, rows))
+    prints = cut(sets(given, shingle, bands, rows).withColumn("row", F.monotonically_increasing_id()))
     distinct = cut(prints.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"),
-        F.first("sketch", ignorenulls=True).alias("sketch")))
+        F.first("sketch", ignorenulls=True).alias("sketch"), F.min(F.when(F.col("bands").isNotNull(), F.col("row"))).alias("row")))
     keyed = table_keys(distinct, bands)
     first = cut(first_pairs(keyed, least))
     near = cut(likely(first.where("a IS NOT NULL").select("a", "b"), distinct, least))
-    links = cut(confirmed(near, prints, least))
+    links = cut(confirmed(near, prints, distinct, least))
     roots = cut(components(links))
     crowded = first.where("a IS NULL").select(F.col("b").alias("key"))
     if not crowded.isEmpty():
-        links = links.unionByName(cut(crowded_links(keyed, crowded, roots, prints, least)))
+        links = links.unionByName(cut(crowded_links(keyed, crowded, roots, prints, distinct, least)))
         roots = cut(components(links))
     rooted = distinct.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     rooted = cut(rooted)

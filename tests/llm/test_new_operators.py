@@ -270,7 +270,7 @@ def test_spanning_links_join_what_all_links_do():
         given.append(np.unique(np.concatenate([rng.permutation(base)[drop:], rng.integers(0, 1 << 63, rng.integers(0, 30), dtype=np.uint64)])))
     node = np.arange(60)
     root = np.where(node % 7 == 0, 0, node)
-    links = minhash.spanning_links(node, root, [s.tobytes() for s in given], (85, 100))
+    links = minhash.spanning_links(node, root, [minhash.packed(s) for s in given], (85, 100))
     sizes = {(i, j): len(np.intersect1d(given[i], given[j])) for i in range(60) for j in range(i)}
     near = [(i, j) for (i, j), c in sizes.items() if 100 * c >= 85 * (len(given[i]) + len(given[j]) - c)]
     assert {tuple(sorted(l, reverse=True)) for l in links} <= set(near) and len(links) < 60
