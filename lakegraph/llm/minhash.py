@@ -328,7 +328,7 @@ def crowded_links(
     size = rows.groupBy("key").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"),
         F.greatest(F.ceil(F.sum("n") / PIECE_SHINGLES), F.ceil(F.count("*") / PIECE_SETS)).cast("int").alias("pieces"))
-    rows = rows.join(size.where("_low < _high").select("key", "pieces"), "key")
+    rows = rows.join(cut(size.where("_low < _high").select("key", "pieces")), "key")
     mine = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("pieces")).cast("int")
     rows = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     rows = rows.select(
@@ -367,9 +367,17 @@ def near_copies(
     keyed = table_keys(distinct, bands)
     first = cut(first_pairs(keyed, least))
     near = cut(likely(first.where("a IS NOT NULL").select("a", "b"), distinct, least))
-    links = cut(confirmed(near, prints, distinct, least))
+    # One pair of each set first; pairs that those links already join need no sets.
+    some = cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = cut(confirmed(some, prints, distinct, least))
     roots = cut(components(links))
-    crowded = first.where("a IS NULL").select(F.col("b").alias("key"))
+    rest = near.join(some, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
+    rest = cut(rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
+    links = links.unionByName(cut(confirmed(rest, prints, distinct, least)))
+    roots = cut(components(links))
+    crowded = cut(first.where("a IS NULL").select(F.col("b").alias("key")))
     if not crowded.isEmpty():
         links = links.unionByName(cut(crowded_links(keyed, crowded, roots, prints, distinct, least)))
         roots = cut(components(links))
