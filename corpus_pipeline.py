@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegraph.llm import bpe, jaccard, mixing, quality, toxicity
+from lakegraph.llm import bpe, mixing, quality, simhash, toxicity
 from lakegraph.llm.common import prepare, read_table
 from lakegraph.session import cut
 
@@ -53,10 +53,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document of smallest id stays; a null id comes last."""
+    """Of each group of near copies (SimHash over three-word shingles, two bits) the document of smallest id stays; a null id comes last."""
     prepare(spark)
     rows = _set_aside(docs).withColumn("_key", _key())
-    groups = jaccard.near_copies(rows, "_1", "_key")
+    groups = simhash.near_copies(rows, "_1", "_key", shingle=3, radius=2)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     return _back(_once(rows.join(stay, "_key", "left_semi")), docs)
 
