@@ -4,8 +4,8 @@ Traversals run level by level for many start nodes at once.  Every level is
 written to the shared folder, so plans stay flat and a lost executor costs one
 re-read.
 Written levels have real sizes, so the optimizer broadcasts a small one by the
-session's own limit; a larger one goes through a shuffle join, where adaptive
-execution splits hub nodes.
+session's own limit. ``edges`` may be a frame or an ``EdgeStore``: a stored graph is not
+shuffled again, and a small level reads only its own buckets.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lakegraph import model
+from lakegraph.operators.edge_store import EdgeStore
 from lakegraph.session import cut
 
 
@@ -38,7 +39,9 @@ def union_edges(*edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [e.select("src", "dst") for e in edges]).distinct()
 
 
-def reverse(edges: DataFrame) -> DataFrame:
+def reverse(edges: DataFrame | EdgeStore) -> DataFrame | EdgeStore:
+    if isinstance(edges, EdgeStore):
+        return edges.reverse()
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
@@ -50,11 +53,22 @@ def roots(edges: DataFrame) -> DataFrame:
     )
 
 
-def _step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+def _step(frontier: DataFrame, edges: DataFrame | EdgeStore, rows: int | None = None) -> DataFrame:
+    if isinstance(edges, EdgeStore):
+        return edges.hop(frontier, rows)
     return edges.join(frontier.withColumnRenamed("node", "src"), "src")
 
 
-def _levels(edges: DataFrame, starts: DataFrame, hops: int | None, parents: bool, wanted: DataFrame | None = None):
+def _kept(edges: DataFrame | EdgeStore) -> DataFrame | EdgeStore:
+    """Edges that several steps read: a store as it is, a frame written once."""
+    return edges if isinstance(edges, EdgeStore) else cut(edges.select("src", "dst"))
+
+
+def _frame(edges: DataFrame | EdgeStore) -> DataFrame:
+    return edges.edges() if isinstance(edges, EdgeStore) else edges
+
+
+def _levels(edges: DataFrame | EdgeStore, starts: DataFrame, hops: int | None, parents: bool, wanted: DataFrame | None = None):
     """Materialised frames ``start, node, depth[, parent]``, one per depth; without ``hops`` until nothing new is reached.
 
     ``edges`` are read once per level, so callers materialise them first.
@@ -68,7 +82,8 @@ def _levels(edges: DataFrame, starts: DataFrame, hops: int | None, parents: bool
     levels = [level]
     open_pairs = wanted
     for depth in count(1) if hops is None else range(1, hops + 1):
-        if level.isEmpty():
+        rows = level.count()  # from the footers of what was just written
+        if not rows:
             break
         if open_pairs is not None:
             open_pairs = cut(open_pairs.join(level.select("start", "node"), ["start", "node"], "left_anti"))
@@ -77,7 +92,7 @@ def _levels(edges: DataFrame, starts: DataFrame, hops: int | None, parents: bool
             level_in = level.join(open_pairs.select("start").distinct(), "start", "left_semi")
         else:
             level_in = level
-        reached = _step(level_in.select("start", "node"), edges).groupBy("start", F.col("dst").alias("node"))
+        reached = _step(level_in.select("start", "node"), edges, rows).groupBy("start", F.col("dst").alias("node"))
         found = reached.agg(F.min("src").alias("parent")) if parents else reached.agg(F.lit(0).alias("_")).drop("_")
         seen = reduce(DataFrame.unionByName, [l.select("start", "node") for l in levels])
         level = found.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
@@ -87,28 +102,28 @@ def _levels(edges: DataFrame, starts: DataFrame, hops: int | None, parents: bool
     return levels
 
 
-def reach(edges: DataFrame, starts: DataFrame, hops: int | None = 5, *, parents: bool = False) -> DataFrame:
+def reach(edges: DataFrame | EdgeStore, starts: DataFrame, hops: int | None = 5, *, parents: bool = False) -> DataFrame:
     """``start, node, depth`` of everything downstream of each start, the start included.
 
     ``depth`` is the smallest hop count.  ``parents`` adds the smallest node
     one hop nearer, which makes the traversal tree deterministic.
     """
-    return _reach(cut(edges.select("src", "dst")), starts, hops, parents)
+    return _reach(_kept(edges), starts, hops, parents)
 
 
-def _reach(edges: DataFrame, starts: DataFrame, hops: int | None, parents: bool = False) -> DataFrame:
+def _reach(edges: DataFrame | EdgeStore, starts: DataFrame, hops: int | None, parents: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, _levels(edges, starts, hops, parents))
 
 
-def downstream(edges: DataFrame, starts: DataFrame, hops: int | None = 5) -> DataFrame:
+def downstream(edges: DataFrame | EdgeStore, starts: DataFrame, hops: int | None = 5) -> DataFrame:
     return reach(edges, starts, hops)
 
 
-def upstream(edges: DataFrame, starts: DataFrame, hops: int | None = 5) -> DataFrame:
+def upstream(edges: DataFrame | EdgeStore, starts: DataFrame, hops: int | None = 5) -> DataFrame:
     return reach(reverse(edges), starts, hops)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = 8) -> DataFrame:
+def shortest_paths(edges: DataFrame | EdgeStore, pairs: DataFrame, max_hops: int | None = 8) -> DataFrame:
     """``start, goal, position, node`` of one shortest path per connected ``start, goal`` pair.
 
     Among equally short paths the one with the smallest predecessors wins.
@@ -116,7 +131,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = 8)
     """
     pairs = cut(pairs.select("start", "goal").distinct())
     levels = _levels(
-        cut(edges.select("src", "dst")), pairs.select(F.col("start").alias("node")), max_hops, True,
+        _kept(edges), pairs.select(F.col("start").alias("node")), max_hops, True,
         wanted=pairs.select("start", F.col("goal").alias("node")),
     )
     at = reduce(DataFrame.unionByName, levels)
@@ -134,10 +149,10 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = 8)
     return reduce(DataFrame.unionByName, steps).drop("parent")
 
 
-def materialized_lineage(edges: DataFrame, hops: int | None = 6) -> DataFrame:
+def materialized_lineage(edges: DataFrame | EdgeStore, hops: int | None = 6) -> DataFrame:
     """``root, node, depth, parent`` below every root; only edges that exist."""
-    edges = cut(edges.select("src", "dst").distinct())
-    return _reach(edges, roots(edges), hops, True).withColumnRenamed("start", "root")
+    edges = _kept(edges)
+    return _reach(edges, roots(_frame(edges)), hops, True).withColumnRenamed("start", "root")
 
 
 def lineage_paths(lineage: DataFrame) -> DataFrame:
@@ -168,7 +183,7 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def neighbourhoods(
-    edges: DataFrame, foci: DataFrame, focus_links: DataFrame | None = None, hops: int = 2, max_nodes: int = 20
+    edges: DataFrame | EdgeStore, foci: DataFrame, focus_links: DataFrame | None = None, hops: int = 2, max_nodes: int = 20
 ) -> DataFrame:
     """``focus, node, depth``: the nearest ``max_nodes`` nodes around each focus, in either direction.
 
@@ -180,14 +195,19 @@ def neighbourhoods(
     """
     keep = 2 * max_nodes
 
-    def nearest(pairs: DataFrame) -> DataFrame:
+    def clipped(pairs: DataFrame) -> DataFrame:
         order = Window.partitionBy("src").orderBy("dst")
-        return (
-            pairs.filter(F.col("src") != F.col("dst")).distinct()
-            .withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep).drop("_n")
-        )
+        return pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep).drop("_n")
 
-    both = edges.select("src", "dst").unionByName(reverse(edges))
+    def nearest(pairs: DataFrame) -> DataFrame:
+        return clipped(pairs.filter(F.col("src") != F.col("dst")).distinct())
+
+    if isinstance(edges, EdgeStore):
+        # Stored edges are distinct and lie by source, so each direction is trimmed where it is.
+        ways = [part for way in (edges, edges.reverse()) for part in way.parts()]
+        both = reduce(DataFrame.unionByName, [clipped(w.filter(F.col("src") != F.col("dst"))) for w in ways])
+    else:
+        both = edges.select("src", "dst").unionByName(reverse(edges))
     near = cut(nearest(both))
     taken = cut(foci.select(F.col("node").alias("focus"), "node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, hops + 1):
@@ -211,23 +231,24 @@ def neighbourhoods(
     return taken
 
 
-def focus_nodes(edges: DataFrame, focus: DataFrame, hops: int = 2) -> DataFrame:
+def focus_nodes(edges: DataFrame | EdgeStore, focus: DataFrame, hops: int = 2) -> DataFrame:
     """Nodes up- or downstream of the focus, the focus included."""
-    edges = cut(edges.select("src", "dst").distinct())
+    edges = _kept(edges)
     down, up = _reach(edges, focus, hops), _reach(reverse(edges), focus, hops)
     return down.select("node").union(up.select("node")).distinct()
 
 
-def subgraph(edges: DataFrame, kept: DataFrame) -> DataFrame:
+def subgraph(edges: DataFrame | EdgeStore, kept: DataFrame) -> DataFrame:
     """Edges with both ends among ``kept``."""
+    kept = cut(kept.select("node"))
     return (
-        edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi")
+        _step(kept, edges, kept.count())
         .join(kept.select(F.col("node").alias("dst")), "dst", "left_semi")
         .select("src", "dst").distinct()
     )
 
 
-def diagram_lines(edges: DataFrame, kept: DataFrame) -> DataFrame:
+def diagram_lines(edges: DataFrame | EdgeStore, kept: DataFrame) -> DataFrame:
     """``section, line`` of a flowchart over the kept nodes.
 
     Node ids are hashes of the path, so lines can be written in parallel.
@@ -245,7 +266,7 @@ def diagram_lines(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return node_lines.unionByName(edge_lines)
 
 
-def impact(edges: DataFrame, changed: DataFrame, concepts: DataFrame, hops: int = 5) -> DataFrame:
+def impact(edges: DataFrame | EdgeStore, changed: DataFrame, concepts: DataFrame, hops: int = 5) -> DataFrame:
     """What a change touches: ``start, depth, type, n`` over everything downstream."""
     touched = downstream(edges, changed, hops).filter(F.col("depth") > 0)
     types = concepts.select(F.col("path").alias("node"), "type")
@@ -268,13 +289,13 @@ def hop_pairs(paths: DataFrame) -> DataFrame:
     )
 
 
-def adjacency(edges: DataFrame, shard_size: int = 10_000) -> DataFrame:
+def adjacency(edges: DataFrame | EdgeStore, shard_size: int = 10_000) -> DataFrame:
     """``src, out_degree, shard, targets``: out-lists in pieces of about ``shard_size``.
 
     A hub's list is spread over several rows by a hash of the target, so no
     task ever gathers all of it.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = _frame(edges).select("src", "dst") if isinstance(edges, EdgeStore) else edges.select("src", "dst").distinct()
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
     big = degree.filter(F.col("out_degree") > shard_size)
     shards = F.ceil(F.coalesce("out_degree", F.lit(1)) / shard_size)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakegraph import model
 from lakegraph.operators import graph, packs, resolve
+from lakegraph.operators.edge_store import EdgeStore
 from lakegraph.plans.joins import STATEMENT_EDGES_SQL
 from lakegraph.plans.registry import query, quoted, stem_sql, with_parts
 from lakegraph.sources import derive
@@ -18,6 +19,21 @@ def _edges(spark, sf, cyclic=False):
     return graph.flow_edges(derive.links(spark, sf, cyclic=cyclic))
 
 
+_stores: dict = {}
+
+
+def _store(spark, sf):
+    """The derived graph as stored edges, written once per session and state of the input files."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(sf)
+    state = listed.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("path", "length", "modificationTime"), F.lit(1 << 40)))).first()
+    key = spark.sparkContext.applicationId, sf, tuple(state)
+    if key not in _stores:
+        for old in [k for k in _stores if k[:2] == key[:2]]:
+            _stores.pop(old).drop()
+        _stores[key] = EdgeStore.write(_edges(spark, sf))
+    return _stores[key]
+
+
 def _node(spark, path):
     return spark.createDataFrame([(path,)], "node string")
 
@@ -69,7 +85,7 @@ WITH {_reach_sql(_STREAMS, 5)} SELECT start, node, depth FROM reached
 """))
 def g02(spark, sf):
     """Everything downstream of every stream source."""
-    return _long_depth(graph.downstream(_edges(spark, sf), _streams(spark, sf)))
+    return _long_depth(graph.downstream(_store(spark, sf), _streams(spark, sf)))
 
 
 @query("g02_downstream_cyclic", with_parts("concepts cycle_links cycle_edges", f"""
@@ -90,8 +106,8 @@ WITH {_reach_sql(_ZONES, 5, 'edges', 'dst', 'src')} SELECT start, node, depth FR
 """))
 def g03(spark, sf):
     """Everything upstream of every storage zone."""
-    edges = _edges(spark, sf)
-    zones = edges.filter(C("dst").startswith("/storage/")).select(C("dst").alias("node")).distinct()
+    edges = _store(spark, sf)
+    zones = edges.edges().filter(C("dst").startswith("/storage/")).select(C("dst").alias("node")).distinct()
     return _long_depth(graph.upstream(edges, zones))
 
 
@@ -137,7 +153,7 @@ SELECT root, 'path-' || {stem_sql('root')} || '-to-' || {stem_sql('last.n')} AS
 FROM summary WHERE node_count >= 2
 """))
 def g06(spark, sf):
-    paths = graph.lineage_paths(graph.materialized_lineage(_edges(spark, sf)))
+    paths = graph.lineage_paths(graph.materialized_lineage(_store(spark, sf)))
     return paths.withColumn("hop_count", C("hop_count").cast("bigint"))
 
 
@@ -192,7 +208,7 @@ around AS (
 def _neighbourhoods(spark, sf):
     concepts, links = derive.concepts(spark, sf), derive.links(spark, sf)
     foci = concepts.filter(C("type") == "BusinessObject").select(C("path").alias("node"))
-    return graph.neighbourhoods(graph.flow_edges(links), foci, links)
+    return graph.neighbourhoods(_store(spark, sf), foci, links)
 
 
 @query("g07_context_neighbourhood", with_parts("concepts links edges", f"WITH {_AROUND} SELECT focus, node, depth FROM clipped"))
@@ -217,7 +233,7 @@ _FOCUS_NODES = _reach_sql(f"SELECT '{FOCUS}' AS node", 2, name="down") + ", " +
 
 @query("u02_focus_nodes", with_parts("links edges", f"WITH {_FOCUS_NODES} SELECT node FROM kept"))
 def u02(spark, sf):
-    return graph.focus_nodes(_edges(spark, sf), _node(spark, FOCUS))
+    return graph.focus_nodes(_store(spark, sf), _node(spark, FOCUS))
 
 
 @query("g08_diagram", with_parts("links edges", f"""
@@ -229,7 +245,7 @@ WHERE src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept)
 """))
 def g08(spark, sf):
     """The two-hop diagram around one supplier."""
-    edges = _edges(spark, sf)
+    edges = _store(spark, sf)
     return graph.diagram_lines(edges, graph.focus_nodes(edges, _node(spark, FOCUS)))
 
 
@@ -240,7 +256,7 @@ WHERE depth > 0 GROUP BY ALL
 """))
 def g09(spark, sf):
     """What a change to one supplier touches."""
-    return _long_depth(graph.impact(_edges(spark, sf), _node(spark, FOCUS), derive.concepts(spark, sf)))
+    return _long_depth(graph.impact(_store(spark, sf), _node(spark, FOCUS), derive.concepts(spark, sf)))
 
 
 @query("w05_hop_pairs", """
@@ -281,7 +297,7 @@ SELECT src, out_degree, shard, string_agg(dst, ',' ORDER BY dst) AS targets FROM
 """))
 def k03(spark, sf):
     """Out-lists, in shards of about a hundred here so that hubs are split."""
-    lists = graph.adjacency(_edges(spark, sf), shard_size=100)
+    lists = graph.adjacency(_store(spark, sf), shard_size=100)
     return lists.withColumn("targets", F.array_join("targets", ","))
 
 

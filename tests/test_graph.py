@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakegraph.operators import graph
+from lakegraph.operators.edge_store import EdgeStore
 
 # a -> b -> d, a -> c -> d (two equal paths), d -> e -> d (cycle), e -> e, x -> y -> x (pure cycle), e -> gone
 EDGES = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "e"), ("a", "b"),
@@ -128,3 +129,36 @@ def test_hop_pairs(spark):
     paths = spark.createDataFrame([("p", ["a", "b", "c"]), ("q", ["a"])], "path_id string, nodes array<string>")
     assert [(r.path_id, r.position, r.src, r.dst, r.hop_count) for r in graph.hop_pairs(paths).orderBy("position").collect()] == [
         ("p", 1, "a", "b", 2), ("p", 2, "b", "c", 2)]
+
+
+@pytest.mark.parametrize("hub_edges", [1_000_000, 3])
+def test_stored_edges_give_what_a_frame_gives(spark, hub_edges):
+    rng = random.Random(7)
+    rows = EDGES + [("hub", f"n{i:03}") for i in range(60)] + [(f"n{rng.randrange(60):03}", f"n{rng.randrange(60):03}") for _ in range(90)]
+    frame, store = edges(spark, rows), EdgeStore.write(edges(spark, rows), 4, hub_edges)
+    some = starts(spark, "a", "hub", "x", "nowhere", "n003")
+    same = lambda f: sorted(map(str, f(frame).collect())) == sorted(map(str, f(store).collect()))
+    assert same(lambda e: graph.downstream(e, some, 4)) and same(lambda e: graph.upstream(e, some, 4))
+    assert same(lambda e: graph.reach(e, some, None, parents=True)) and same(lambda e: graph.materialized_lineage(e))
+    assert same(lambda e: graph.neighbourhoods(e, some, None, 2, 6)) and same(lambda e: graph.focus_nodes(e, some))
+    assert same(lambda e: graph.subgraph(e, some)) and same(lambda e: graph.adjacency(e, 20))
+    pairs = spark.createDataFrame([("a", "e"), ("hub", "n001"), ("a", "x")], "start string, goal string")
+    assert same(lambda e: graph.shortest_paths(e, pairs))
+    store.drop()
+
+
+def test_a_hop_neither_shuffles_stored_edges_nor_opens_all_buckets(spark):
+    store = EdgeStore.write(edges(spark, [(f"n{i}", f"n{i + 1}") for i in range(500)]), 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = store.hop(starts(spark, *(f"n{i}" for i in range(300))))._jdf.queryExecution().executedPlan().toString()
+        scan = plan.index("FileScan")
+        # On the way from the scan up to the join there is a sort at most; the one exchange is the frontier's.
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert plan.index("Exchange hashpartitioning") > scan or "Exchange" not in plan[plan.index("SortMergeJoin"):scan]
+        few = store.hop(starts(spark, "n7"), 1)._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 1 out of 8" in few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        store.drop()
