@@ -346,3 +346,6 @@ TYPE_ENUMS = {
     "Table": {"layer": ("bronze", "silver", "gold", "raw", "sandbox")},
     "Wireframe": {"diagram_kind": ("wireframe",), "language": ("mermaid", "plantuml")},
 }
+
+# Fixed value: the key of a root index that says which version of the format a bundle follows.
+VERSION_KEY = "okf_version"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lakegraph import model
 from lakegraph.functions.naming import infer_layer
+from lakegraph.functions.text import bundle_hrefs
 from lakegraph.operators.graph import flow_edges, nodes
 
 WELL_KNOWN = ("/index.md", "/log.md")
@@ -216,26 +217,72 @@ def _finding(df: DataFrame, severity: str, rule: str, path: str, detail: Column)
                      detail.alias("detail"))
 
 
+def asset_findings(concepts: DataFrame) -> DataFrame:
+    """What a single asset shows: ``path, severity, rule, detail, key``, out of one array per row.
+
+    ``broken_href`` rows are candidates whose ``key`` still has to be looked up; it is null for all others.
+    """
+    finding = lambda severity, rule, detail, key=F.lit(None).cast("string"): F.struct(
+        F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), detail.alias("detail"), key.alias("key"))
+    none = F.array().cast("array<struct<severity:string,rule:string,detail:string,key:string>>")
+    fields = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in ("type", "title")]))
+    hrefs = F.filter(bundle_hrefs(F.coalesce("body", F.lit("")), model.MARKDOWN_LINK, 2), lambda h: F.ltrim(h, F.lit("/")) != "")
+    return concepts.select("path", F.inline(F.concat(
+        none,
+        F.transform(fields, lambda f: finding("error", "missing_field", f)),
+        F.transform(F.array_repeat(F.lit(""), F.coalesce("bad_links", F.lit(0)).cast("int")), lambda d: finding("warning", "non_object_link", d)),
+        F.transform(hrefs, lambda h: finding("error", "broken_href", h, F.concat(F.lit("/"), F.ltrim(h, F.lit("/"))))),
+    )))
+
+
+def root_findings(root: DataFrame) -> DataFrame:
+    """Findings on the bundle's own ``path, text`` files: no index, an index without version, no log."""
+    has = root.agg(
+        F.coalesce(F.bool_or(F.col("path") == "/index.md"), F.lit(False)).alias("index"),
+        F.coalesce(F.bool_or((F.col("path") == "/index.md") & F.contains("text", F.lit(model.VERSION_KEY))), F.lit(False)).alias("version"),
+        F.coalesce(F.bool_or(F.col("path") == "/log.md"), F.lit(False)).alias("log"))
+    finding = lambda cond, path, severity, rule, detail: F.when(cond, F.struct(
+        F.lit(path).alias("path"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.lit(detail).alias("detail")))
+    return has.select(F.inline(F.array_compact(F.array(
+        finding(~F.col("index"), "/index.md", "error", "missing_file", ""),
+        finding(F.col("index") & ~F.col("version"), "/index.md", "warning", "missing_version", model.VERSION_KEY),
+        finding(~F.col("log"), "/log.md", "warning", "missing_file", ""),
+    ))))
+
+
 def validate(
-    concepts: DataFrame, links: DataFrame, hrefs: DataFrame | None = None, bad_links: DataFrame | None = None,
-    structure: DataFrame | None = None,
+    concepts: DataFrame, links: DataFrame, *, listed: DataFrame | None, root: DataFrame | None, paths: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings as ``path, severity, rule, detail``; a catalog is valid without errors."""
-    missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in ("type", "title")]))
-    found = [
-        concepts.select(
-            "path", F.lit("error").alias("severity"), F.lit("missing_field").alias("rule"),
-            F.explode(missing).alias("detail"),
-        ),
-        _finding(broken_links(links, concepts), "error", "broken_link", "src", F.col("target")),
-    ]
-    if hrefs is not None:
-        found.append(_finding(broken_hrefs(hrefs, known_paths(concepts)), "error", "broken_href", "src", F.col("href")))
-    if bad_links is not None:
-        found.append(_finding(bad_links, "warning", "non_object_link", "path", F.lit("")))
-    if structure is not None:
-        found.append(_finding(structure.withColumn("path", F.lit("/")), "warning", "missing_structure", "path",
+    """Findings as ``path, severity, rule, detail``; a catalog is valid without errors.
+
+    Assets are read once for all rules on their own fields, ``bad_links`` and the in-bundle links of their ``body``. Typed
+    links and those of bodies are looked up together: targets are made distinct first, and a typed link may point at any
+    catalog's listing, one of a body only at files that exist. ``listed`` has the ``catalog`` of every listing and ``root``
+    the ``path, text`` of the bundle's own files; None stands for a check of some assets only, without the rules on the whole
+    bundle. ``paths`` are those of all assets where ``concepts`` are some of them.
+    """
+    spark = concepts.sparkSession
+    own = asset_findings(concepts)
+    every = concepts.select("path") if paths is None else paths.select("path")
+    typed = links.filter(F.coalesce("target", F.lit("")) != "").select(
+        F.col("src").alias("path"), F.lit("error").alias("severity"), F.lit("broken_link").alias("rule"), F.col("target").alias("detail"),
+        F.concat(F.lit("/"), F.ltrim("target", F.lit("/"))).alias("key"))
+    asked = typed.unionByName(own.filter(F.col("key").isNotNull()))
+    both = F.explode(F.array(F.lit("broken_link"), F.lit("broken_href")))
+    fixed = [(p, "broken_link") for p in (*WELL_KNOWN, *(f"/{c}/index.md" for c in model.CATALOGS))]
+    known = every.select(F.col("path").alias("key"), both.alias("rule")).unionByName(spark.createDataFrame(fixed, "key string, rule string"))
+    if listed is not None:
+        known = known.unionByName(listed.select(F.concat(F.lit("/"), "catalog", F.lit("/index.md")).alias("key"), F.lit("broken_href").alias("rule")))
+    if root is not None:
+        known = known.unionByName(root.select(F.col("path").alias("key"), F.lit("broken_href").alias("rule")))
+    missing = asked.select("rule", "key").distinct().join(known, ["rule", "key"], "left_anti")
+    found = [own.filter(F.col("key").isNull()), asked.join(missing, ["rule", "key"], "left_semi")]
+    found = [f.select("path", "severity", "rule", "detail") for f in found]
+    if listed is not None:
+        found.append(_finding(missing_structure(spark, every, listed).withColumn("path", F.lit("/")), "warning", "missing_structure", "path",
                               F.concat_ws(":", "kind", "name")))
+    if root is not None:
+        found.append(root_findings(root))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -340,12 +387,16 @@ def business_coverage(objects: Column, tables: Column) -> Column:
     return F.when(tables > 0, F.round(objects / tables, 2)).otherwise(F.lit(0.0))
 
 
-def health(concepts: DataFrame, links: DataFrame, edges: DataFrame, *, index_built: bool) -> DataFrame:
-    """One row: asset, edge, orphan and error counts, coverage and density."""
+def health(concepts: DataFrame, links: DataFrame, edges: DataFrame, *, listed: DataFrame, root: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row: asset, edge, orphan and error counts, coverage and density.
+
+    ``manifest`` is that of the search index, without a row where none was built.
+    """
     is_type = lambda t: F.count_if(F.col("type") == t)
     n = F.count(F.lit(1))
-    findings = validate(concepts, links)
+    findings = validate(concepts, links, listed=listed, root=root)
     parts = [
+        manifest.agg(n.alias("manifests")),
         concepts.agg(n.alias("concept_count"), is_type("Table").alias("tables"),
                      is_type("BusinessObject").alias("business_objects"), is_type("GlossaryTerm").alias("glossary_terms")),
         edges.agg(n.alias("edge_count")),
@@ -356,10 +407,10 @@ def health(concepts: DataFrame, links: DataFrame, edges: DataFrame, *, index_bui
     names = [c for p in parts for c in p.columns]
     row = pivot_metrics(reduce(DataFrame.unionByName, [tall_metrics(p) for p in parts]), names)
     return row.select(
-        *[F.col(c).cast("bigint").alias(c) for c in names],
+        *[F.col(c).cast("bigint").alias(c) for c in names if c != "manifests"],
         business_coverage(F.col("business_objects"), F.col("tables")).alias("business_coverage"),
         F.round(F.col("edge_count") / F.greatest("tables", F.lit(1.0)), 6).alias("density"),
-        F.lit(index_built).alias("index_built"),
+        (F.col("manifests") > 0).alias("index_built"),
         (F.col("error_count") == 0).alias("validation_ok"),
     )
 

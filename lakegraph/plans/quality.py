@@ -15,10 +15,21 @@ C = F.col
 
 
 def _catalog(spark, sf):
-    concepts, links = derive.concepts(spark, sf), derive.links(spark, sf)
+    """Assets, links and edges; the first two are written once, as many rules read them."""
+    concepts, links = cut(derive.concepts(spark, sf)), cut(derive.links(spark, sf))
     return concepts, links, graph.flow_edges(links)
 
 
+def _bundle(spark, sf):
+    """What a check of the whole bundle needs besides its assets and links."""
+    return {"listed": derive.listings(spark, sf), "root": derive.root_files(spark, sf)}
+
+
+def _manifest(concepts):
+    """The manifest of an index over the assets, as stored beside it."""
+    return cut(concepts.agg(F.count(F.lit(1)).alias("concept_count")))
+
+
 @query("a01_type_histogram", with_parts("concepts", "SELECT coalesce(type, '?') AS type, count(*) AS n FROM concepts GROUP BY ALL"))
 def a01(spark, sf):
     return quality.type_histogram(derive.concepts(spark, sf))
@@ -52,9 +63,22 @@ def u03(spark, sf):
 
 
 _FINDINGS = f"""
+hrefs AS (
+  SELECT path, href, regexp_replace(href, '^/+', '/') AS key FROM (
+    SELECT path, regexp_replace(unnest(regexp_extract_all(body, {quoted([model.MARKDOWN_LINK])}, 2)), '[#?].*$', '') AS href FROM concepts
+  ) h WHERE starts_with(href, '/') AND NOT starts_with(href, '//') AND href <> '/'
+), odd AS (SELECT path, unnest(range({derive.BAD_LINKS_SQL})) AS i FROM concepts),
 findings AS MATERIALIZED (
   SELECT path, 'error' AS severity, 'missing_field' AS rule, 'title' AS detail FROM concepts WHERE title IS NULL
   UNION ALL SELECT src, 'error', 'broken_link', target FROM links WHERE target NOT IN ({_KNOWN})
+  UNION ALL SELECT path, 'error', 'broken_href', href FROM hrefs
+    WHERE key NOT IN (SELECT path FROM concepts) AND key NOT IN ('/index.md', '/tables/index.md', '/views/index.md')
+  UNION ALL SELECT path, 'warning', 'non_object_link', '' FROM odd
+  UNION ALL SELECT '/', 'warning', 'missing_structure', 'catalog:' || catalog FROM (SELECT DISTINCT catalog FROM concepts) c
+    WHERE catalog NOT IN ('tables', 'views')
+  UNION ALL SELECT '/', 'warning', 'missing_structure', 'layer:' || unnest(['bronze', 'silver', 'gold'])
+  UNION ALL SELECT '/index.md', 'warning', 'missing_version', '{model.VERSION_KEY}'
+  UNION ALL SELECT '/log.md', 'warning', 'missing_file', ''
 )
 """
 
@@ -62,7 +86,7 @@ findings AS MATERIALIZED (
 @query("v01_bundle_validation", with_parts("concepts links", f"WITH {_FINDINGS} SELECT path, severity, rule, detail FROM findings"))
 def v01(spark, sf):
     concepts, links, _ = _catalog(spark, sf)
-    return quality.validate(concepts, links)
+    return quality.validate(concepts, links, **_bundle(spark, sf))
 
 
 @query("l02_capped_samples", with_parts("concepts links", f"""
@@ -73,7 +97,7 @@ SELECT rule, path, detail, total, n AS rank FROM (
 """))
 def l02(spark, sf):
     concepts, links, _ = _catalog(spark, sf)
-    sampled = quality.capped_samples(quality.validate(concepts, links), "rule", ["path", "detail"], 10)
+    sampled = quality.capped_samples(cut(quality.validate(concepts, links, **_bundle(spark, sf))), "rule", ["path", "detail"], 10)
     return sampled.select("rule", "path", "detail", "total", C("rank").cast("bigint").alias("rank"))
 
 
@@ -113,13 +137,15 @@ WITH {_FINDINGS}, c AS (
          count(*) FILTER (type = 'GlossaryTerm') AS glossary_terms,
          count(*) FILTER (type IN ('Table', 'View', 'Query', 'BusinessObject') AND path NOT IN (SELECT node FROM nodes)) AS orphan_count
   FROM concepts
-), e AS (SELECT count(*) AS edge_count FROM edges), f AS (SELECT count(*) AS error_count FROM findings)
-SELECT concept_count, tables, business_objects, glossary_terms, edge_count, orphan_count, error_count, 0 AS warning_count,
+), e AS (SELECT count(*) AS edge_count FROM edges), f AS (
+  SELECT count(*) FILTER (severity = 'error') AS error_count, count(*) FILTER (severity = 'warning') AS warning_count FROM findings)
+SELECT concept_count, tables, business_objects, glossary_terms, edge_count, orphan_count, error_count, warning_count,
        round(business_objects / tables, 2) AS business_coverage, round(edge_count / greatest(tables, 1), 6) AS density,
-       true AS index_built, error_count = 0 AS validation_ok FROM c, e, f
+       concept_count > 0 AS index_built, error_count = 0 AS validation_ok FROM c, e, f
 """))
 def v03(spark, sf):
-    return quality.health(*_catalog(spark, sf), index_built=True)
+    concepts, links, edges = _catalog(spark, sf)
+    return quality.health(concepts, links, cut(edges), **_bundle(spark, sf), manifest=_manifest(concepts))
 
 
 _BLOB = "(coalesce(description, '') || chr(10) || coalesce(body, ''))"
@@ -143,7 +169,7 @@ WITH {_FINDINGS}, c AS (
 ), layers AS (
   SELECT count(*) AS n FROM (SELECT unnest(['bronze', 'silver', 'gold']) AS m) x WHERE EXISTS (
     SELECT 1 FROM concepts WHERE contains(lower(concat_ws(' ', title, layer, array_to_string(tags, ' '))), m))
-), e AS (SELECT count(*) AS edges FROM edges), f AS (SELECT count(*) AS errors FROM findings),
+), e AS (SELECT count(*) AS edges FROM edges), f AS (SELECT count(*) FILTER (severity = 'error') AS errors FROM findings),
 parts AS (
   SELECT *, errors = 0 AS ok, (gold > 0 AND objects = 0) AS hard_gold FROM c, e, f, layers
 ), scores AS (
@@ -169,7 +195,7 @@ parts AS (
 
 def _grades(spark, sf):
     concepts, links, edges = _catalog(spark, sf)
-    return grade.grade(grade.grade_inputs(concepts, links, cut(edges)))
+    return grade.grade(grade.grade_inputs(concepts, links, cut(edges), **_bundle(spark, sf), manifest=_manifest(concepts)))
 
 
 _CRITERIA = list(model.GRADE_WEIGHTS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakegraph import model
 from lakegraph.operators import catalog, grade, graph, quality
-from lakegraph.plans.quality import _CRITERIA
+from lakegraph.plans.quality import _CRITERIA, _bundle, _manifest
 from lakegraph.plans.registry import ORACLES, query, quoted, with_parts
 from lakegraph.plans.sources import asset_text
 from lakegraph.session import cut
@@ -57,6 +57,12 @@ def v09(spark, sf):
 @query("a08_scanned_assets", ORACLES["a08_grade"])
 def a08(spark, sf):
     links = cut(derive.links(spark, sf))
-    inputs = grade.grade_inputs(_scanned(spark, sf), links, cut(graph.flow_edges(links)))
+    concepts = _scanned(spark, sf)
+    inputs = grade.grade_inputs(concepts, links, cut(graph.flow_edges(links)), **_bundle(spark, sf), manifest=_manifest(concepts))
     return grade.grade(inputs).select(
         *_CRITERIA, "hard_fail_count", "score", "passed", F.size("revisions").cast("bigint").alias("revision_count"))
+
+
+@query("v01_scanned_assets", ORACLES["v01_bundle_validation"])
+def v01(spark, sf):
+    return quality.validate(_scanned(spark, sf), cut(derive.links(spark, sf)), **_bundle(spark, sf))

@@ -28,6 +28,7 @@ def asset_text():
         F.when(C("mode").isNotNull(), line("ingestion_mode", C("mode"))), F.when(C("fqn").isNotNull(), line("fqn", C("fqn"))),
         F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]")),
         F.lit("links:"), F.concat(F.lit("- target: /"), C("catalog"), F.lit("/index.md")), F.lit("  rel: cataloged_in"),
+        F.when(C("bad_links") > 0, F.array_join(F.array_repeat(F.lit("- loose"), C("bad_links")), "\n")),
         F.lit("- target: /layers/silver.md"), F.lit("  rel: layered_as"),
         F.lit("---"), F.lit(""), C("body"),
     )
@@ -192,7 +193,7 @@ def _harvest_sql() -> str:
 
 
 def _harvest(spark, sf):
-    return lake.harvest_columns({t: derive.table(spark, sf, t) for t in _TABLE_COLUMNS})
+    return lake.harvest_footers(spark, {t: f"{sf.rstrip('/')}/{t}.parquet" for t in _TABLE_COLUMNS})
 
 
 @query("s08_table_columns", _harvest_sql())

@@ -72,7 +72,9 @@ SELECT {_order_path('o_orderkey')}, 'tables',
        CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN 'raw' ELSE {_order_layer('o_orderkey')} END,
        CASE WHEN o_orderkey % 101 = 0 THEN 'skip' ELSE 'active' END, {_NONE}, {_NONE},
        'table|' || o_orderpriority, {_order_layer('o_orderkey')} || '.order_' || CAST(o_orderkey AS STRING),
-       CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '# Order' || chr(10) || 'Placed by customer ' || CAST(o_custkey AS STRING) END
+       CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '# Order' || chr(10) || 'Placed by customer ' || CAST(o_custkey AS STRING)
+            || ', see [the buyer](/business-objects/' || CASE WHEN o_orderkey % 37 = 0 THEN 'retired-' ELSE 'customer-' END
+            || CAST(o_custkey AS STRING) || '.md#orders), [all tables](/tables/index.md) and [all buyers](/business-objects/index.md)' END
 FROM {{orders}}
 UNION ALL
 SELECT {_customer_path('c_custkey')}, 'business-objects', 'customer-' || CAST(c_custkey AS STRING),
@@ -123,6 +125,9 @@ SELECT '/dashboards/nation-' || CAST(n_nationkey AS STRING) || '.md', 'visualize
 FROM {{nation}}
 """
 
+#: Entries of an asset's link list that are no objects.
+BAD_LINKS_SQL = "CASE WHEN type = 'Workflow' AND length(title) % 5 = 0 THEN 2 WHEN type = 'Query' AND title IS NULL THEN 1 ELSE 0 END"
+
 # Closes the loop customer -> dashboard -> supplier on top of LINKS_SQL.
 CYCLE_LINKS_SQL = LINKS_SQL + f"""
 UNION ALL
@@ -175,6 +180,7 @@ def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assets with ``tags`` as an array; ``uri``, ``source`` and ``name`` are columns of scanned assets and NULL here."""
     rows = _run(spark, sf_dir, CONCEPTS_SQL).withColumn("tags", F.split("tag_text", r"\|")).drop("tag_text")
+    rows = rows.withColumn("bad_links", F.expr(BAD_LINKS_SQL))
     return rows.withColumns({c: F.lit(None).cast("string") for c in ("uri", "source", "name")})
 
 
@@ -183,6 +189,17 @@ def links(spark: SparkSession, sf_dir: str, *, cyclic: bool = False) -> DataFram
     return _run(spark, sf_dir, CYCLE_LINKS_SQL if cyclic else LINKS_SQL)
 
 
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``catalog`` of every listing: only tables and views that are in use have one."""
+    return concepts(spark, sf_dir).filter(F.col("catalog").isin("tables", "views")).select("catalog").distinct()
+
+
+def root_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, text`` of the bundle's own files: an index that names the regions and no version, and no log."""
+    names = table(spark, sf_dir, "region").agg(F.array_join(F.sort_array(F.collect_set("r_name")), ", ").alias("names"))
+    return names.select(F.lit("/index.md").alias("path"), F.concat(F.lit("# Catalog of "), F.col("names")).alias("text"))
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, stem, declared_layer, sql``."""
     return _run(spark, sf_dir, STATEMENTS_SQL)

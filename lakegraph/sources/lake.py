@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lakegraph import model
 from lakegraph.functions.naming import infer_layer, path_for_type, stem_of
 from lakegraph.functions.sqltext import is_view, sql_sources, writes_table
 from lakegraph.functions.text import slugify
+from lakegraph.session import scratch_path
 from lakegraph.sources.bundle import relative_path, scan_files
 
 
@@ -62,22 +67,61 @@ def harvest_columns(tables: dict[str, DataFrame]) -> DataFrame:
     measured, one aggregate pass per table, because file formats mark every
     column nullable.
     """
-    harvested = None
-    for name, df in tables.items():
-        counts = df.agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.array(*[
-                F.struct(
-                    F.lit(i).cast("bigint").alias("position"), F.lit(f.name).alias("column_name"),
-                    F.lit(f.dataType.simpleString()).alias("data_type"),
-                    F.count_if(F.col(f.name).isNull()).alias("null_count"),
-                )
-                for i, f in enumerate(df.schema.fields)
-            ]).alias("columns"),
-        )
-        rows = counts.select(F.lit(name).alias("table_name"), "row_count", F.inline("columns"))
-        harvested = rows if harvested is None else harvested.unionByName(rows)
-    return harvested
+    return reduce(DataFrame.unionByName, [_column_rows(name, df, range(len(df.columns))) for name, df in tables.items()])
+
+
+def _column_rows(name: str, df: DataFrame, places) -> DataFrame:
+    """A row per column at ``places``, out of one aggregate."""
+    fields = [(i, df.schema.fields[i]) for i in places]
+    counts = df.agg(F.count(F.lit(1)).alias("row_count"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in fields])
+    columns = F.array(*[
+        F.struct(
+            F.lit(i).cast("bigint").alias("position"), F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("data_type"), (F.col("row_count") - F.col(f"c{i}")).alias("null_count"))
+        for i, f in fields
+    ])
+    return counts.select(F.lit(name).alias("table_name"), "row_count", F.inline(columns))
+
+
+def footer_session(spark: SparkSession) -> SparkSession:
+    """A session beside the given one whose Parquet counts come from file footers."""
+    other = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            other.conf.set(key, value)
+    used = [s for s in other.conf.get("spark.sql.sources.useV1SourceList").split(",") if s != "parquet"]
+    other.conf.set("spark.sql.sources.useV1SourceList", ",".join(used))
+    other.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return other
+
+
+def footer_counts(name: str, df: DataFrame) -> list[DataFrame]:
+    """Column rows of a Parquet table of a ``footer_session``: those that footers answer, then those that need a scan.
+
+    Footers hold the counts of leaves, so nested columns are the ones that are read.
+    """
+    nested = {i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
+    kinds = [i for i in range(len(df.columns)) if i not in nested], sorted(nested)
+    return [_column_rows(name, df, places) for places in kinds if places]
+
+
+def harvest_footers(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """As ``harvest_columns`` for Parquet tables at ``paths``, without reading column data but of nested columns.
+
+    Schemas are those of the files; counts are sums over footers, so the work grows with
+    the number of files. One job counts all tables and writes the result, which the given session
+    reads. Files without statistics make it fail; the tables are then counted by scans.
+    """
+    other = footer_session(spark)
+    rows = reduce(DataFrame.unionByName, [part for name, path in paths.items() for part in footer_counts(name, other.read.parquet(path))])
+    target = scratch_path(spark, "footers")
+    try:
+        rows.write.parquet(target)
+    except (PySparkException, Py4JJavaError):
+        return harvest_columns({name: spark.read.parquet(path) for name, path in paths.items()})
+    # A table without any row group gives null sums.
+    counted = spark.read.schema(rows.schema).parquet(target)
+    return counted.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("row_count", "null_count")})
 
 
 def column_concepts(harvested: DataFrame, layer: str, schema: str, source: str) -> tuple[DataFrame, DataFrame]:

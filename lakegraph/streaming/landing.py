@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from lakegraph import model
+
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
@@ -86,18 +88,20 @@ def revalidate(
     """After an edit, validates and relists only the catalogs of the edited files.
 
     ``files`` streams ``path, text``; ``read_all`` gives the current concepts
-    and links.  Links are checked for the touched catalogs, against all paths.
+    and links.  Links and bodies of the touched catalogs are checked, against all
+    paths; folders that are no catalog are left alone.
     """
     from lakegraph.operators.catalog import listing_lines
     from lakegraph.operators.quality import validate
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select(F.split("path", "/")[1].alias("catalog")).distinct()
+        # The batch names a few catalogs; as literals they prune an asset table that is partitioned by catalog.
+        names = [r.catalog for r in touched.filter(F.col("catalog").isin(*model.CATALOGS)).collect()]
         concepts, links = read_all()
-        own_links = links.withColumn("catalog", F.split("src", "/")[1]).join(touched, "catalog", "left_semi").drop("catalog")
-        findings = validate(concepts, own_links)
-        findings = findings.withColumn("catalog", F.split("path", "/")[1]).join(touched, "catalog", "left_semi")
-        on_findings(findings, batch_id)
-        on_listing(listing_lines(concepts.join(touched, "catalog", "left_semi")), batch_id)
+        own = concepts.filter(F.col("catalog").isin(names))
+        own_links = links.filter(F.split("src", "/")[1].isin(names))
+        on_findings(validate(own, own_links, listed=None, root=None, paths=concepts), batch_id)
+        on_listing(listing_lines(own), batch_id)
 
     _finish(files.writeStream.foreachBatch(refresh), checkpoint)

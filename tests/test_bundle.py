@@ -108,4 +108,23 @@ def test_operators_take_scanned_assets(spark, tmp_path):
     assert "`g.t`" in catalog.promote_layer(concepts, links).first().definition
     assert [(r.path, r.field) for r in quality.check_headers(concepts, quality.header_rules(spark)).collect()] == [("/tables/gold-t.md", "layer")][:0]
     assert search.intent_scores(concepts, "t", "general").count() > 0
-    assert grade.grade_inputs(concepts, links, edges).first().streams == 1.0
+    root = spark.createDataFrame([], "path string, text string")
+    inputs = grade.grade_inputs(concepts, links, edges, listed=concepts.select("catalog").distinct(), root=root, manifest=spark.range(1)).first()
+    assert inputs.streams == 1.0 and inputs.index_built
+
+
+def test_footers_count_what_a_scan_counts(spark, tmp_path):
+    rows = [(1, "a", [1.0], 2.0), (None, "b", None, None), (3, None, [None], float("nan"))]
+    df = spark.createDataFrame(rows, "`a.b` int, s string, v array<double>, x double")
+    df.repartition(3).write.parquet(str(tmp_path / "t"))
+    df.limit(0).write.parquet(str(tmp_path / "none"))
+    paths = {n: str(tmp_path / n) for n in ("t", "none")}
+    got = lake.harvest_footers(spark, paths)
+    want = lake.harvest_columns({n: spark.read.parquet(p) for n, p in paths.items()})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.columns == want.columns
+    flat, nested = lake.footer_counts("t", lake.footer_session(spark).read.parquet(paths["t"]))
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)" in plan and "ReadSchema: struct<count(*)" in plan
+    assert [r.column_name for r in nested.collect()] == ["v"]
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"

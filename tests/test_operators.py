@@ -181,7 +181,10 @@ def _grade(spark, frame, link_rows, **options):
     from lakegraph.operators.graph import flow_edges
 
     l = links(spark, *link_rows) if link_rows else links(spark, ("x", "feeds", "y")).limit(0)
-    return grade.grade(grade.grade_inputs(frame, l, flow_edges(l), **options)).first()
+    listed = frame.select("catalog").distinct() if "catalog" in frame.columns else spark.createDataFrame([], "catalog string")
+    root = spark.createDataFrame([("/index.md", "okf_version: 1"), ("/log.md", "")], "path string, text string")
+    manifest = spark.range(1 if options.get("index_built", True) else 0)
+    return grade.grade(grade.grade_inputs(frame, l, flow_edges(l), listed=listed, root=root, manifest=manifest)).first()
 
 
 def test_grade_by_hand(spark):
@@ -327,3 +330,39 @@ def test_stored_search_reads_only_asked_folders(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(prefix" in plan or "PartitionFilters: [array_contains" in plan
     assert search.search_stored(spark, str(tmp_path / "index"), asked.filter("query_id = 's'")).count() == 0
+
+
+def test_validation_covers_fields_links_bodies_structure_and_root(spark):
+    frame = spark.createDataFrame([
+        ("/tables/a.md", "Table", "A", "see [b](/tables/b.md#x), [gone](/tables/gone.md?y=1), [out](https://x.y), [l](/tables/index.md), [v](/views/index.md)", 2),
+        ("/tables/b.md", None, None, None, None), ("/views/v.md", "View", "V", "[root](/index.md) [log](/log.md) [/](/) [n](//host/x)", 0),
+        ("/layers/gold.md", "Layer", "Gold", "", 0),
+    ], "path string, type string, title string, body string, bad_links int")
+    rows = spark.createDataFrame([("/tables/a.md", "feeds", "tables/b.md"), ("/tables/a.md", "feeds", "/views/index.md"), ("/views/v.md", "uses", "/x.md"),
+                                  ("/views/v.md", "uses", "/x.md"), ("/views/v.md", "uses", ""), ("/views/v.md", "uses", None)], "src string, rel string, target string")
+    listed = spark.createDataFrame([("tables",)], "catalog string")
+    root = spark.createDataFrame([("/index.md", "# no version")], "path string, text string")
+    found = sorted(tuple(r) for r in quality.validate(frame, rows, listed=listed, root=root).collect())
+    assert found == sorted([
+        ("/tables/b.md", "error", "missing_field", "type"), ("/tables/b.md", "error", "missing_field", "title"),
+        ("/tables/a.md", "warning", "non_object_link", ""), ("/tables/a.md", "warning", "non_object_link", ""),
+        ("/tables/a.md", "error", "broken_href", "/tables/gone.md"), ("/tables/a.md", "error", "broken_href", "/views/index.md"),
+        ("/views/v.md", "error", "broken_href", "/log.md"), ("/views/v.md", "error", "broken_link", "/x.md"), ("/views/v.md", "error", "broken_link", "/x.md"),
+        ("/", "warning", "missing_structure", "catalog:views"), ("/", "warning", "missing_structure", "catalog:layers"),
+        ("/", "warning", "missing_structure", "layer:bronze"), ("/", "warning", "missing_structure", "layer:silver"),
+        ("/index.md", "warning", "missing_version", "okf_version"), ("/log.md", "warning", "missing_file", "")])
+    bare = root.limit(0)
+    assert {tuple(r) for r in quality.root_findings(bare).collect()} == {("/index.md", "error", "missing_file", ""), ("/log.md", "warning", "missing_file", "")}
+    # Some assets only: no rule on the whole bundle, and the other assets' paths are known.
+    part = quality.validate(frame.limit(0), rows.limit(1), listed=None, root=None, paths=frame)
+    assert part.count() == 0
+
+
+def test_health_reads_the_index_flag_from_the_manifest(spark):
+    frame = concepts(spark, dict(path="/tables/gold-a.md", type="Table", title="A", layer="gold")).withColumn("bad_links", F.lit(0))
+    edges = spark.createDataFrame([], "src string, dst string")
+    none = spark.createDataFrame([], "src string, rel string, target string")
+    root = spark.createDataFrame([("/index.md", "okf_version: 1")], "path string, text string")
+    for n in (0, 1):
+        row = quality.health(frame, none, edges, listed=spark.createDataFrame([("tables",)], "catalog string"), root=root, manifest=spark.range(n)).first()
+        assert row.index_built == (n == 1) and row.error_count == 0 and row.warning_count == 4
