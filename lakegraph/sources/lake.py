@@ -70,10 +70,16 @@ def harvest_columns(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [_column_rows(name, df, range(len(df.columns))) for name, df in tables.items()])
 
 
+def _nested(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+
+
 def _column_rows(name: str, df: DataFrame, places) -> DataFrame:
     """A row per column at ``places``, out of one aggregate."""
     fields = [(i, df.schema.fields[i]) for i in places]
-    counts = df.agg(F.count(F.lit(1)).alias("row_count"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in fields])
+    # Footers know the nulls of leaves, so nested columns are counted in a form that is never pushed down to them.
+    filled = lambda f: F.count_if(F.col(f"`{f.name}`").isNotNull()) if _nested(f) else F.count(F.col(f"`{f.name}`"))
+    counts = df.agg(F.count(F.lit(1)).alias("row_count"), *[filled(f).alias(f"c{i}") for i, f in fields])
     columns = F.array(*[
         F.struct(
             F.lit(i).cast("bigint").alias("position"), F.lit(f.name).alias("column_name"),
@@ -100,7 +106,7 @@ def footer_counts(name: str, df: DataFrame) -> list[DataFrame]:
 
     Footers hold the counts of leaves, so nested columns are the ones that are read.
     """
-    nested = {i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
+    nested = {i for i, f in enumerate(df.schema.fields) if _nested(f)}
     kinds = [i for i in range(len(df.columns)) if i not in nested], sorted(nested)
     return [_column_rows(name, df, places) for places in kinds if places]
 
@@ -119,9 +125,9 @@ def harvest_footers(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         rows.write.parquet(target)
     except (PySparkException, Py4JJavaError):
         return harvest_columns({name: spark.read.parquet(path) for name, path in paths.items()})
-    # A table without any row group gives null sums.
+    # A table without any row group has no sums: they come as null or, as counts are never null, as a number below 0.
     counted = spark.read.schema(rows.schema).parquet(target)
-    return counted.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("row_count", "null_count")})
+    return counted.withColumns({c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in ("row_count", "null_count")})
 
 
 def column_concepts(harvested: DataFrame, layer: str, schema: str, source: str) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ def concepts(spark, *rows):
         r["catalog"] = r["catalog"] or r["path"].split("/")[1]
         r["stem"] = r["stem"] or r["path"].split("/")[-1].removesuffix(".md")
         full.append(tuple(r[k] for k in base))
-    return spark.createDataFrame(full, CONCEPT)
+    return spark.createDataFrame(full, CONCEPT).withColumn("bad_links", F.lit(0))
 
 
 def links(spark, *rows):
@@ -359,7 +359,7 @@ def test_validation_covers_fields_links_bodies_structure_and_root(spark):
 
 
 def test_health_reads_the_index_flag_from_the_manifest(spark):
-    frame = concepts(spark, dict(path="/tables/gold-a.md", type="Table", title="A", layer="gold")).withColumn("bad_links", F.lit(0))
+    frame = concepts(spark, dict(path="/tables/gold-a.md", type="Table", title="A", layer="gold"))
     edges = spark.createDataFrame([], "src string, dst string")
     none = spark.createDataFrame([], "src string, rel string, target string")
     root = spark.createDataFrame([("/index.md", "okf_version: 1")], "path string, text string")
