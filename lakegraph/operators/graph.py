@@ -149,10 +149,17 @@ def shortest_paths(edges: DataFrame | EdgeStore, pairs: DataFrame, max_hops: int
     return reduce(DataFrame.unionByName, steps).drop("parent")
 
 
-def materialized_lineage(edges: DataFrame | EdgeStore, hops: int | None = 6) -> DataFrame:
-    """``root, node, depth, parent`` below every root; only edges that exist."""
+def materialized_lineage(edges: DataFrame | EdgeStore, hops: int | None = 6, asked: DataFrame | None = None) -> DataFrame:
+    """``root, node, depth, parent`` below every root; only edges that exist.
+
+    The rows are as many as roots times what they reach. ``asked`` (``node``) limits
+    them to some roots; sizes for all come from ``closure.reach_sizes``.
+    """
     edges = _kept(edges)
-    return _reach(edges, roots(_frame(edges)), hops, True).withColumnRenamed("start", "root")
+    tops = roots(_frame(edges))
+    if asked is not None:
+        tops = tops.join(asked.select("node").distinct(), "node", "left_semi")
+    return _reach(edges, tops, hops, True).withColumnRenamed("start", "root")
 
 
 def lineage_paths(lineage: DataFrame) -> DataFrame:

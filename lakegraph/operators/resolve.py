@@ -54,34 +54,25 @@ def resolve_names(names: DataFrame, concepts: DataFrame, *, contains: bool = Fal
     return resolved.select("name", F.col("best.path").alias("path"))
 
 
-def _grams(text: Column, size: int) -> Column:
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))),
-        lambda i: F.substring(text, i, F.lit(size)),
-    ))
-
-
 def _containing(wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """Assets whose stem contains the key, joined on the key's rarest three-letter piece."""
-    stems = known.select("path", "stem", "rank", F.explode(_grams(F.col("stem"), 3)).alias("gram"))
-    rarity = stems.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    long = wanted.filter(F.length("key") >= 3)
-    rarest = (
-        long.withColumn("gram", F.explode(_grams(F.col("key"), 3))).join(rarity, "gram")
-        .groupBy("name", "key").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    )
-    hits = rarest.join(stems, "gram").filter(F.contains("stem", "key"))
-    # Keys of one or two letters are pieces themselves.
-    short = wanted.filter(F.length("key").between(1, 2))
-    pieces = F.array_union(_grams(F.col("stem"), 1), _grams(F.col("stem"), 2))
-    short_hits = short.join(
-        known.select("path", "stem", "rank", F.explode(pieces).alias("key")), "key"
-    )
-    columns = ["name", "key", "rank", "path"]
-    return (
-        hits.select(*columns).unionByName(short_hits.select(*columns))
-        .groupBy("name", "key").agg(F.min(F.struct("rank", F.lit(2).alias("looseness"), "path")).alias("best"))
+    """Best asset whose stem contains the key, by equality with whole pieces of stems.
+
+    Stems are cut at every place into the lengths that occur among the keys, and
+    only the best asset of a piece leaves a task, so a piece that a large share of
+    all stems holds is still one row per task and the lookup has no pairs to test.
+    """
+    lengths = wanted.agg(F.collect_set(F.length("key"))).scalar()
+    pieces = F.array_distinct(F.flatten(F.transform(
+        F.filter("_sizes", lambda n: n.between(1, F.length("stem"))),
+        lambda n: F.transform(
+            F.sequence(F.lit(1), F.length("stem") - n + 1), lambda i: F.substring(F.col("stem"), i, n)
+        ),
+    )))
+    best = (
+        known.withColumn("_sizes", lengths).select("path", "rank", F.explode(pieces).alias("key"))
+        .groupBy("key").agg(F.min(F.struct("rank", F.lit(2).alias("looseness"), "path")).alias("best"))
     )
+    return wanted.filter(F.length("key") > 0).join(best, "key").select("name", "key", "best")
 
 
 def statement_edges(statements: DataFrame, sql: str = "sql", *, compat: bool = False) -> DataFrame:

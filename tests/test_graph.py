@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakegraph.operators import graph
+from lakegraph.operators import closure, graph
 from lakegraph.operators.edge_store import EdgeStore
 
 # a -> b -> d, a -> c -> d (two equal paths), d -> e -> d (cycle), e -> e, x -> y -> x (pure cycle), e -> gone
@@ -162,3 +162,56 @@ def test_a_hop_neither_shuffles_stored_edges_nor_opens_all_buckets(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         store.drop()
+
+
+def brute_closure(rows):
+    after = {}
+    for s, d in rows:
+        after.setdefault(s, set()).add(d)
+        after.setdefault(d, set())
+    seen = {}
+    for n in after:
+        todo, seen[n] = [n], {n}
+        while todo:
+            for d in after[todo.pop()] - seen[n]:
+                seen[n].add(d)
+                todo.append(d)
+    return seen, {n: min(m for m in seen[n] if n in seen[m]) for n in seen}
+
+
+CHAIN = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
+TWO_RINGS = [("b", "c"), ("c", "b"), ("c", "d"), ("d", "a"), ("a", "e"), ("e", "d"), ("e", "z"), ("y", "b")]
+
+
+def test_condensation_and_reach_sizes(spark):
+    """Several graphs side by side: loops, equal paths, a chain, a long ring, rings in a row, random ones."""
+    some = [[(f"v{r.randrange(40)}", f"v{r.randrange(40)}") for _ in range(n)] for r, n in
+            [(random.Random(1), 30), (random.Random(2), 50), (random.Random(3), 70)]]
+    graphs = [EDGES, CHAIN, CHAIN + [("n12", "n00")], TWO_RINGS, *some]
+    rows = [(f"{i}-{s}", f"{i}-{d}") for i, g in enumerate(graphs) for s, d in g]
+    seen, component = brute_closure(rows)
+    parts = closure.condense(edges(spark, rows)).collect()
+    assert {r.node: r.component for r in parts} == component and len(parts) == len(component)
+    sizes = {r.component: (r.members, r.reached) for r in closure.reach_sizes(edges(spark, rows)).collect()}
+    members = list(component.values())
+    assert sizes == {c: (members.count(c), len(seen[c])) for c in set(members)}
+
+
+def test_reach_sizes_of_many_nodes(spark):
+    rows = [(f"top{i % 3}", f"mid{i % 40}") for i in range(120)] + [(f"mid{i % 40}", f"low{i}") for i in range(8000)]
+    sizes = {r.component: r.reached for r in closure.reach_sizes(edges(spark, rows)).collect()}
+    seen, _ = brute_closure(rows)
+    assert len(sizes) == len(seen) and all(abs(n - len(seen[c])) <= max(1, 0.07 * len(seen[c])) for c, n in sizes.items())
+
+
+def test_condensation_of_nothing_and_nulls(spark):
+    assert closure.condense(edges(spark, EDGES).limit(0)).count() == 0
+    assert closure.reach_sizes(edges(spark, EDGES).limit(0)).count() == 0
+    got = closure.condense(edges(spark, [("a", None), (None, "b"), ("c", "c")])).collect()
+    assert [tuple(r) for r in got] == [("c", "c")]
+
+
+def test_lineage_of_asked_roots(spark):
+    rows = [("a", "b"), ("b", "c"), ("x", "c"), ("y", "x")]
+    got = graph.materialized_lineage(edges(spark, rows), None, asked=starts(spark, "y", "b"))
+    assert sorted((r.root, r.node, r.depth) for r in got.collect()) == [("y", "c", 2), ("y", "x", 1), ("y", "y", 0)]

@@ -100,6 +100,22 @@ def test_name_resolution_ranking(spark):
     assert loose == {**plain, "tuff": "/queries/my-stuff.md", "a": "/tables/ab.md"}
 
 
+def test_containing_names_that_share_a_piece(spark):
+    stems = ["alpha-orders", "beta-orders-x", "orders", "borders", "zz", "gamma-ord", "a-b-c", "ordersorders"]
+    frame = concepts(spark, *[dict(path=f"/{'views' if i % 2 else 'tables'}/{s}.md") for i, s in enumerate(stems)])
+    asked = ["rders", "ord", "o", "b-c", "rders_x", "zzz", "-", "ordersorders_and_much_longer", "rsor", "", "lph"]
+    got = {r.name: r.path for r in resolve.resolve_names(spark.createDataFrame([(a,) for a in asked], "name string"), frame, contains=True).collect()}
+    want = {}
+    for name in asked:
+        key = name.lower().replace("_", "-")
+        hits = [(i % 2, 0 if s == key else 1 if s.endswith("-" + key) else 2, f"/{'views' if i % 2 else 'tables'}/{s}.md")
+                for i, s in enumerate(stems) if key and key in s]
+        exact = [h for h in hits if h[1] < 2]
+        if hits:
+            want[name] = min(exact or hits)[2]
+    assert got == want
+
+
 def test_subjects(spark):
     frame = concepts(spark, dict(path="/dashboards/sales.md", type="Dashboard", title="Sales"),
                      dict(path="/tables/sales.md", type="Table", title="Sales"))
