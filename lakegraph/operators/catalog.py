@@ -48,6 +48,24 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str = "path", stable: b
     )
 
 
+def write_upsert(upserted: DataFrame, folder: str, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Writes the next snapshot and gives ``(snapshot, receipt)``.
+
+    The receipt counts ``created, updated, skipped, errors`` per ``type, layer``. The
+    snapshot lies in a folder per action, so it is counted from two short columns of what
+    was written, and the join behind it runs once. Rows ``kept`` from before are no part
+    of the batch. ``errors`` (``type, layer``, one row each) never reached the upsert. Null types and layers count as themselves.
+    """
+    upserted.write.partitionBy("action").parquet(folder)
+    stored = upserted.sparkSession.read.schema(upserted.schema).parquet(folder)
+    counted = stored.filter(F.col("action") != "kept").select("type", "layer", "action")
+    if errors is not None:
+        counted = counted.unionByName(errors.select("type", "layer", F.lit("error").alias("action")))
+    named = {"created": "created", "updated": "updated", "skipped": "skipped", "errors": "error"}
+    receipt = counted.groupBy("type", "layer").agg(*[F.count_if(F.col("action") == a).alias(n) for n, a in named.items()])
+    return stored, receipt
+
+
 def audit_events(upserted: DataFrame, author: str, batch: str, host: str = "") -> DataFrame:
     """One event per created or updated asset; audit events do not audit themselves.
 

@@ -8,6 +8,7 @@ from lakegraph import model
 from lakegraph.operators import catalog
 from lakegraph.plans.registry import quoted, query, slug_sql, strip_sql, with_parts
 from lakegraph.plans.text import _PROSE, _human_sql
+from lakegraph.session import scratch_path
 from lakegraph.sources import derive
 
 C = F.col
@@ -31,7 +32,7 @@ def _snapshots(spark, sf):
         header = {"title": F.concat(F.lit("Term "), C("lang")), "type": F.lit("GlossaryTerm"), "source": C("source")}
         return df.select(
             path.alias("path"), F.lit("GlossaryTerm").alias("type"), catalog.fingerprint(header, body).alias("fingerprint"),
-            F.lit(stamp).alias("timestamp"),
+            F.lit(stamp).alias("timestamp"), C("lang").alias("layer"), "n_chars",
         )
 
     current = rows(docs.filter(C("doc_id") % 13 != 4), C("doc_id"), C("text"), "2024-01-01T00:00:00Z")
@@ -59,6 +60,22 @@ def k07(spark, sf):
     return catalog.upsert(*_snapshots(spark, sf)).select("path", "action", "timestamp")
 
 
+@query("s09_write_receipt", """
+WITH d AS (
+  SELECT lang AS layer, n_chars < 100 AS bad, doc_id % 13 = 4 AS new, doc_id % 10 = 3 AS changed FROM documents WHERE doc_id % 17 <> 0
+)
+SELECT 'GlossaryTerm' AS type, layer, count_if(NOT bad AND new) AS created, count_if(NOT bad AND NOT new AND changed) AS updated,
+       count_if(NOT bad AND NOT new AND NOT changed) AS skipped, count_if(bad) AS errors
+FROM d GROUP BY layer
+""")
+def s09_receipt(spark, sf):
+    """What a batch of documents did, by language as layer; documents of under 100 characters are refused."""
+    current, incoming = _snapshots(spark, sf)
+    good, bad = incoming.filter(C("n_chars") >= 100), incoming.filter(C("n_chars") < 100)
+    _, receipt = catalog.write_upsert(catalog.upsert(current, good), scratch_path(spark, "snapshot"), bad)
+    return receipt
+
+
 @query("k08_audit_events", _UPSERT + """
 SELECT left(md5(path || '|batch-7'), 16) AS event_id, '/write-events/' || left(md5(path || '|batch-7'), 16) || '.md' AS path,
        'write GlossaryTerm ' || regexp_replace(path, '^.*/', '') AS title, 'ana' AS author, 'unknown' AS host,

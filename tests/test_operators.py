@@ -382,3 +382,18 @@ def test_health_reads_the_index_flag_from_the_manifest(spark):
     for n in (0, 1):
         row = quality.health(frame, none, edges, listed=spark.createDataFrame([("tables",)], "catalog string"), root=root, manifest=spark.range(n)).first()
         assert row.index_built == (n == 1) and row.error_count == 0 and row.warning_count == 4
+
+
+def test_write_receipt_counts_what_was_written(spark, tmp_path):
+    row = "path string, type string, layer string, fingerprint string, timestamp string"
+    current = spark.createDataFrame([("/a", "Table", "gold", "1", "t0"), ("/b", "Table", None, "1", "t0"), ("/z", "Table", "gold", "1", "t0")], row)
+    incoming = spark.createDataFrame([("/a", "Table", "gold", "2", "t1"), ("/b", "Table", None, "1", "t1"), ("/c", "View", "gold", "1", "t1"),
+                                      ("/d", None, None, "1", "t1")], row)
+    errors = spark.createDataFrame([("Table", "gold"), (None, None), (None, None)], "type string, layer string")
+    stored, receipt = catalog.write_upsert(catalog.upsert(current, incoming), str(tmp_path / "next"), errors)
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in receipt.collect()} == {
+        ("Table", "gold"): (0, 1, 0, 1), ("Table", None): (0, 0, 1, 0), ("View", "gold"): (1, 0, 0, 0), (None, None): (1, 0, 0, 2)}
+    assert {(r.path, r.action, r.timestamp) for r in stored.collect()} == {
+        ("/a", "updated", "t0"), ("/b", "skipped", "t0"), ("/z", "kept", "t0"), ("/c", "created", "t1"), ("/d", "created", "t1")}
+    _, nothing = catalog.write_upsert(catalog.upsert(current, incoming.limit(0)), str(tmp_path / "same"))
+    assert nothing.count() == 0
