@@ -8,6 +8,7 @@ with a heap, until they hold enough vectors, and ranks what they hold exactly.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,18 +23,18 @@ BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 #: Partial results of one query block that are merged at once.
 MERGE = 32
 
+FOUND = "query_id bigint, rank int, vec_id bigint, score double"
+
 
 def usable(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``vec_id, v`` (doubles): a repeated id once, with its smallest vector; no null, zero or non-finite vectors.
+    """``row, vec_id, v`` (doubles): every row with an id and a vector that is not null or zero and holds finite numbers only.
 
-    The most common length (the longer on a tie) is that of the index; other vectors take no part.
+    ``row`` tells rows of one id apart; it is written once, with the rows.
     """
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = rows.select(F.col(key).cast("bigint").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    rows = cut(rows.where(good).groupBy("vec_id").agg(F.min("v").alias("v")))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == (common.n if common else 0))
+    return cut(rows.where(good).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
 
 
 def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -47,8 +48,8 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, k: int = 32, sample: int = 20_000) -> list[np.ndarray]:
-    """Centroids of both halves, from the ``sample`` vectors of smallest id hash."""
-    some = lowest(vectors, "vec_id", sample, vectors.count(), "vec_id").select("v").toPandas()
+    """Centroids of both halves, from the ``sample`` vectors of smallest row hash."""
+    some = lowest(vectors, "row", sample, vectors.count()).select("v").toPandas()
     if some.empty:
         return []
     rows = np.array(some["v"].tolist())
@@ -90,25 +91,31 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def nearest(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20,
-    centroids: int = 32, sample: int = 20_000, fraction: float = 0.65, least: int = 2000,
+    centroids: int = 32, sample: int = 20_000, fraction: float = 0.65,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` of largest inner product found for each query.
 
-    Queries are the ids divisible by ``every``; a query is no candidate of its own.
-    Every vector is indexed; only the centroids come from a sample (``sample``
-    rows). A query stops once its cells hold ``fraction`` of all vectors, ``least`` at
-    any rate; the share that near-random vectors need for a recall of 0.9 does not
-    fall with their number. Vectors and queries are packed into blocks, so the search is
+    Queries are the rows of ids divisible by ``every``; a query's own row is no candidate,
+    another row of its id is one, and is a query of its own. Every vector is indexed; only the centroids come from a sample (``sample``
+    rows). A query stops once its cells hold ``fraction`` of all vectors, and more than ``k``; the share that
+    near-random vectors need for a recall of 0.9 does not fall with their number. Vectors and queries are packed into blocks, so the search is
     a matrix product per pair of blocks; the number of rows that Spark joins is
-    that of block pairs. Ties go to the smaller id, see :func:`usable` for nulls,
-    repeated ids and lengths. Without usable vectors there are no rows.
+    that of block pairs. Ties go to the smaller id, see :func:`usable` for nulls.
+    Vectors have an inner product only with those of their own length, so every length is an
+    index of its own, one after the other. Without usable vectors there are no rows.
     """
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    spark = rows.sparkSession
     vectors = usable(rows, key, vector)
+    lengths = sorted(r.n for r in vectors.select(F.size("v").alias("n")).distinct().collect())
+    if not lengths:
+        return rows.sparkSession.createDataFrame([], FOUND)
+    parts = [vectors if len(lengths) == 1 else vectors.where(F.size("v") == n) for n in lengths]
+    return reduce(DataFrame.unionByName, [_search(part, every, k, centroids, sample, fraction) for part in parts])
+
+
+def _search(vectors: DataFrame, every: int, k: int, centroids: int, sample: int, fraction: float) -> DataFrame:
+    """:func:`nearest` among vectors of one length."""
+    spark = vectors.sparkSession
     coarse = fit(vectors, centroids, sample)
-    if not coarse:
-        return spark.createDataFrame([], schema)
     half, width = coarse[0].shape[1], coarse[0].shape[1] + coarse[1].shape[1]
     n_second = len(coarse[1])
 
@@ -126,7 +133,7 @@ def nearest(
     for cell, n in indexed.groupBy("cell").count().collect():
         sizes[cell] = n
     total = int(sizes.sum())
-    enough = max(least, int(np.ceil(fraction * total))) + 1
+    enough = max(k, int(np.ceil(fraction * total))) + 1
 
     # Cells side by side, each cut where a block is full: a hot cell fills several blocks.
     n_blocks = max(1, -(-total // BLOCK_VECTORS))
@@ -135,38 +142,38 @@ def nearest(
     wide = np.maximum(1, -(-sizes * n_blocks // max(1, total)))
     layout = spark.createDataFrame(pd.DataFrame({"c": np.arange(len(sizes)), "first_block": block_of, "wide": wide}))
     blocked = indexed.join(F.broadcast(layout), F.col("cell") == F.col("c")).select(
-        "vec_id", "v", "cell", (F.col("first_block") + F.pmod(F.xxhash64("vec_id"), "wide")).alias("block"))
+        "row", "vec_id", "v", "cell", (F.col("first_block") + F.pmod(F.xxhash64("row"), "wide")).alias("block"))
     packed = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("ids", T.BinaryType()),
+        T.StructField("block", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("own", T.BinaryType()),
         T.StructField("rows", T.BinaryType()), T.StructField("cells", T.BinaryType())])
 
     def pack(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        ids, cells = table.column("vec_id").to_numpy(), table.column("cell").to_numpy()
+        ids, own, cells = (table.column(c).to_numpy().astype("<i8").tobytes() for c in ("vec_id", "row", "cell"))
         x = np.array(table.column("v").to_pylist(), np.float64)
-        row = [[block], [ids.astype("<i8").tobytes()], [x.tobytes()], [cells.astype("<i8").tobytes()]]
+        row = [[block], [ids], [own], [x.tobytes()], [cells]]
         return pa.table(row, names=packed.names)
 
     blocks = cut(blocked.groupBy("block").applyInArrow(pack, packed))
     asked = T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("qids", T.BinaryType()), T.StructField("qrows", T.BinaryType()),
-        T.StructField("seen", T.BinaryType()), T.StructField("block", T.LongType())])
+        T.StructField("chunk", T.LongType()), T.StructField("qids", T.BinaryType()), T.StructField("qown", T.BinaryType()),
+        T.StructField("qrows", T.BinaryType()), T.StructField("seen", T.BinaryType()), T.StructField("block", T.LongType())])
     reach = block_of + wide
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        ids = table.column("vec_id").to_numpy()
+        ids, own = (table.column(c).to_numpy() for c in ("vec_id", "row"))
         x = np.array(table.column("v").to_pylist(), np.float64)
         seen = np.zeros((len(ids), len(sizes)), bool)
         for i, scores in enumerate(zip(x[:, :half] @ coarse[0].T, x[:, half:] @ coarse[1].T)):
             seen[i, visit(scores, sizes, enough)] = True
         needed = sorted({b for c in np.flatnonzero(seen.any(0)) for b in range(block_of[c], reach[c])})
-        common = [chunk, ids.astype("<i8").tobytes(), x.tobytes(), np.packbits(seen, axis=1).tobytes()]
+        common = [chunk, ids.astype("<i8").tobytes(), own.astype("<i8").tobytes(), x.tobytes(), np.packbits(seen, axis=1).tobytes()]
         return pa.table([*([v] * len(needed) for v in common), needed], names=asked.names)
 
     queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
     n_chunks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    chunked = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)))
+    chunked = queries.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(n_chunks)))
     pairs = chunked.groupBy("chunk").applyInArrow(ask, asked).join(blocks, "block")
     partial = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("part", T.LongType()), T.StructField("qids", T.BinaryType()),
@@ -183,11 +190,11 @@ def nearest(
     def search(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                qids, ids, cells = (np.frombuffer(row[c], "<i8") for c in ("qids", "ids", "cells"))
+                qids, qown, ids, own, cells = (np.frombuffer(row[c], "<i8") for c in ("qids", "qown", "ids", "own", "cells"))
                 q, x = (np.frombuffer(row[c]).reshape(-1, width) for c in ("qrows", "rows"))
                 seen = np.unpackbits(np.frombuffer(row["seen"], np.uint8).reshape(len(qids), -1), axis=1)[:, :len(sizes)].astype(bool)
                 scores = q @ x.T
-                scores[~seen[:, cells] | (qids[:, None] == ids[None, :])] = -np.inf
+                scores[~seen[:, cells] | (qown[:, None] == own[None, :])] = -np.inf
                 found = []
                 for i, line in enumerate(scores):
                     # The product may round; all within a hair of the k-th are scored again.
@@ -223,4 +230,4 @@ def nearest(
                     [pa.array(np.repeat(np.frombuffer(row["qids"], "<i8"), n)), pa.array(rank), pa.array(np.frombuffer(row["ids"], "<i8")),
                      pa.array(np.frombuffer(row["scores"]))], names=["query_id", "rank", "vec_id", "score"])
 
-    return found.mapInArrow(unpack, schema)
+    return found.mapInArrow(unpack, FOUND)

@@ -159,11 +159,11 @@ def test_multi_index_recall_and_order(spark):
     x = rng.normal(size=(3000, 16))
     x[500:1400] = x[500]  # a hot vector
     rows = [(i, [float(v) for v in row], "e") for i, row in enumerate(x)]
-    rows += [(20000, None, "e"), (20020, [0.0] * 16, "e"), (20040, [float("nan")] * 16, "e"), (20060, [None] * 16, "e"), (20080, [1.0] * 3, "e"), (20, rows[20][1], "e")]
+    rows += [(20000, None, "e"), (20020, [0.0] * 16, "e"), (20040, [float("nan")] * 16, "e"), (20060, [None] * 16, "e")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, cell string")
     for fraction, low in ((0.65, 0.9), (1.0, 1.0)):
         found = collections.defaultdict(list)
-        for r in multi_index.nearest(df, fraction=fraction, least=200).collect():
+        for r in multi_index.nearest(df, fraction=fraction).collect():
             found[r.query_id].append((r["rank"], r.vec_id, r.score))
         assert set(found) == set(range(0, 3000, 20))
         hits = 0
@@ -186,6 +186,28 @@ def test_multi_index_recall_and_order(spark):
     assert [(r.query_id, r["rank"]) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_multi_index_takes_every_row_of_an_id_and_every_length(spark):
+    """Rows of one id are candidates, and queries, of their own; a third of all rows has one id."""
+    let_workers_import(spark)
+    rng = np.random.default_rng(5)
+    vectors = [(int(i), [float(v) for v in rng.normal(size=n)]) for i, n in [*[(i, 6) for i in range(60)], *[(20, 6)] * 40, *[(i, 3) for i in range(15, 45)]]]
+    vectors += [(7, vectors[0][1]), (0, vectors[0][1])]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = collections.Counter(tuple(r) for r in multi_index.nearest(df, fraction=1.0, centroids=4).collect())
+    want = collections.Counter()
+    for i, (q, a) in enumerate(vectors):
+        if q % 20 == 0:
+            scored = []
+            for j, (v, b) in enumerate(vectors):
+                if j != i and len(a) == len(b):
+                    total = 0.0
+                    for p, r in zip(a, b):
+                        total += p * r
+                    scored.append((-total, v))
+            want.update((q, rank, v, -s) for rank, (s, v) in enumerate(sorted(scored)[:20], 1))
+    assert got == want
+
+
 # -- 4 ---------------------------------------------------------------------
 
 def test_codes_give_any_id():
