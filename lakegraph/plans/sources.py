@@ -59,19 +59,14 @@ def derived_files(assets, root: str) -> None:
 
 
 @query("s01_bundle_scan", with_parts("concepts", """
-SELECT path, type, title, description, array_to_string(tags, '|') AS tags FROM concepts WHERE type IN ('SourceSystem', 'Dashboard', 'Metric')
+SELECT path, type, title, description, array_to_string(tags, '|') AS tags FROM concepts
 """))
 def s01(spark, sf):
-    """Asset files of all source systems, dashboards and metrics, written and scanned back."""
-    assets = derive.concepts(spark, sf).filter(C("type").isin("SourceSystem", "Dashboard", "Metric"))
+    """All derived assets, written many to a file and scanned back."""
     root = scratch_path(spark, "assets")
-    derived_files(assets, root)
-    files = bundle.scan_files(spark, root, "*.txt").filter(bundle.is_asset_file(C("path")))
-    named = files.withColumn("path", F.concat(
-        F.lit("/"), F.regexp_extract("path", "/catalog=([^/]+)/", 1), F.lit("/"),
-        F.regexp_extract("path", "/stem=([^/]+)/", 1), F.lit(".md"),
-    ))
-    concepts, _ = bundle.parse_concepts(named)
+    bundle.write_packed(derive.concepts(spark, sf).select("path", asset_text().alias("text")), root)
+    files = bundle.scan_packed(spark, root).filter(bundle.is_asset_file(C("path")))
+    concepts, _ = bundle.parse_concepts(files)
     return concepts.select("path", "type", "title", "description", F.array_join("tags", "|").alias("tags"))
 
 

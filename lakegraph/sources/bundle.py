@@ -28,6 +28,42 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*.md", *, streaming:
     return files.select(relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("text"))
 
 
+#: Ends a record of a packed file; a text that holds it, or the mark, is written with the mark and a digit.
+_RECORD, _MARK = "\x1e", "\x1d"
+
+
+def _packed(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_MARK), F.lit(_MARK + "0")), F.lit(_RECORD), F.lit(_MARK + "1"))
+
+
+def _unpacked(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_MARK + "1"), F.lit(_RECORD)), F.lit(_MARK + "0"), F.lit(_MARK))
+
+
+def write_packed(assets: DataFrame, root: str, records_per_file: int = 1_000_000) -> None:
+    """``path, text`` of many assets per file, as records of a path line and the text.
+
+    A task writes one file for up to ``records_per_file`` assets, so the number of files follows
+    the data and not the assets. A null text is an empty one; rows without a path are
+    no assets and are refused.
+    """
+    path = F.replace(_packed(F.col("path")), F.lit("\n"), F.lit(_MARK + "2"))
+    path = F.when(path.isNull(), F.raise_error(F.lit("an asset needs a path"))).otherwise(path)
+    record = F.concat(path, F.lit("\n"), _packed(F.coalesce("text", F.lit(""))))
+    (assets.select(record.alias("value")).write.option("lineSep", _RECORD)
+     .option("maxRecordsPerFile", records_per_file).text(root))
+
+
+def scan_packed(spark: SparkSession, root: str) -> DataFrame:
+    """``path, text`` of the assets below ``root`` that ``write_packed`` wrote; large files are read in splits."""
+    records = spark.read.option("lineSep", _RECORD).option("recursiveFileLookup", True).text(root)
+    head = F.substring_index("value", "\n", 1)
+    return records.select(
+        _unpacked(F.replace(head, F.lit(_MARK + "2"), F.lit("\n"))).alias("path"),
+        _unpacked(F.substr("value", F.length(head) + 2)).alias("text"),
+    )
+
+
 def relative_path(file_path: Column, root: str) -> Column:
     """Path below ``root`` from the percent-encoded URI a scan reports.
 

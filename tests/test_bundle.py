@@ -1,3 +1,5 @@
+import pytest
+
 from lakegraph.operators import catalog, grade, graph, quality, search
 from lakegraph.sources import bundle, lake
 from pyspark.sql import functions as F
@@ -128,3 +130,24 @@ def test_footers_count_what_a_scan_counts(spark, tmp_path):
     assert "PushedAggregation: [COUNT(*)" in plan and "ReadSchema: struct<count(*)" in plan
     assert [r.column_name for r in nested.collect()] == ["v"]
     assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_packed_files_give_every_text_back(spark, tmp_path):
+    texts = ["", None, "plain", "two\nlines\n", "\n", "record \x1e end \x1e", "mark \x1d and \x1d1\x1d0 \x1e0", "\r\n x \r", "ü" * 5000, "same", "same"]
+    rows = [(f"/tables/a-{i}.md", t) for i, t in enumerate(texts)] + [("/odd\nname\x1e\x1d2.md", "x"), ("/odd\nname\x1e\x1d2.md", "x")]
+    df = spark.createDataFrame(rows, "path string, text string").repartition(3)
+    for n, folder in ((1_000_000, "whole"), (2, "short")):
+        root = str(tmp_path / folder)
+        bundle.write_packed(df.withColumn("value", df.text), root, records_per_file=n)
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")  # records lie across splits
+        try:
+            got = bundle.scan_packed(spark, root).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert sorted((r.path, r.text) for r in got) == sorted((p, t or "") for p, t in rows)
+    assert len(list((tmp_path / "whole").glob("part-*"))) <= 3
+    bundle.write_packed(df.limit(0), str(tmp_path / "none"))
+    assert bundle.scan_packed(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="an asset needs a path"):
+        bundle.write_packed(spark.createDataFrame([(None, "x")], "path string, text string"), str(tmp_path / "bad"))
