@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lakegraph import model
 from lakegraph.functions.naming import concept_ref, path_for_type
-from lakegraph.functions.sqltext import source_refs, sql_sources, sql_targets
+from lakegraph.functions.sqltext import first_sql_block, source_refs, sql_sources, sql_targets
 from lakegraph.functions.text import let, settle, slugify
 
 RESOLVABLE = ("tables", "views", "queries")
@@ -75,6 +75,12 @@ def _containing(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return wanted.filter(F.length("key") > 0).join(best, "key").select("name", "key", "best")
 
 
+def body_statements(concepts: DataFrame) -> DataFrame:
+    """``path, sql``: the first fenced SQL block of every asset body that has one."""
+    found = settle(concepts.select("path", "body"), sql=first_sql_block(F.col("body")))
+    return found.filter("sql IS NOT NULL").select("path", "sql")
+
+
 def statement_edges(statements: DataFrame, sql: str = "sql", *, compat: bool = False) -> DataFrame:
     """``path, source, target`` names: everything a statement reads flows into what it writes."""
     named = settle(

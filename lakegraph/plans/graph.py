@@ -55,8 +55,12 @@ def _reach_sql(starts: str, hops: int, edges: str = "edges", src: str = "src", d
 WITH {STATEMENT_EDGES_SQL} SELECT src, dst FROM edges UNION SELECT src, dst FROM sql_edges
 """))
 def g01(spark, sf):
-    """Edges from typed links and from statement texts."""
-    from_sql = resolve.resolved_statement_edges(derive.statements(spark, sf), derive.concepts(spark, sf))
+    """Edges from typed links, from statement files and, for half of the statements, from SQL blocks in asset bodies."""
+    concepts, statements = derive.concepts(spark, sf), derive.statements(spark, sf).select("path", "sql")
+    in_body = F.crc32(C("path").cast("binary")) % 2 == 0
+    assets = statements.filter(in_body).select("path", F.concat(F.lit("# Job\n\n```sql\n"), "sql", F.lit("\n```\n")).alias("body"))
+    blocks = resolve.body_statements(concepts.select("path", "body").unionByName(assets))
+    from_sql = resolve.resolved_statement_edges(statements.filter(~in_body).unionByName(blocks), concepts)
     return graph.union_edges(_edges(spark, sf), from_sql)
 
 
