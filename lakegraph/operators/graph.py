@@ -13,9 +13,10 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakegraph import model
+from lakegraph.functions.naming import stem_of
 from lakegraph.operators.edge_store import EdgeStore
 from lakegraph.session import cut
 
@@ -260,19 +261,23 @@ def diagram_lines(edges: DataFrame | EdgeStore, kept: DataFrame) -> DataFrame:
 
     Node ids are hashes of the path, so lines can be written in parallel.
     """
-    ident = lambda c: F.concat(F.lit("n"), F.substring(F.md5(c), 1, 12))
-    label = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"^(.+)\.[^.]+$", "$1")
-    node_lines = kept.select(
-        F.lit("node").alias("section"),
-        F.concat(F.lit("  "), ident(F.col("node")), F.lit('["'), label(F.col("node")), F.lit('"]')).alias("line"),
-    )
-    edge_lines = subgraph(edges, kept).select(
-        F.lit("edge").alias("section"),
-        F.concat(F.lit("  "), ident(F.col("src")), F.lit(" --> "), ident(F.col("dst"))).alias("line"),
-    )
+    node_lines = kept.select(F.lit("node").alias("section"), node_line(F.col("node")).alias("line"))
+    edge_lines = subgraph(edges, kept).select(F.lit("edge").alias("section"), edge_line(F.col("src"), F.col("dst")).alias("line"))
     return node_lines.unionByName(edge_lines)
 
 
+def _ident(node: Column) -> Column:
+    return F.concat(F.lit("n"), F.substring(F.md5(node), 1, 12))
+
+
+def node_line(node: Column) -> Column:
+    return F.concat(F.lit("  "), _ident(node), F.lit('["'), stem_of(node), F.lit('"]'))
+
+
+def edge_line(src: Column, dst: Column) -> Column:
+    return F.concat(F.lit("  "), _ident(src), F.lit(" --> "), _ident(dst))
+
+
 def impact(edges: DataFrame | EdgeStore, changed: DataFrame, concepts: DataFrame, hops: int = 5) -> DataFrame:
     """What a change touches: ``start, depth, type, n`` over everything downstream."""
     touched = downstream(edges, changed, hops).filter(F.col("depth") > 0)

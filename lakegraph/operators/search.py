@@ -8,6 +8,8 @@ from lakegraph import model
 from lakegraph.functions.text import (
     card_text, query_words, settle, short_hash, spread, term_vector, token_counts, tokenize,
 )
+from lakegraph.operators import graph
+from lakegraph.operators.edge_store import EdgeStore
 from lakegraph.session import cut
 
 
@@ -248,6 +250,14 @@ def focus_of(top: DataFrame, intent: str) -> DataFrame:
     return top.orderBy(F.coalesce(fits, F.lit(False)).desc(), F.col("score").desc(), "path").limit(1)
 
 
+def focus_neighbourhood(
+    top: DataFrame, intent: str, edges: DataFrame | EdgeStore, links: DataFrame | None = None, max_nodes: int = 18
+) -> DataFrame:
+    """``focus, node, depth``: what to open with the focus of a top list."""
+    focus = cut(focus_of(top, intent).select(F.col("path").alias("node")))
+    return graph.neighbourhoods(edges, focus, links, 2, max_nodes)
+
+
 def result_types(top: DataFrame) -> DataFrame:
     return top.groupBy(F.coalesce("type", F.lit("?")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 

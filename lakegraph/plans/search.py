@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lakegraph import model
 from lakegraph.functions import text
 from lakegraph.operators import graph, packs, search
-from lakegraph.plans.graph import _edges
-from lakegraph.plans.registry import ORACLES, query, quoted, strip_sql, tokens_sql, with_parts
+from lakegraph.plans.graph import _AROUND, _edges, _store
+from lakegraph.plans.registry import ORACLES, query, quoted, stem_sql, strip_sql, tokens_sql, with_parts
 from lakegraph.session import scratch_path
 from lakegraph.sources import derive
 
@@ -276,6 +276,19 @@ def r04(spark, sf):
     return search.focus_of(_top(spark, sf), "design-report").select("path", "type", "score")
 
 
+_BUSINESS_FOCI = "foci AS (SELECT path AS focus FROM concepts WHERE type = 'BusinessObject')"
+
+
+@query("r04_focus_neighbourhood", with_parts("concepts links edges", _BRAIN + ", " + _AROUND.replace(_BUSINESS_FOCI, f"""
+foci AS (
+  SELECT path AS focus FROM top ORDER BY type IN ({quoted(model.INTENTS['design-report'][1] + model.FOCUS_TYPES)}) DESC, score DESC, path LIMIT 1
+)""").replace("n <= 20", "n <= 18") + "SELECT focus, node, depth FROM clipped"))
+def r04_around(spark, sf):
+    """The focus of an intent with its eighteen nearest nodes."""
+    around = search.focus_neighbourhood(_top(spark, sf), "design-report", _store(spark, sf), derive.links(spark, sf))
+    return around.withColumn("depth", C("depth").cast("bigint"))
+
+
 @query("a15_result_types", with_parts("concepts", _BRAIN + "SELECT type, count(*) AS n FROM top GROUP BY type"))
 def a15(spark, sf):
     return search.result_types(_top(spark, sf))
@@ -366,3 +379,39 @@ def r06_rendered(spark, sf):
     members, known = _conversation_members(spark, sf)
     blocks = packs.card_block(packs.pack_cards(members, known))
     return packs.gate_packs(blocks, "focus", "block", packs.pack_budget())
+
+
+@query("r06_context_packs", with_parts("concepts links edges", "WITH " + _AROUND.replace(_BUSINESS_FOCI, """
+foci AS (
+  SELECT DISTINCT (SELECT min(c.path) FROM concepts c WHERE c.stem = b.stem OR c.title = b.stem) AS focus
+  FROM concepts b WHERE type = 'BusinessObject'
+)""") + rf""", facts AS (
+  SELECT c.focus, c.node, coalesce(k.title, {stem_sql('c.node')}) AS title, coalesce(k.type, '?') AS type, coalesce(k.layer, '') AS layer,
+         coalesce(k.description, '') AS description, coalesce(k.body, '') AS body
+  FROM clipped c LEFT JOIN concepts k ON k.path = c.node
+), cards AS (
+  SELECT focus, '## ' || title || ' (`' || type || '`' || CASE WHEN layer <> '' THEN ', ' || layer ELSE '' END || ')' || chr(10) || chr(10)
+         || '- Path: `' || node || '`' || chr(10)
+         || CASE WHEN node = focus THEN (CASE WHEN prose <> '' THEN prose || chr(10) ELSE '' END)
+                 WHEN description <> '' THEN '- ' || description || chr(10) ELSE '' END || chr(10) AS text
+  FROM (SELECT *, array_to_string(list_filter(regexp_split_to_array({strip_sql('body')}, '?
+'),
+        lambda l: {strip_sql('l')} <> '' AND NOT starts_with(l, '#')), chr(10)) AS prose FROM facts) f
+), parts AS (
+  SELECT * FROM cards
+  UNION ALL SELECT focus, '# ' || {stem_sql('focus')} || chr(10) || chr(10) || 'Nodes: ' || CAST(count(*) AS VARCHAR) || chr(10) FROM clipped GROUP BY focus
+  UNION ALL SELECT focus, '  n' || left(md5(node), 12) || '["' || {stem_sql('node')} || '"]' || chr(10) FROM clipped
+  UNION ALL SELECT a.focus, '  n' || left(md5(e.src), 12) || ' --> n' || left(md5(e.dst), 12) || chr(10)
+  FROM clipped a JOIN edges e ON e.src = a.node JOIN clipped b ON b.focus = a.focus AND b.node = e.dst
+)
+SELECT focus, count(*) AS parts, CAST(floor((sum(length(text)) + 3) / 4) AS BIGINT) AS tokens,
+       floor((sum(length(text)) + 3) / 4) <= 800 AS accepted, CASE WHEN tokens <= 800 THEN count(*) ELSE 0 END AS written
+FROM parts GROUP BY focus
+"""))
+def r06_packs(spark, sf):
+    """Whole packs of all business objects, named by file stem; packs over 800 tokens write nothing."""
+    concepts = derive.concepts(spark, sf)
+    names = concepts.filter(C("type") == "BusinessObject").select(C("stem").alias("name"))
+    parts, receipt = packs.context_packs(names, concepts, _store(spark, sf), derive.links(spark, sf), budget=800)
+    written = parts.groupBy("focus").agg(F.count(F.lit(1)).alias("written"))
+    return receipt.join(written, "focus", "left").withColumn("written", F.coalesce("written", F.lit(0)))

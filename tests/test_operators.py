@@ -397,3 +397,39 @@ def test_write_receipt_counts_what_was_written(spark, tmp_path):
         ("/a", "updated", "t0"), ("/b", "skipped", "t0"), ("/z", "kept", "t0"), ("/c", "created", "t1"), ("/d", "created", "t1")}
     _, nothing = catalog.write_upsert(catalog.upsert(current, incoming.limit(0)), str(tmp_path / "same"))
     assert nothing.count() == 0
+
+
+def test_focus_by_path_stem_title_or_not_at_all(spark):
+    frame = concepts(spark, dict(path="/tables/orders.md", title="Sales"), dict(path="/views/orders.md", title="Sales"),
+                     dict(path="/a/sales.md", title="orders"), dict(path="/x.md", catalog="x"))
+    names = ["/nowhere.md", "orders", "Sales", "tables/orders", "tables/orders.md", "deep/orders.md", "x", "unknown", None]
+    got = {r.name: r.node for r in packs.resolve_focus(spark.createDataFrame([(n,) for n in names], "name string"), frame).collect()}
+    assert got == {"/nowhere.md": "/nowhere.md", "orders": "/a/sales.md", "Sales": "/tables/orders.md", "tables/orders": "/tables/orders.md",
+                   "tables/orders.md": "/tables/orders.md", "deep/orders.md": "/tables/orders.md", "x": "/x.md", "unknown": "/unknown.md"}
+
+
+def test_context_packs_count_the_whole_text_and_reject_whole(spark):
+    frame = concepts(spark, dict(path="/t/a.md", title="A", type="Table", layer="gold", body="# A\nhello\n"),
+                     dict(path="/t/b.md", title="B", type="Table", description="bee"), dict(path="/t/c.md", title="C", type="View"))
+    edges = spark.createDataFrame([("/t/a.md", "/t/b.md"), ("/t/b.md", "/t/a.md"), ("/t/b.md", "/t/gone.md"), ("/t/z.md", "/t/y.md")], "src string, dst string")
+    names = spark.createDataFrame([("a",), ("nothing",)], "name string")
+    parts, receipt = packs.context_packs(names, frame, edges, None, budget=40)
+    texts = {}
+    everything, _ = packs.context_packs(names, frame, edges, None)
+    for r in everything.collect():
+        texts.setdefault(r.focus, []).append((r.section, r.text))
+    a = dict(Counter(s for s, _ in texts["/t/a.md"]))
+    assert a == {"header": 1, "card": 3, "node": 3, "edge": 3} and "# a\n\nNodes: 3\n" in [t for _, t in texts["/t/a.md"]]
+    assert "## A (`Table`, gold)\n\n- Path: `/t/a.md`\nhello\n\n" in [t for _, t in texts["/t/a.md"]]
+    assert "## gone (`?`)\n\n- Path: `/t/gone.md`\n\n" in [t for _, t in texts["/t/a.md"]]
+    assert dict(Counter(s for s, _ in texts["/nothing.md"])) == {"header": 1, "card": 1, "node": 1}
+    size = {f: (sum(len(t) for _, t in rows) + 3) // 4 for f, rows in texts.items()}
+    assert {r.focus: (r.tokens, r.accepted) for r in receipt.collect()} == {f: (n, n <= 40) for f, n in size.items()}
+    assert {r.focus for r in parts.collect()} == {"/nothing.md"}
+    assert packs.context_packs(names.limit(0), frame, edges)[1].count() == 0
+
+
+def test_statements_from_bodies(spark):
+    frame = concepts(spark, dict(path="/q/a.md", body="x\n```sql\nSELECT 1\n```\n```sql\nSELECT 2\n```"), dict(path="/q/b.md", body="no block"),
+                     dict(path="/q/c.md", body=None), dict(path="/q/d.md", body="```SQL\n```"))
+    assert {r.path: r.sql for r in resolve.body_statements(frame).collect()} == {"/q/a.md": "SELECT 1\n", "/q/d.md": ""}
