@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -137,15 +138,18 @@ class RaggedCache:
     def clear(self) -> None:
         self.code: dict = {}
         self.ids = np.zeros(0, np.int32)
-        self.lengths = np.zeros(0, np.int64)
+        self.lengths = self.starts = np.zeros(0, np.int64)
 
-    def flat(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all ``keys`` one after the other, and how many each has."""
+    def renew(self) -> None:
+        """Starts anew if the cache is full; codes given before are void then."""
         if len(self.code) > self.limit:
             self.clear()
+
+    def codes(self, keys: list) -> np.ndarray:
+        """A number per key, for :meth:`expand`."""
         code = self.code
-        codes = np.array(list(map(code.get, keys)), np.float64)  # NaN: not met before
-        unknown = np.flatnonzero(np.isnan(codes)).tolist()
+        codes = np.fromiter(map(code.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(codes < 0).tolist()
         if unknown:
             missed = [keys[i] for i in unknown]
             fresh = list(dict.fromkeys(missed))
@@ -155,12 +159,18 @@ class RaggedCache:
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
             self.lengths = np.concatenate([self.lengths, lengths.astype(np.int64)])
             self.starts = np.cumsum(self.lengths) - self.lengths
-        if not keys:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        codes = codes.astype(np.int64)
+        return codes
+
+    def expand(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``codes`` one after the other, and how many each has."""
         lengths = self.lengths[codes]
         return self.ids[gather(self.starts[codes], lengths)], lengths
 
+    def flat(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``keys`` one after the other, and how many each has."""
+        self.renew()
+        return self.expand(self.codes(keys))
+
 
 def in_parts(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Runs of rows that hold about ``most`` units together; a larger row is a run of its own."""

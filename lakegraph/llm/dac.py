@@ -16,12 +16,13 @@ the number of set bits before each block of 512. The last level has neither.
 
 from __future__ import annotations
 
-import gc
+import json
 import struct
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from lakegraph import session
-from lakegraph.llm.common import RaggedCache, arrow_types, in_parts, sums_by
+from lakegraph.llm.common import RaggedCache, arrow_types, gather, in_parts, sums_by
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -116,39 +117,73 @@ class Codes:
         return values
 
 
-# How the vocabulary cuts a word before its merges, whatever the case.
+# How the vocabulary normalizes texts and cuts them before its merges.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ("NFC", "Replace", "Lowercase")
+#: The same cut for words whose case is still their own.
 _PIECES = regex.compile(r"'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: The one letter whose lower case is two characters, of which one is no letter.
 _SPLIT_LETTER = "\u0130"
+#: Letters and punctuation after them: two pieces at most, found by Arrow.
+_PLAIN_WORD, _LETTERS = r"^\p{L}+[[:punct:]]*$", r"^\p{L}+"
+
+
+def check_rules(definition: str) -> None:
+    """Refuses a vocabulary that cuts texts by other rules than this module does."""
+    rules = json.loads(definition)
+    normalizers = tuple(n["type"] for n in (rules["normalizer"] or {}).get("normalizers", ()))
+    cutters = (rules["pre_tokenizer"] or {}).get("pretokenizers", ())
+    cut = cutters[0].get("pattern", {}).get("Regex") if cutters else None
+    specials = all(t["content"].startswith("<|") and not t["normalized"] for t in rules["added_tokens"])
+    if normalizers != _NORMALIZERS or cut != _CUT or not specials:
+        raise ValueError("the vocabulary cuts texts by rules that are not known here")
 
 
 class WordIds:
     """Ids of words by the tokenizers library, which sees each distinct piece of a word once.
 
     The vocabulary drops white space and never merges across a letter run's ends,
-    so words, and pieces of composed words, can be encoded apart.
+    so words, and pieces of composed words, can be encoded apart. Words are split
+    and made distinct by Arrow; only distinct ones meet Python.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.words, self.pieces = RaggedCache(self._words), RaggedCache(self._encode, 1_000_000)
-
-    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        cut = []
-        for raw in words:
-            word = raw.decode()
-            if word.isascii():
-                word = word.lower()
-            if word.isalpha() and _SPLIT_LETTER not in word:
-                cut.append((word,))
-            elif word[-1] in ".,!?" and word[:-1].isalpha() and _SPLIT_LETTER not in word:
-                cut.append((word[:-1], word[-1]))
-            elif "<|" in word or _SPLIT_LETTER in word or not unicodedata.is_normalized("NFC", word):
-                cut.append((word,))  # may hold a special token, or change before it is cut
-            else:
-                cut.append(_PIECES.findall(word))
-        ids, lengths = self.pieces.flat([p for pieces in cut for p in pieces])
-        return ids, sums_by(lengths, list(map(len, cut)))
+        self.pieces = RaggedCache(self._encode, 1_000_000)
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` one after the other, and how many each text has."""
+        cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+        coded = cut.flatten().dictionary_encode()
+        codes, n_words = coded.indices.to_numpy(), pc.list_value_length(cut).to_numpy()
+        ids, lengths = self._distinct(coded.dictionary)
+        starts, of_words = np.cumsum(lengths) - lengths, lengths[codes]
+        return ids[gather(starts[codes], of_words)], sums_by(of_words, n_words)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has; an empty word has none."""
+        plain = pc.and_not(pc.match_substring_regex(words, _PLAIN_WORD), pc.or_(
+            pc.match_substring(words, _SPLIT_LETTER), pc.match_substring(words, "<|")))
+        whole = words.filter(plain)
+        whole = pc.if_else(pc.string_is_ascii(whole), pc.ascii_lower(whole), whole)
+        tails = pc.replace_substring_regex(whole, _LETTERS, "", max_replacements=1)
+        tailed = pc.not_equal(tails, "")
+        letters = pc.if_else(tailed, pc.replace_substring_regex(whole, r"[[:punct:]]+$", "", max_replacements=1), whole).dictionary_encode()
+        tails = tails.filter(tailed).dictionary_encode()
+        others = [_pieces_of(w) for w in words.filter(pc.invert(plain)).to_pylist()]
+        self.pieces.renew()
+        letter, tail = (self.pieces.codes(x.dictionary.to_pylist())[x.indices.to_numpy()] for x in (letters, tails))
+        other = self.pieces.codes([p for pieces in others for p in pieces])
+        plain, tailed = (x.to_numpy(zero_copy_only=False) for x in (plain, tailed))
+        n = np.empty(len(words), np.int64)
+        n[plain], n[~plain] = 1 + tailed, np.fromiter(map(len, others), np.int64, len(others))
+        starts = np.cumsum(n) - n
+        codes = np.empty(int(n.sum()), np.int64)
+        codes[starts[plain]] = letter
+        codes[starts[plain][tailed] + 1] = tail
+        codes[gather(starts[~plain], n[~plain])] = other
+        ids, lengths = self.pieces.expand(codes)
+        return ids, sums_by(lengths, n)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, lengths = [], []
@@ -163,8 +198,16 @@ class WordIds:
             lengths.append(np.bincount(np.array(of, np.int64), minlength=len(some)))
         return np.array(ids, np.int32), np.concatenate(lengths)
 
-    def flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return self.words.flat(words)
+
+def _pieces_of(word: str) -> tuple[str, ...] | list[str]:
+    """Pieces of a word that is more than letters and punctuation; an empty one has none."""
+    if "<|" in word or _SPLIT_LETTER in word:
+        return (word,)  # may hold a special token, or change before it is cut
+    if word.isascii():
+        word = word.lower()
+    elif not unicodedata.is_normalized("NFC", word):
+        return (word,)
+    return _PIECES.findall(word)
 
 
 _loaded: dict[str, WordIds] = {}
@@ -172,8 +215,6 @@ _loaded: dict[str, WordIds] = {}
 
 def _word_ids(definition: str) -> WordIds:
     """One encoder per worker process and vocabulary."""
-    gc.collect()
-    gc.disable()  # the caches hold many objects and no cycles
     if definition not in _loaded:
         _loaded.clear()
         _loaded[definition] = WordIds(definition)
@@ -183,8 +224,8 @@ def _word_ids(definition: str) -> WordIds:
 def write_codes(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of all texts, in ascending ``doc_id`` order, as segments to a table at ``path``.
 
-    ``vocabulary`` is a tokenizers file whose pre-tokenizer drops white space; it is
-    read on the driver and sent along, so its size is that of the file. Every text
+    ``vocabulary`` is a tokenizers file; one that cuts texts by rules unknown here is
+    refused. It is read on the driver and sent along, so its size is that of the file. Every text
     is encoded whole, without special tokens, and ends in ``end_id``.
 
     Rows are dealt by ranges of (doc_id, text), so equal ids have a fixed order and
@@ -192,19 +233,22 @@ def write_codes(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, do
     end id alone. Other columns are not read. Returns the written table.
     """
     with open(vocabulary, encoding="utf-8") as f:
-        definition = docs.sparkSession.sparkContext.broadcast(f.read())
+        rules = f.read()
+    check_rules(rules)
+    definition = docs.sparkSession.sparkContext.broadcast(rules)
     types = arrow_types(SEGMENT.fields)
 
     def run(batches):
         words = _word_ids(definition.value)
         part, segment = TaskContext.get().partitionId(), 0
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in in_parts(map(len, texts), SEGMENT_CHARS):
-                cut = [t.encode().split() for t in texts[begin:end]]
-                ids, lengths = words.flat([w for ws in cut for w in ws])
-                totals = sums_by(lengths, [len(ws) for ws in cut])
-                ids = np.insert(ids, np.cumsum(totals), end_id)
+            keys, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            for begin, end in in_parts(pc.utf8_length(texts).to_pylist(), SEGMENT_CHARS):
+                found, totals = words.flat(texts.slice(begin, end - begin))
+                ids = np.full(len(found) + len(totals), end_id, found.dtype)
+                own = np.ones(len(ids), bool)
+                own[np.cumsum(totals + 1) - 1] = False
+                ids[own] = found
                 row = [part, segment, keys.slice(begin, end - begin).to_pylist(), totals + 1, len(ids), pack(ids)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=SEGMENT.names)
                 segment += 1

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -221,6 +222,24 @@ def test_codes_give_any_id():
         dac.Codes(dac.pack(np.zeros(3))).get(3)
 
 
+def test_word_ids_match_the_library_on_odd_strings():
+    """Case, letters of two cases, unnormalized marks, punctuation, digits, special tokens and white space of all kinds."""
+    name = public_tokenizers.path("word_bpe_49k.json")
+    parts = list("abzABZ09 .,!?'`^$+<=>~|\n\t\x0b_-*\"") + [
+        "'S", "'Re", "'ll", "\u0130", "\u0131", "\u00df", "e\u0301", "A\u030a", "\u212b", "\u1112\u1161\u11ab", "\u4e2d", "\u00bd", "\u0663",
+        "\u03a3", "\u03c2", "\u00a0", "\u3000", "\u200b", "\x1f", "\x85", "\u2028", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "Hello",
+        "\U0001f600", "\u0301", "\u2260", "\u0338", "\u01c5", "\ufb01", "\ufeff", "\x00", "\u02bc", "\u212a"]
+    rng = np.random.default_rng(5)
+    odd = ["".join(rng.choice(parts, rng.integers(0, 15))) for _ in range(6000)] + ["", " ", "word " * 3000]
+    definition = open(name, encoding="utf-8").read()
+    ids, lengths = dac.WordIds(definition).flat(pa.array(odd))
+    want = Tokenizer.from_file(name).encode_batch(odd, add_special_tokens=False)
+    for text, own, other in zip(odd, np.split(ids, np.cumsum(lengths)[:-1]), want):
+        assert own.tolist() == other.ids, text
+    with pytest.raises(ValueError):
+        dac.check_rules(definition.replace("Lowercase", "StripAccents"))
+
+
 def test_written_codes_match_the_library(docs, none):
     name = public_tokenizers.path("word_bpe_49k.json")
     got = dac.read_documents(dac.write_codes(docs, name, dac.scratch(docs))).orderBy("start").collect()
