@@ -1,14 +1,17 @@
 """Toxicity from a lexicon trie read with Levenshtein automata, and the context of each hit.
 
 Terms and word stems that mark toxic texts are learned from labels. The automaton
-of all words within one edit of the trie is built state by state as texts need
-it. Every hit is weighed by its window: a quoted or reported term counts in another
-feature than one that is used. A logistic model turns the counts into a score.
+of all words within one edit (a swap of neighbours is one) of the trie is built
+state by state as texts need it. Every hit is weighed by its window: a quoted term
+counts in another feature than one that is used. A logistic model turns the counts
+into a score; it is fitted on the labelled rows and on re-settings of the toxic
+ones, with their terms misspelt (still toxic) and put in quotation marks (not toxic).
 """
 
 from __future__ import annotations
 
-import gc
+import bisect
+import random
 import string
 import zlib
 
@@ -19,16 +22,19 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from lakegraph.llm.common import lowest, map_columns, words_of
 from lakegraph.session import cut
 
-_OPENING = "\"'“”„‘‚«»‹›"
+#: Quotation marks. Apostrophes are none.
+_MARKS = frozenset("\"“”„«»‹›")
 _EDGE = string.punctuation + "“”„‘’‚«»‹›…¿¡–—"
 #: Words on either side of a hit that decide whether it is quoted.
 WINDOW = 6
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-#: Shorter terms, and rare ones, must be spelled exactly.
-FUZZY_LENGTH = 5
+#: Shorter terms must be spelled exactly.
+FUZZY_LENGTH = 4
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "any", "density")
-#: Different contexts in toxic texts that a term has at least, and a term that edits may reach.
-CONTEXTS, FUZZY_CONTEXTS = 5, 20
+#: Different contexts in toxic texts that a term has at least.
+CONTEXTS = 5
+#: What a re-setting of a toxic row weighs in the fit, as a share of the row itself.
+RESET_SHARE = 0.25
 
 
 def bare(word: bytes) -> str:
@@ -36,11 +42,15 @@ def bare(word: bytes) -> str:
     return word.decode().lower().strip(_EDGE)
 
 
+#: The state after a stem.
+_STEM_READ = frozenset({(-1, 0, "")})
+
+
 class Lexicon:
     """Trie of terms with a lazily built automaton of what lies within one edit.
 
-    A state is a set of (trie node, edits so far). Finding a term exactly beats a
-    stem, which beats a term with one edit. ``known`` are words of clean texts that no
+    A state is a set of (trie node, edits so far, letter that a swap still waits for).
+    Finding a term exactly beats a stem, which beats a term with one edit. ``known`` are words of clean texts that no
     edit may turn into a term.
     """
 
@@ -63,7 +73,7 @@ class Lexicon:
             if ends is self.word and text in fuzzy:
                 for n in path:
                     self.longest[n] = max(self.longest[n], len(text))
-        self.start = self._close({(0, 0)})
+        self.start = self._close({(0, 0, "")})
         self.steps: dict = {}
         self.kinds: dict = {}
         self.seen: dict[bytes, str] = {}
@@ -72,25 +82,35 @@ class Lexicon:
         """With all characters that the text may leave out; edits are spent only towards long terms."""
         todo = list(state)
         while todo:
-            node, e = todo.pop()
-            if e < self.edits and self.longest[node] >= FUZZY_LENGTH:
+            node, e, due = todo.pop()
+            if not due and e < self.edits and self.longest[node] >= FUZZY_LENGTH:
                 for child in self.children[node].values():
-                    if (child, e + 1) not in state and self.longest[child] >= FUZZY_LENGTH:
-                        state.add((child, e + 1))
-                        todo.append((child, e + 1))
+                    following = (child, e + 1, "")
+                    if following not in state and self.longest[child] >= FUZZY_LENGTH:
+                        state.add(following)
+                        todo.append(following)
         return frozenset(state)
 
     def _step(self, state: frozenset, c: str) -> frozenset:
         out = set()
-        for node, e in state:
+        for node, e, due in state:
+            if due:
+                if c == due:
+                    out.add((node, e, ""))
+                continue
             if e == 0 and self.stem[node]:
-                return frozenset({(-1, 0)})  # a stem was read: any ending will do
+                return _STEM_READ  # any ending will do
             child = self.children[node].get(c)
             if child is not None:
-                out.add((child, e))
+                out.add((child, e, ""))
             if e < self.edits and self.longest[node] >= FUZZY_LENGTH:
-                out.add((node, e + 1))
-                out.update((n, e + 1) for n in self.children[node].values() if self.longest[n] >= FUZZY_LENGTH)
+                out.add((node, e + 1, ""))
+                for other, n in self.children[node].items():
+                    if self.longest[n] >= FUZZY_LENGTH:
+                        out.add((n, e + 1, ""))
+                        swapped = self.children[n].get(c)
+                        if swapped is not None and self.longest[swapped] >= FUZZY_LENGTH:
+                            out.add((swapped, e + 1, other))
         return self._close(out)
 
     def match(self, word: str) -> str:
@@ -103,13 +123,13 @@ class Lexicon:
             state = following
             if not state:
                 return ""
-            if state == {(-1, 0)}:
+            if state == _STEM_READ:
                 return "stem"
-        if any(e == 0 and n >= 0 and self.word[n] for n, e in state):
+        if any(e == 0 and self.word[n] for n, e, _ in state):
             return "exact"
-        if any(e == 0 and (n < 0 or self.stem[n]) for n, e in state):
+        if any(e == 0 and self.stem[n] for n, e, _ in state):
             return "stem"
-        fuzzy = any(n >= 0 and self.word[n] and self.longest[n] >= FUZZY_LENGTH for n, _ in state)
+        fuzzy = any(not due and self.word[n] and self.longest[n] >= FUZZY_LENGTH for n, _, due in state)
         return "fuzzy" if fuzzy and word not in self.known else ""
 
     def kind(self, raw: bytes) -> str:
@@ -124,26 +144,77 @@ class Lexicon:
         return found
 
 
-def is_quoted(words: list[bytes], at: int) -> bool:
-    """An opening quotation mark before the hit and a closing one after it, within the window."""
-    before = any(w.decode()[:1] in _OPENING for w in words[max(0, at - WINDOW):at + 1])
-    after = any(w.decode().rstrip(".,;:!?")[-1:] in _OPENING for w in words[at:at + WINDOW + 1])
-    return before and after
+def quotations(words: list[bytes]) -> list[tuple[int, int]]:
+    """First and last word of each quotation, in order.
 
-
-def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    words = words_of(text)
+    A mark before a word opens one, anew if one is open; a mark after a word closes
+    the one that is open. Other marks (inches, marks inside words) are none.
+    """
+    spans, begin = [], None
+    for i, raw in enumerate(words):
+        word = raw.decode()
+        core = word.strip(_EDGE)
+        at = word.find(core) if core else len(word)
+        if not _MARKS.isdisjoint(word[:at]):
+            begin = i
+        if begin is not None and not _MARKS.isdisjoint(word[at + len(core):]):
+            spans.append((begin, i))
+            begin = None
+    return spans
+
+
+def is_quoted(spans: list[tuple[int, int]], at: int) -> bool:
+    """The word stands in a quotation that begins and ends within the window."""
+    k = bisect.bisect_right(spans, (at, float("inf"))) - 1
+    return k >= 0 and at - WINDOW <= spans[k][0] and at <= spans[k][1] <= at + WINDOW
+
+
+def features_of(words: list[bytes], lexicon: Lexicon) -> list[float]:
     counts = dict.fromkeys(("exact", "stem", "fuzzy", "quoted"), 0)
+    spans = None
     kinds = list(map(lexicon.seen.get, words))
     for at, kind in enumerate(kinds):
         if kind is None:
             kind = lexicon.kind(words[at])
         if kind:
-            counts["quoted" if is_quoted(words, at) else kind] += 1
-    used = counts["exact"] + counts["stem"]
+            if spans is None:
+                spans = quotations(words)
+            counts["quoted" if is_quoted(spans, at) else kind] += 1
+    used = counts["exact"] + counts["stem"] + counts["fuzzy"]
     return [*(float(np.log1p(c)) for c in counts.values()), float(used > 0), 100.0 * used / (len(words) + 20)]
 
 
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
+    return features_of(words_of(text), lexicon)
+
+
+def misspelt(word: bytes, rng: random.Random) -> bytes:
+    """A word with one edit behind its first letter: a letter changed, doubled or left out, or two swapped."""
+    text = word.decode()
+    core = text.strip(_EDGE)
+    at = text.find(core)
+    k = rng.randrange(1, len(core))
+    before, c, after = core[:k], core[k], core[k + 1:]
+    new = rng.choice([rng.choice(string.ascii_lowercase), c + c, "", after[:1] + c])
+    rest = after[1:] if len(new) == 2 and new != c + c else after
+    return (text[:at] + before + new + rest + text[at + len(core):]).encode()
+
+
+def resettings(text: str | None, lexicon: Lexicon) -> tuple[list[float] | None, list[float] | None]:
+    """Features of a toxic text with its terms misspelt, and with them quoted; None where there is nothing to change or to find."""
+    words = words_of(text)
+    hits = [i for i, w in enumerate(words) if lexicon.kind(w) == "exact" and len(bare(w)) >= FUZZY_LENGTH]
+    if not hits:
+        return None, None
+    rng = random.Random(zlib.crc32(b" ".join(words)))
+    wrong, quoted = list(words), list(words)
+    for i in hits:
+        wrong[i] = misspelt(words[i], rng)
+        quoted[i] = b'"' + words[i].replace(b'"', b"") + b'"'
+    x = features_of(wrong, lexicon)
+    return (x if x[FEATURES.index("fuzzy")] else None), features_of(quoted, lexicon)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights (the last one is the constant) of a ridge logistic regression, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -173,7 +244,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, to
     """``text, toxic, weight``: at most ``toxic`` and ``clean`` labelled rows, those of smallest id hash.
 
     Rows whose crc32 of the id leaves 2 modulo 4 are held out. An id with labels of
-    both kinds counts as toxic; null ids and labels are left out.
+    both kinds counts as toxic; null ids and labels are left out. Of the texts of one
+    id that of smallest hash is taken.
     """
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(
         F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -188,7 +260,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, to
         return docs.sparkSession.createDataFrame([], "doc_id bigint, text string, toxic int, weight double")
     few = chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])
     # At most toxic + clean ids.
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(few), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    return rows.groupBy("doc_id", "toxic", "weight").agg(first).select("doc_id", "first.text", "toxic", "weight")
 
 
 def learn(
@@ -200,7 +274,12 @@ def learn(
     A word or stem is a term if it stands in at least five different contexts (the
     words around it) of toxic texts and hardly in clean ones. Contexts, not texts,
     are counted, so that copies of one text do not make its words terms. Only
-    ``max_terms`` terms and the sample's features come to the driver.
+    ``max_terms`` terms, most contexts first, words of the sample's clean texts that lie
+    within an edit of one, and the sample's features come to the driver.
+
+    No edit may turn a word of clean texts into a term. In the fit, a word that has only
+    one clean context is not protected, as the text it stands in would not have
+    protected it: what edits find in clean texts not seen so far weighs against them.
     """
     sample = cut(training_rows(docs, labels, doc_id, text, toxic, clean))
 
@@ -238,24 +317,36 @@ def learn(
         if not any(stem.startswith(s) for s in stems) and sum(w.startswith(stem) for w in words) > 2:
             stems.append(stem)
     terms = sorted(w for w in words if not any(w.startswith(s) for s in stems))
-    often = {r.term for r in rows if r.bad >= FUZZY_CONTEXTS}
-    fuzzy = [w for w in terms if len(w) >= FUZZY_LENGTH and w in often]
+    fuzzy = [w for w in terms if len(w) >= FUZZY_LENGTH]
     probe = Lexicon(terms, stems, set(fuzzy))
-    clean_words = counts.where("good > 0 AND NOT endswith(term, '*')").select("term")
+    clean_words = counts.where("good > 0 AND NOT endswith(term, '*')").select("term", "good")
     kind = map_columns(clean_words, ["term"], lambda: lambda column: {"kind": [probe.match(t) for t in column]}, [T.StructField("kind", T.StringType())])
-    known = [r.term for r in kind.where("kind = 'fuzzy'").limit(20 * max_terms).collect()]
-    model = Model(terms, stems, fuzzy, known, np.zeros(len(FEATURES) + 1))
-    scored = map_columns(sample, ["text"], feature_maker(model), [T.StructField("x", T.ArrayType(T.DoubleType()))], ["toxic", "weight"]).toPandas()
-    if len(scored):
-        y, weight = scored["toxic"].to_numpy(float), scored["weight"].to_numpy(float)
-        model.weights = logistic(np.array(scored["x"].tolist()), y, weight)
+    near = kind.where("kind = 'fuzzy'").select("term", "good").collect()
+    model = Model(terms, stems, fuzzy, sorted(r.term for r in near), np.zeros(len(FEATURES) + 1))
+    seen = Model(terms, stems, fuzzy, sorted(r.term for r in near if r.good > 1), model.weights)
+
+    def fitted():
+        lexicon = seen.lexicon()
+
+        def work(texts, toxic):
+            others = [resettings(t, lexicon) if y else (None, None) for t, y in zip(texts, toxic)]
+            return {"x": [features(t, lexicon) for t in texts], "misspelt": [a for a, _ in others], "quoted": [b for _, b in others]}
+
+        return work
+
+    fields = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("x", "misspelt", "quoted")]
+    scored = map_columns(sample, ["text", "toxic"], fitted, fields, ["toxic", "weight"]).collect()
+    if scored:
+        cases = [(r.x, r.toxic, r.weight) for r in scored]
+        cases += [(r.misspelt, 1, RESET_SHARE * r.weight) for r in scored if r.misspelt is not None]
+        cases += [(r.quoted, 0, RESET_SHARE * r.weight) for r in scored if r.quoted is not None]
+        x, y, weight = (np.array(c, float) for c in zip(*cases))
+        model.weights = logistic(x, y, weight)
     return model
 
 
 def feature_maker(model: Model):
     def make():
-        gc.collect()
-        gc.disable()  # the memory of words holds many objects and no cycles
         lexicon = model.lexicon()
         return lambda texts: {"x": [features(t, lexicon) for t in texts]}
 
