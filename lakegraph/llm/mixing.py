@@ -21,6 +21,8 @@ from lakegraph.session import cut
 WEIGHTS = (3, 1, 2)
 #: Documents of one size and source that are ranked in one task.
 RANK_ROWS = 20_000
+#: Ranges of sizes per doubling, and units of one copy in running sums.
+RANGES, UNIT = 8, 1 << 16
 
 
 def targets(classes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -89,28 +91,54 @@ def balance(classes: DataFrame, wanted: DataFrame, most: float = 2.0, steps: int
     return state.select("source", "tilt", "mean")
 
 
-def class_copies(classes: DataFrame, tilts: DataFrame, most: float = 2.0) -> DataFrame:
+def class_copies(classes: DataFrame, tilts: DataFrame, wanted: DataFrame, most: float = 2.0) -> DataFrame:
     """``source, size, n, copies``: how often the documents of one source and size are taken in all.
 
-    Sizes go from large to small, and what rounding leaves is handed to the next,
-    so a source misses its target by no more than half its smallest size (if its
-    documents can still give or take that much). The fold is over the distinct
-    sizes of a source, not over its documents.
+    From large sizes to small, copies are the steps of the rounded running sum of
+    rates, so a source misses its target by less than its largest size, however
+    many sizes it has. Sums run within ranges of sizes and over the ranges, in whole
+    units of ``1 / UNIT`` copies, so they are exact in any order. What is left goes, large
+    sizes first, to the size of each range that can give or take most: a source then
+    misses by about its smallest size, if its documents allow. Per source, one
+    row per range is folded, some ``RANGES * log2(largest size)``.
     """
-    rated = classes.join(tilts, classes.source.eqNullSafe(tilts.source), "left").select(
-        classes.source, "size", "n",
-        F.when(F.col("size") > 0, F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(math.log(most))))).otherwise(0.0).alias("rate"))
-    sizes = rated.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("sizes"))
-    start = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<size:bigint,n:bigint,copies:bigint>>").alias("made"))
+    rated = classes.where("size > 0").join(tilts, classes.source.eqNullSafe(tilts.source)).select(
+        classes.source, "size", "n", F.floor(F.col("n") * most).alias("limit"),
+        F.floor(F.log2(F.col("size").cast("double")) * RANGES).cast("int").alias("range"),
+        F.least(F.lit(most), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(math.log(most))))).alias("rate"))
+    rated = cut(rated.withColumn("units", F.round(F.col("n") * F.col("rate") * UNIT).cast("bigint")))
+    larger = Window.partitionBy("source").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rated.groupBy("source", "range").agg(F.sum("units").alias("units")).select(
+        F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("units").over(larger), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "range").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rated.withColumn("earlier", F.coalesce(F.sum("units").over(inside), F.lit(0))).join(
+        ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).withColumn("earlier", F.col("earlier") + F.col("before"))
+    rounded = lambda units: F.floor((units + F.lit(UNIT // 2)) / F.lit(UNIT))
+    copies = F.least(rounded(F.col("earlier") + F.col("units")) - rounded(F.col("earlier")), F.col("limit"))
+    made = cut(summed.select("source", "size", "n", "limit", "range", copies.alias("copies")))
+
+    reached = made.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("reached"))
+    left = wanted.join(reached.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
+        "s", (F.col("target") - F.col("reached")).alias("left"))
+    room = F.when(F.col("left") > 0, F.col("limit") - F.col("copies")).otherwise(F.col("copies"))
+    best = made.join(left, F.col("source").eqNullSafe(F.col("s"))).groupBy("source", "range").agg(
+        F.max_by(F.struct("size", room.alias("room")), F.struct(room, "size")).alias("one"), F.first("left").alias("left"))
+    folds = best.groupBy("source").agg(F.sort_array(F.collect_list("one"), asc=False).alias("ones"), F.first("left").alias("left"))
+    start = F.struct(F.col("left"), F.array().cast("array<struct<size:bigint,change:bigint>>").alias("made"))
 
     def step(held, row):
-        want = row.n * row.rate + F.when(row["size"] > 0, held.left / row["size"]).otherwise(0.0)
-        copies = F.least(F.greatest(F.round(want), F.lit(0.0)), most * row.n)
-        left = F.when(row["size"] > 0, held.left + (row.n * row.rate - copies) * row["size"]).otherwise(held.left)
-        one = F.struct(row["size"].cast("bigint").alias("size"), row.n.alias("n"), copies.cast("bigint").alias("copies"))
-        return F.struct(left.alias("left"), F.concat(held.made, F.array(one)).alias("made"))
+        size = row["size"]
+        # Rounded towards 0, so that what is left keeps its sign.
+        change = F.signum(held.left) * F.least(F.floor(F.abs(held.left) / size), row.room)
+        one = F.struct(size.alias("size"), change.cast("bigint").alias("change"))
+        return F.struct((held.left - change * size).alias("left"), F.concat(held.made, F.array(one)).alias("made"))
 
-    return sizes.select("source", F.explode(F.aggregate("sizes", start, step).made).alias("c")).select("source", "c.*")
+    changes = folds.select("source", F.explode(F.aggregate("ones", start, step).made).alias("c")).select(
+        F.col("source").alias("s"), F.col("c.size").alias("z"), F.col("c.change").alias("change")).where("change <> 0")
+    final = made.join(changes, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").select(
+        "source", "size", "n", (F.col("copies") + F.coalesce(F.col("change"), F.lit(0))).cast("bigint").alias("copies"))
+    empty = classes.where("size <= 0").select("source", "size", "n", F.lit(0).cast("bigint").alias("copies"))
+    return final.unionByName(empty)
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -134,7 +162,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     rows = cut(sized(rows).select("doc_id", "source", "size"))
     classes = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     wanted = cut(targets(classes, **rules))
-    copies = cut(class_copies(classes, balance(classes, wanted, most), most).join(
+    copies = cut(class_copies(classes, balance(classes, wanted, most), wanted, most).join(
         wanted.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named", "n_docs"))
     keyed = rows.join(copies.withColumnsRenamed({"source": "s", "size": "z"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
     order = F.xxhash64(F.lit(seed), "doc_id")

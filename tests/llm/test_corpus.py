@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import zlib
 
 import duckdb
@@ -385,10 +386,26 @@ def test_mix_rates_are_tilted(spark):
     tilt, mean = mixing.balance(classes, wanted).select("tilt", "mean").first()
     rates = {n: np.exp(tilt * n / mean) for n in (10, 100, 1000)}
     assert sum(100 * n * r for n, r in rates.items()) == pytest.approx(30000, rel=1e-5)
-    copies = {r["size"]: r.copies for r in mixing.class_copies(classes, mixing.balance(classes, wanted)).collect()}
+    copies = {r["size"]: r.copies for r in mixing.class_copies(classes, mixing.balance(classes, wanted), wanted).collect()}
     assert all(abs(copies[n] - 100 * rates[n]) <= 6 for n in rates)
 
 
+def test_copies_of_many_sizes_meet_the_target(spark):
+    """Every size once, and few very large ones: what rounding leaves is at most the smallest size, and no size is over its limit."""
+    rows = [("a", s, 1) for s in range(3, 4000)] + [("b", s, n) for s, n in ((7, 3), (90, 2), (5000, 1), (70000, 2))] + [(None, 11, 40), ("z", 0, 5)]
+    classes = spark.createDataFrame(rows, "source string, size bigint, n bigint")
+    wanted = mixing.targets(classes, share=1.1).cache()
+    got = mixing.class_copies(classes, mixing.balance(classes, wanted), wanted).collect()
+    assert sorted((str(r.source), r["size"], r.n) for r in got) == sorted((str(s), z, n) for s, z, n in rows)
+    assert all(0 <= r.copies <= 2 * r.n for r in got)
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += r["size"] * r.copies
+    for r in wanted.collect():
+        least = min((z for s, z, _ in rows if s == r.source and z), default=0)
+        assert abs(taken[r.source] - r.target) <= least + 1e-6 * r.target, r
+
+
 def test_mix_plan_is_native(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(n in plan for n in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
@@ -397,19 +414,23 @@ def test_mix_plan_is_native(docs):
 # -- 8 ---------------------------------------------------------------------
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
+    """Letters changed, added or left out, or neighbours swapped."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        before, row = row, [i]
+        rows.append([i])
         for j, y in enumerate(b, 1):
-            row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
-    return row[-1]
+            best = min(rows[i][-1] + 1, rows[i - 1][j] + 1, rows[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, rows[i - 2][j - 2] + 1)
+            rows[i].append(best)
+    return rows[-1][-1]
 
 
 def test_automaton_is_edit_distance():
     terms = ["idiot", "clown", "worthless", "scum"]
     lexicon = toxicity.Lexicon(terms, ["lowei"], set(terms), {"clowns"})
     rng = np.random.default_rng(3)
-    words = set(terms) | {"id1ot", "idiots", "diot", "iidiot", "clwon", "clowns", "scun", "worthles", "loweichen", "lowei", "lowe", "", "x"}
+    words = set(terms) | {"id1ot", "idiots", "diot", "iidiot", "clwon", "clowns", "scun", "worthles", "loweichen", "lowei", "lowe", "", "x", "sucm", "scmu", "worthelss", "wrothless"}
     for t in terms:
         for _ in range(60):
             w = list(t)
@@ -423,15 +444,54 @@ def test_automaton_is_edit_distance():
         elif w.startswith("lowei"):
             want = "stem"
         else:
-            want = "fuzzy" if w not in {"clowns"} and any(len(t) >= 5 and edits(w, t) <= 1 for t in terms) else ""
+            want = "fuzzy" if w not in {"clowns"} and any(len(t) >= 4 and edits(w, t) <= 1 for t in terms) else ""
         assert lexicon.match(w) == want, w
 
 
 def test_quotes_are_told_apart():
-    words = 'they said "you idiot" to him'.encode().split()
-    assert toxicity.is_quoted(words, 3) and not toxicity.is_quoted("you idiot go away".encode().split(), 1)
+    quoted = lambda text, at: toxicity.is_quoted(toxicity.quotations(text.encode().split()), at)
+    assert quoted('they said "you idiot" to him', 3) and quoted("er rief „du idiot“, dann", 3) and quoted("il dit «idiot».", 2)
+    assert not quoted("you idiot go away", 1)
+    assert not quoted('"hello there" you idiot "bye now"', 3)  # between two quotations
+    assert not quoted("'tis you idiot an' he knows 'em", 2)  # apostrophes
+    assert not quoted('a 5" screen you idiot "so', 4) and quoted('a 5" screen "you idiot" so', 4)
+    assert not quoted('"you idiot ' + "and so on " * 5 + 'it goes"', 1)  # ends beyond the window
     lexicon = toxicity.Lexicon(["idiot"], [], {"idiot"})
     assert toxicity.features('he wrote "idiot" there', lexicon)[3] > 0 and toxicity.features("idiot", lexicon)[0] > 0
+    assert toxicity.features('"so" idiot "well"', lexicon)[0] > 0
+
+
+def test_misspelt_words_are_one_edit_away():
+    rng = random.Random(1)
+    for word in ("idiot", "scum", "worthless,", '"moron!"'):
+        for _ in range(200):
+            new = toxicity.misspelt(word.encode(), rng).decode()
+            assert edits(new, word) <= 1 and toxicity.bare(new.encode())[:1] == toxicity.bare(word.encode())[:1]
+
+
+def test_method_decides_scores(spark):
+    """Misspelt and swapped terms stay toxic, quoted ones weigh less than the same used, also between two quotations."""
+    let_workers_import(spark)
+    sf = "/root/testdata/sf0.1"
+    model = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    weights = dict(zip(toxicity.FEATURES, model.weights))
+    assert weights["fuzzy"] > 0 > weights["quoted"]
+    plain = "that was the plan we all had for the day and you {} it is all we know of them by now"
+    cases = {
+        "clean": plain.format("friend"), "exact": plain.format("idiot"), "changed": plain.format("idiof"), "swapped": plain.format("idoit"),
+        "short": plain.format("scvm"), "quoted": plain.format('"idiot"'), "between": '"so be it" ' + plain.format("idiot") + ' "well then"'}
+    got = toxicity.score(spark.createDataFrame(list(cases.items()), "name string, text string"), model, keep=["name"])
+    score = {r["name"]: r["score"] for r in got.collect()}
+    assert all(score[n] >= 0.3 for n in ("exact", "changed", "swapped", "short", "between"))
+    assert score["clean"] < 0.1 and score["quoted"] < 0.1
+
+
+def test_training_rows_do_not_depend_on_order(spark):
+    rows = [(i % 7, f"text {i}") for i in range(60)] + [(3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, toxic int")
+    once, again = (sorted(map(str, toxicity.training_rows(d, labels, "doc_id", "text", 9, 9).collect())) for d in (docs, docs.repartition(5, "text")))
+    assert once == again and once
 
 
 def test_toxicity_on_held_out_labels(spark, docs, none):
