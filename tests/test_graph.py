@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakegraph.operators import closure, graph
+from lakegraph import session
+from lakegraph.operators import closure, edge_store, graph
 from lakegraph.operators.edge_store import EdgeStore
 
 # a -> b -> d, a -> c -> d (two equal paths), d -> e -> d (cycle), e -> e, x -> y -> x (pure cycle), e -> gone
@@ -215,3 +216,27 @@ def test_lineage_of_asked_roots(spark):
     rows = [("a", "b"), ("b", "c"), ("x", "c"), ("y", "x")]
     got = graph.materialized_lineage(edges(spark, rows), None, asked=starts(spark, "y", "b"))
     assert sorted((r.root, r.node, r.depth) for r in got.collect()) == [("y", "c", 2), ("y", "x", 1), ("y", "y", 0)]
+
+
+def test_a_store_takes_repeated_edges_in_buckets_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(edge_store, "BUCKET_EDGES", 50)
+    rows = [(f"n{i}", f"n{i + 1}") for i in range(300)] + [("hub", f"n{i % 5}") for i in range(90)] + [(None, "n1"), ("n1", None)]
+    store = EdgeStore.write(edges(spark, rows * 2), hub_edges=100)
+    try:
+        assert sorted(map(str, store.edges().collect())) == sorted(map(str, edges(spark, rows).distinct().collect()))
+        back = store.reverse()
+        assert back.edges().count() == len(set(rows)) and [p.count() for p in store.parts()][1:] == [5]
+        assert len(store.parts()[0].inputFiles()) > 4  # more than the session's shuffle partitions
+    finally:
+        store.drop()
+
+
+def test_distinct_edges_are_dealt_out_by_the_size_of_the_input(spark, monkeypatch, tmp_path):
+    rows = [(f"n{i % 40}", "feeds", f"n{i % 7}") for i in range(400)]
+    spark.createDataFrame(rows, "src string, rel string, target string").write.parquet(str(tmp_path / "links"))
+    links = spark.read.parquet(str(tmp_path / "links"))
+    plain = graph.flow_edges(links)
+    monkeypatch.setattr(session, "TASK_BYTES", 200)
+    dealt = graph.flow_edges(links)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect())) == sorted({(s, t) for s, _, t in rows})
+    assert dealt.rdd.getNumPartitions() > 4
