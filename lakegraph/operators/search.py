@@ -226,7 +226,8 @@ def intent_scores(
         score = score + F.when(F.lower(part("layer")).isin(*preferred_layers), 0.15).otherwise(0.0)
     if title.startswith("Design"):
         score = score + F.when(part("type").isin(*model.DESIGN_BONUS_TYPES), 0.05).otherwise(0.0)
-    scored = concepts.withColumn("blob", blob).select("path", "type", "title", "layer", score.alias("score"))
+    # Settled, as a filter on the score inside the parts of a union fails in Spark once a part's title is not read.
+    scored = settle(concepts.withColumn("blob", blob), score=score).select("path", "type", "title", "layer", "score")
     if hits is not None:
         marked = hits.select("path", F.lit(0.25).alias("bonus"))
         scored = scored.join(marked, "path", "left").withColumn(
@@ -239,7 +240,7 @@ def brain_hits(concepts: DataFrame, pairs: DataFrame, query: str, intent: str, l
     """Top ``limit`` assets for an intent query, index hits included."""
     asked = concepts.sparkSession.createDataFrame([("q", query)], "query_id string, query string")
     hits = search(pairs, asked, max(3 * limit, 20))
-    scores = intent_scores(concepts, query, intent, hits, **options)
+    scores = intent_scores(concepts, query, intent, F.broadcast(hits), **options)  # a few dozen rows
     return scores.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "path").limit(limit)
 
 

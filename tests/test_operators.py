@@ -433,3 +433,21 @@ def test_statements_from_bodies(spark):
     frame = concepts(spark, dict(path="/q/a.md", body="x\n```sql\nSELECT 1\n```\n```sql\nSELECT 2\n```"), dict(path="/q/b.md", body="no block"),
                      dict(path="/q/c.md", body=None), dict(path="/q/d.md", body="```SQL\n```"))
     assert {r.path: r.sql for r in resolve.body_statements(frame).collect()} == {"/q/a.md": "SELECT 1\n", "/q/d.md": ""}
+
+
+def test_focus_without_broadcasts_over_a_union(spark):
+    """Without a small side the filter on the score went into the parts of the union, where planning failed."""
+    columns = "path string, type string, title string, description string, layer string, fqn string, tags array<string>, body string"
+    part = lambda *rows: spark.createDataFrame(rows, columns).select(
+        "path", "type", "title", F.concat(F.lit("about "), "title").alias("description"), "layer", "fqn", "tags", "body")
+    concepts = part(("/a.md", "Table", "gold order", "", "gold", "g.o", ["t"], "")).unionByName(
+        part(("/m.md", "Metric", "revenue", "", "gold", None, [], ""), ("/n.md", "Metric", "gold", "", "gold", None, [], "order")))
+    hits = spark.createDataFrame([("/n.md",)], "path string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = search.intent_scores(concepts, "gold order", "design-report", hits)
+        top = scores.orderBy(F.col("score").desc(), "path").limit(12)
+        assert [r.path for r in search.focus_of(top, "design-report").select("path", "score").collect()] == ["/n.md"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
