@@ -65,7 +65,7 @@ def condense(edges: DataFrame) -> DataFrame:
         )
         inner = cut(tinted.filter(F.col("colour") == F.col("other")).select("src", "dst"))
         tops = colours.filter(F.col("node") == F.col("colour")).select("node")
-        members = cut(graph.reach(graph.reverse(inner), tops, None).select("node", F.col("start").alias("component")))
+        members = cut(graph.reach(graph.reverse(inner), tops, None, common=False).select("node", F.col("start").alias("component")))
         found.append(members)
         open_ends = inner.join(members.select(F.col("node").alias("src")), "src", "left_anti")
         rest = _peel(open_ends.join(members.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))

@@ -240,3 +240,23 @@ def test_distinct_edges_are_dealt_out_by_the_size_of_the_input(spark, monkeypatc
     dealt = graph.flow_edges(links)
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect())) == sorted({(s, t) for s, _, t in rows})
     assert dealt.rdd.getNumPartitions() > 4
+
+
+def test_packed_traversal_gives_the_rows_of_a_plain_one(spark):
+    """Over 64 starts, loops, several nodes a start, missing starts and nodes."""
+    rng = random.Random(3)
+    rows = EDGES + [(f"n{rng.randrange(120)}", f"n{rng.randrange(120)}") for _ in range(260)] + [("n1", None), (None, "n2")]
+    frame = edges(spark, rows)
+    some = starts(spark, *(f"n{i}" for i in range(150)), "a", "nowhere", None)
+    shared = some.select(F.when(F.col("node") < "n5", F.lit("low")).otherwise(F.lit("rest")).alias("start"), "node")
+    for s, hops in ((some, 4), (some.limit(1), 5), (shared, 3), (some.limit(0), 2)):
+        plain = graph.reach(frame, s, hops, common=False).collect()
+        assert sorted(map(str, plain)) == sorted(map(str, graph.reach(frame, s, hops).collect()))
+    plain = graph.reach(edges(spark, EDGES), starts(spark, "a", "x"), None, common=False).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, graph.reach(edges(spark, EDGES), starts(spark, "a", "x"), None).collect()))
+
+
+def test_a_level_has_a_row_for_sixty_four_starts(spark):
+    rows = [(f"s{i:02}", f"m{j}") for i in range(64) for j in range(5)]
+    levels, _ = graph._packed_levels(edges(spark, rows), starts(spark, *(f"s{i:02}" for i in range(64))), 3)
+    assert [level.count() for level in levels][1:] == [5, 0] and levels[1].select("mask").distinct().count() <= 4
