@@ -260,3 +260,14 @@ def test_a_level_has_a_row_for_sixty_four_starts(spark):
     rows = [(f"s{i:02}", f"m{j}") for i in range(64) for j in range(5)]
     levels, _ = graph._packed_levels(edges(spark, rows), starts(spark, *(f"s{i:02}" for i in range(64))), 3)
     assert [level.count() for level in levels][1:] == [5, 0] and levels[1].select("mask").distinct().count() <= 4
+
+
+def test_paths_to_few_goals_are_those_to_many(spark):
+    rng = random.Random(5)
+    rows = EDGES + [(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(200)] + [("n1", None), (None, "n2")]
+    frame = edges(spark, rows)
+    asked = [(f"n{i}", f"n{g}") for i in range(70) for g in (3, i % 6, i)] + [("a", "e"), (None, "n3"), ("n1", None), ("a", "gone")]
+    pairs = spark.createDataFrame(asked, "start string, goal string").distinct()
+    for hops in (None, 3, 8):
+        few, many = graph._paths_to_few(frame, pairs, hops), graph._paths_to_many(frame, pairs, hops)
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
