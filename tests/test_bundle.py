@@ -151,3 +151,28 @@ def test_packed_files_give_every_text_back(spark, tmp_path):
     assert bundle.scan_packed(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(Exception, match="an asset needs a path"):
         bundle.write_packed(spark.createDataFrame([(None, "x")], "path string, text string"), str(tmp_path / "bad"))
+
+
+def test_a_reader_of_few_fields_leaves_the_others_unparsed(spark):
+    files = spark.createDataFrame([("/tables/t.md", "---\ntype: Table\nlinks:\n- target: /a.md\n  rel: feeds\n---\nText")], "path string, text string")
+    concepts = bundle.parse_concepts(files)[0]
+    few = concepts.select("path", "type", "kind", "tags")
+    assert r"\s*rel\s*:" in concepts._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\s*rel\s*:" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in few.collect()] == [("/tables/t.md", "Table", None, None)]
+
+
+def test_headers_start_and_end_where_the_pattern_says(spark):
+    texts = ["---\na: 1\n---\n\n body", "---\n\n  a: 1\n--- \nbody", "---\r\na: 1\r\n---\r\nbody", "---\na: 1\n---x", "---\n\n---\nbody",
+             "---\n---\n", "---\na: 1\n", "a: 1", "", None, "---\n\n---\na: 1\n---\nbody", "---\n"]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    got = {int(r.path): (r.header, r.body) for r in bundle.split_header(files).collect()}
+    assert got == {0: ("a: 1", "body"), 1: ("  a: 1", "body"), 2: ("a: 1", "body"), 3: ("a: 1", "x"), 4: ("", "body"),
+                   10: ("---\na: 1", "body")}
+
+
+def test_last_entry_of_a_key_and_odd_line_ends(spark):
+    text = "---\ntype: Table\ntitle: a: b \ntitle : 'it\\'s' \nowner:\t7\nnote: .5e1\n---\n"
+    row = bundle.parse_concepts(spark.createDataFrame([("/tables/t.md", text)], "path string, text string"))[0].first()
+    assert (row.title, row.owner) == ("it's", "\t7") and row.keys == ["type", "title", "owner", "note"]
+    assert row.kinds == {"type": "string", "title": "string", "owner": "string", "note": "number"}
