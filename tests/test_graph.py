@@ -271,3 +271,19 @@ def test_paths_to_few_goals_are_those_to_many(spark):
     for hops in (None, 3, 8):
         few, many = graph._paths_to_few(frame, pairs, hops), graph._paths_to_many(frame, pairs, hops)
         assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_lineage_lists_roots_by_node_and_gives_the_rows_of_a_plain_traversal(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"r{i}", f"n{rng.randint(0, 9)}") for i in range(70) for _ in range(2)]
+    rows += [(f"n{rng.randint(0, 9)}", f"n{rng.randint(0, 30)}") for _ in range(60)] + [("n1", None), ("n2", None), (None, "n3"), ("r1", "r1x")]
+    monkeypatch.setattr(graph, "BLOCK_STARTS", 16)
+    monkeypatch.setattr(graph, "LEVEL_PAIRS", 100)
+    frame = edges(spark, rows)
+    plain = graph._reach(graph._kept(frame), graph.roots(frame), 6, True)
+    expected = sorted(map(str, plain.select("start", "node", "depth", "parent").collect()))
+    written, taken = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(taken(df)) or written[-1])
+    got = graph.materialized_lineage(frame).select(F.col("root").alias("start"), "node", "depth", "parent")
+    assert sorted(map(str, got.collect())) == expected
+    assert sum(w.count() for w in written[1:]) < len(expected) / 2
