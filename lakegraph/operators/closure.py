@@ -24,9 +24,9 @@ def _peel(edges: DataFrame) -> DataFrame:
     edges, left = cut(edges), None
     rows = edges.count()
     while rows and (left is None or left - rows >= PEEL_SHARE * left):
-        sources = edges.select(F.col("src").alias("dst")).distinct()
-        targets = edges.select(F.col("dst").alias("src")).distinct()
-        edges = cut(edges.join(sources, "dst", "left_semi").join(targets, "src", "left_semi").select("src", "dst"))
+        # Edges on cycles stay in both steps, so the second asks what the first left only.
+        led = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        edges = cut(led.join(led.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
         left, rows = rows, edges.count()
     return edges
 
@@ -47,15 +47,12 @@ def _colours(edges: DataFrame) -> DataFrame:
     return colours
 
 
-def condense(edges: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node on a common cycle, or the node itself where there is none.
+def _clean(edges: DataFrame) -> DataFrame:
+    return cut(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
 
-    Each round colours every node by the smallest one upstream. The nodes of a
-    colour that lead back to it form a component; edges between two colours lie on
-    no cycle and drop out, so all components of a round are found at once. Nulls
-    are no nodes; loops and repeated edges change nothing.
-    """
-    edges = cut(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+
+def _on_cycles(edges: DataFrame) -> DataFrame:
+    """``node, component`` of the nodes on cycles of clean edges, and of some others; a node left out is its own component."""
     found = []
     rest = _peel(edges.filter(F.col("src") != F.col("dst")))
     while not rest.isEmpty():
@@ -69,10 +66,21 @@ def condense(edges: DataFrame) -> DataFrame:
         found.append(members)
         open_ends = inner.join(members.select(F.col("node").alias("src")), "src", "left_anti")
         rest = _peel(open_ends.join(members.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    known = graph.nodes(edges)
     if not found:
-        return known.withColumn("component", F.col("node"))
-    return known.join(reduce(DataFrame.unionByName, found), "node", "left").select(
+        return graph.nodes(edges).limit(0).withColumn("component", F.col("node"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def condense(edges: DataFrame) -> DataFrame:
+    """``node, component``: the smallest node on a common cycle, or the node itself where there is none.
+
+    Each round colours every node by the smallest one upstream. The nodes of a
+    colour that lead back to it form a component; edges between two colours lie on
+    no cycle and drop out, so all components of a round are found at once. Nulls
+    are no nodes; loops and repeated edges change nothing.
+    """
+    edges = _clean(edges)
+    return graph.nodes(edges).join(_on_cycles(edges), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
 
@@ -96,32 +104,39 @@ def reach_sizes(edges: DataFrame, components: DataFrame | None = None, lg_k: int
     about ``0.8 / sqrt(2 ** lg_k)``, small sets nearly exact), so the state is one
     sketch a component however much it reaches, and sketches can be united further.
     """
-    components = cut(condense(edges) if components is None else components)
-    own = cut(components.groupBy("component").agg(
-        F.count(F.lit(1)).alias("members"), F.hll_sketch_agg("node", F.lit(lg_k)).alias("sketch")
-    ))
-    links = cut(condensed_edges(edges, components))
-    ends = own.join(links.select(F.col("src").alias("component")), "component", "left_anti")
-    waiting = cut(links.groupBy(F.col("src").alias("component")).agg(F.count(F.lit(1)).alias("open")))
-    done = [cut(ends)]
+    own = [F.count(F.lit(1)).alias("members"), F.hll_sketch_agg("node", F.lit(lg_k)).alias("sketch")]
+    if components is None:
+        edges = _clean(edges)
+        cycles = cut(_on_cycles(edges))
+        # A node outside is its own component and its edges are distinct already: neither is looked up or dealt out again.
+        alone = graph.nodes(edges).join(cycles, "node", "left_anti").groupBy("node").agg(*own).withColumnRenamed("node", "component")
+        parts = [alone, cycles.groupBy("component").agg(*own)]
+        named = edges.filter(F.col("src") != F.col("dst"))
+        for end in ("src", "dst"):
+            named = named.join(cycles.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component")), end, "left")
+        plain = F.col("src_component").isNull() & F.col("dst_component").isNull()
+        moved = named.filter(~plain).select(F.coalesce("src_component", "src").alias("src"), F.coalesce("dst_component", "dst").alias("dst"))
+        links = cut(named.filter(plain).select("src", "dst").unionByName(moved.filter(F.col("src") != F.col("dst")).distinct()))
+    else:
+        components = cut(components)
+        parts = [components.groupBy("component").agg(*own)]
+        links = cut(condensed_edges(edges, components))
+    after = links.groupBy(F.col("src").alias("component")).agg(F.count(F.lit(1)).alias("open"))
+    state = cut(reduce(DataFrame.unionByName, [p.join(after, "component", "left") for p in parts]))
+    last, waiting = state.filter("open IS NULL"), state.filter("open IS NOT NULL")
+    done = [last]
     while True:
-        last = done[-1].select(F.col("component").alias("dst"))
-        closed = links.join(last, "dst", "left_semi").groupBy(F.col("src").alias("component")).agg(F.count(F.lit(1)).alias("closed"))
-        now = cut(waiting.join(closed, "component", "left").select(
-            "component", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")
+        # Links to what is done are used now and not read again.
+        later = cut(links.join(waiting.select(F.col("component").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        sent = links.join(last.select(F.col("component").alias("dst"), "sketch"), "dst").select(
+            F.col("src").alias("component"), F.lit(0).cast("bigint").alias("members"), F.lit(-1).cast("bigint").alias("open"), "sketch"
+        )
+        now = cut(waiting.unionByName(sent).groupBy("component").agg(
+            F.sum("members").alias("members"), F.sum("open").alias("open"), F.hll_union_agg("sketch").alias("sketch")
         ))
-        ready = now.filter(F.col("open") == 0).select("component")
-        if ready.isEmpty():
+        last, waiting, links = now.filter("open = 0"), now.filter("open > 0"), later
+        if last.isEmpty():
             break
-        waiting = now.filter(F.col("open") > 0)
-        below = reduce(DataFrame.unionByName, done).select(F.col("component").alias("dst"), "sketch")
-        sent = (
-            links.join(ready.withColumnRenamed("component", "src"), "src", "left_semi")
-            .join(below, "dst").select(F.col("src").alias("component"), F.lit(0).cast("bigint").alias("members"), "sketch")
-        )
-        united = own.join(ready, "component", "left_semi").unionByName(sent)
-        done.append(cut(united.groupBy("component").agg(
-            F.sum("members").alias("members"), F.hll_union_agg("sketch").alias("sketch")
-        )))
+        done.append(last)
     sizes = reduce(DataFrame.unionByName, done)
     return sizes.select("component", "members", F.hll_sketch_estimate("sketch").alias("reached"), "sketch")

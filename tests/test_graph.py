@@ -287,3 +287,27 @@ def test_lineage_lists_roots_by_node_and_gives_the_rows_of_a_plain_traversal(spa
     got = graph.materialized_lineage(frame).select(F.col("root").alias("start"), "node", "depth", "parent")
     assert sorted(map(str, got.collect())) == expected
     assert sum(w.count() for w in written[1:]) < len(expected) / 2
+
+
+def written(monkeypatch, module):
+    """Columns and rows of what ``module`` writes from here on."""
+    seen, cut = [], module.cut
+
+    def counted(df):
+        kept = cut(df)
+        seen.append((kept.columns, kept.count()))
+        return kept
+
+    monkeypatch.setattr(module, "cut", counted)
+    return seen
+
+
+def test_reach_sizes_write_a_sketch_once_while_nothing_is_told_to_it(spark, monkeypatch):
+    rows = [(f"top{i % 3}", f"mid{i % 40}") for i in range(120)] + [(f"mid{i % 40}", f"low{i}") for i in range(2000)] + [("a", "b"), ("b", "a"), ("b", "top0")]
+    seen = written(monkeypatch, closure)
+    sizes = {r.component: (r.members, r.reached) for r in closure.reach_sizes(edges(spark, rows)).collect()}
+    assert len(sizes) == 2044 and sizes["a"][0] == 2 and sizes["low7"] == (1, 1) and sizes["mid3"] == (1, 51)
+    # A round wrote the sketches of all ends again.
+    assert sum(n for columns, n in seen if "sketch" in columns) < 1.1 * len(sizes)
+    parts = closure.condense(edges(spark, rows))
+    assert {r.component: (r.members, r.reached) for r in closure.reach_sizes(edges(spark, rows), parts).collect()} == sizes
