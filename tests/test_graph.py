@@ -311,3 +311,14 @@ def test_reach_sizes_write_a_sketch_once_while_nothing_is_told_to_it(spark, monk
     assert sum(n for columns, n in seen if "sketch" in columns) < 1.1 * len(sizes)
     parts = closure.condense(edges(spark, rows))
     assert {r.component: (r.members, r.reached) for r in closure.reach_sizes(edges(spark, rows), parts).collect()} == sizes
+
+
+def test_stored_neighbourhoods_trim_the_nodes_they_meet_only(spark, monkeypatch):
+    rows = [("f", "g"), ("g", "h"), ("h", "far")] + [(f"n{i:03}", f"n{i + 1:03}") for i in range(300)] + [("g", f"n{i:03}") for i in range(90)]
+    store = EdgeStore.write(edges(spark, rows * 2), 4)
+    seen = written(monkeypatch, graph)
+    got = {r.node: r.depth for r in graph.neighbourhoods(store, starts(spark, "f"), None, 2, 6).collect()}
+    assert got == brute_neighbourhood(rows, "f", set(), 2, 6)
+    assert sum(n for _, n in seen) < 20  # all 600 directed edges before
+    assert store.edges().count() == store.reverse().edges().count() == len(set(rows))
+    store.drop()
