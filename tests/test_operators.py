@@ -451,3 +451,19 @@ def test_focus_without_broadcasts_over_a_union(spark):
         assert [r.path for r in search.focus_of(top, "design-report").select("path", "score").collect()] == ["/n.md"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_are_searched_once_for_all_findings(spark):
+    frame = spark.createDataFrame([
+        ("/tables/a.md", "Table", "A", "see [b](/tables/b.md), [x](/x.md#y) and [no](", 1), ("/tables/b.md", None, "B", "a [ ( ] b", 0), ("/tables/c.md", "Table", "C", None, 0),
+    ], "path string, type string, title string, body string, bad_links int")
+    rows = spark.createDataFrame([("/tables/a.md", "feeds", "/tables/b.md"), ("/tables/b.md", "feeds", "/gone.md")] * 2, "src string, rel string, target string")
+    found = quality.validate(frame, rows, listed=None, root=None)
+    assert "regexp_extract_all" not in _plan(found)  # three times before
+    assert sorted(tuple(r) for r in found.collect()) == sorted([
+        ("/tables/a.md", "error", "broken_href", "/x.md"), ("/tables/a.md", "warning", "non_object_link", ""), ("/tables/b.md", "error", "missing_field", "type"),
+        ("/tables/b.md", "error", "broken_link", "/gone.md"), ("/tables/b.md", "error", "broken_link", "/gone.md")])
