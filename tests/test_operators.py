@@ -467,3 +467,23 @@ def test_bodies_are_searched_once_for_all_findings(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted([
         ("/tables/a.md", "error", "broken_href", "/x.md"), ("/tables/a.md", "warning", "non_object_link", ""), ("/tables/b.md", "error", "missing_field", "type"),
         ("/tables/b.md", "error", "broken_link", "/gone.md"), ("/tables/b.md", "error", "broken_link", "/gone.md")])
+
+
+def test_evidence_is_read_once_and_looked_up_unsorted(spark):
+    frame = concepts(spark, dict(path="/tables/silver-x.md"), dict(path="/tables/gold-y.md"), dict(path="/tables/gold-w.md"))
+    statements = spark.createDataFrame([
+        ("a", "CREATE TABLE gold.y AS SELECT * FROM silver.x"), ("b", "INSERT INTO gold.w -- FROM gold.y\nSELECT ' FROM gold.y '"),
+        ("c", "INSERT INTO gold.w WITH y AS (SELECT 1) SELECT * FROM y"), ("d", "INSERT INTO gold.w WITH a AS (SELECT 1), y as (SELECT 2) SELECT * FROM y"), ("e", None),
+    ], "path string, sql string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        proven = resolve.resolved_statement_edges(statements, frame)
+        flow = [("/tables/silver-x.md", "/tables/gold-y.md"), ("/tables/gold-y.md", "/tables/gold-w.md"), (None, "/tables/gold-w.md")]
+        bare = quality.edges_without_evidence(spark.createDataFrame(flow, "src string, dst string"), proven)
+        plan = _plan(bare)
+        assert "regexp" not in plan and "SortMergeJoin" not in plan
+        assert [tuple(r) for r in proven.collect()] == flow[:1]
+        assert {tuple(r) for r in bare.collect()} == set(flow[1:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
