@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -322,3 +323,55 @@ def test_stored_neighbourhoods_trim_the_nodes_they_meet_only(spark, monkeypatch)
     assert sum(n for _, n in seen) < 20  # all 600 directed edges before
     assert store.edges().count() == store.reverse().edges().count() == len(set(rows))
     store.drop()
+
+
+def test_a_store_writes_no_raw_edges_and_the_second_direction_when_walked(spark, monkeypatch):
+    rows = [(f"n{i}", f"n{i + 1}") for i in range(300)] + [("n0", f"m{i}") for i in range(40)]
+    seen = written(monkeypatch, edge_store)
+    store = EdgeStore.write(edges(spark, rows * 3), 4)
+    try:
+        assert {tuple(columns) for columns, _ in seen} == {("bin", "n")}  # all 1,020 edges before
+        assert graph.downstream(store, starts(spark, "n290"), 5).count() == 6
+        got = {r.node: r.depth for r in graph.neighbourhoods(store, starts(spark, "m7"), None, 2, 6).collect()}
+        assert got == brute_neighbourhood(rows, "m7", set(), 2, 6)
+        assert not store.reverse().written()  # written with the first before
+        assert {r.node for r in graph.upstream(store, starts(spark, "n3"), 2).collect()} == {"n3", "n2", "n1"}
+        assert store.reverse().written() and store.reverse().edges().count() == len(set(rows))
+    finally:
+        store.drop()
+
+
+def test_lists_of_roots_are_merged_in_the_row_and_crowded_nodes_by_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(f"r{i}", f"n{rng.randint(0, 9)}") for i in range(60) for _ in range(2)] + [("n1", None), (None, "n3"), ("r1", "r1x")]
+    rows += [(f"n{rng.randint(0, 9)}", f"n{rng.randint(0, 30)}") for _ in range(60)] + [(f"n{i}", "hub") for i in range(31)] + [("hub", "n2")]
+    frame = edges(spark, rows)
+    plain = graph._reach(graph._kept(frame), graph.roots(frame), 6, True).withColumnRenamed("start", "root")
+    expected = sorted(map(str, plain.select("root", "node", "depth", "parent").collect()))
+    paths = sorted(map(str, graph.lineage_paths(plain).collect()))
+    for limit in (1_000, 5):
+        monkeypatch.setattr(graph, "GATHERED_EDGES", limit)
+        assert sorted(map(str, graph.materialized_lineage(frame).collect())) == expected
+        listed = graph.materialized_lineage(frame, listed=True)
+        got = graph.lineage_paths(*listed)
+        assert sorted(map(str, got.collect())) == paths
+    # Pairs of a root and a node are aggregated by numbers: rows were sorted by root before.
+    plan = graph._summary_of_lists(*listed)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[block#\d+L, at#\d+, depth", plan) and not re.search(r"SortAggregate\(key=\[block#\d+L, at#\d+, depth", plan)
+    told = spark.createDataFrame([(0, "x", "p", [1]), (0, "x", "o", [1, 2]), (0, "x", None, [2]), (0, "x", "q", [5])],
+                                 "block bigint, node string, parent string, starts array<smallint>")
+    first = graph._first_parents(told)
+    row = first.first()
+    assert {(a, row.parents[b]) for a, b in zip(row.starts, row.by)} == {(1, "o"), (5, "q")} and first.count() == 1
+    assert "explode" not in first._jdf.queryExecution().optimizedPlan().toString().lower()  # pairs were exploded and sorted before
+
+
+def test_lineage_edges_are_made_distinct_once(spark):
+    from lakegraph.plans import QUERIES
+    from lakegraph.sources import derive
+
+    sf = "/root/testdata/sf0.001"
+    repeated = derive.links(spark, sf, repeated=True)
+    assert set(repeated.collect()) == set(derive.links(spark, sf).collect())
+    plan = QUERIES["g01_lineage_graph"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" in plan and "Aggregate [l_suppkey" not in plan  # pairs of keys and flow edges were made distinct before the union
