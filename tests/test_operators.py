@@ -487,3 +487,31 @@ def test_evidence_is_read_once_and_looked_up_unsorted(spark):
         assert {tuple(r) for r in bare.collect()} == set(flow[1:])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_edges_inside_a_pack_are_listed_by_member_and_looked_up_for_wide_nodes(spark, monkeypatch):
+    from lakegraph.operators.edge_store import EdgeStore
+
+    rng = random.Random(4)
+    rows = {("hub", f"n{i:02}") for i in range(40)} | {("big", f"n{i:02}") for i in range(30)}
+    rows |= {(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(120)} | {("n01", "hub"), ("n01", "n01")}
+    members = [(f"f{f}", n) for f in range(12) for n in ["hub", "big", *{f"n{rng.randrange(40):02}" for _ in range(9)}]] + [("f0", "gone")]
+    expected = sorted((f, s, d) for f, s in members for g, d in members if f == g and (s, d) in rows)
+    frame = spark.createDataFrame(sorted(rows), "src string, dst string")
+    taken = spark.createDataFrame(members, "focus string, node string")
+    monkeypatch.setattr(packs, "LISTED_EDGES", 10)
+    for hub_edges in (1_000_000, 35):
+        store = EdgeStore.write(frame, 4, hub_edges)
+        found = packs._inner_edges(taken, store)
+        assert sorted(map(tuple, found.collect())) == expected == sorted(map(tuple, packs._inner_edges(taken, frame).collect()))
+        store.drop()
+    monkeypatch.setattr(packs, "LISTED_EDGES", 100)
+    store, before = EdgeStore.write(frame, 4), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Members are dealt out once and meet the stored edges where they lie; pairs and edges were dealt out by both ends before.
+        plan = packs._inner_edges(taken, store)._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_contains" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        store.drop()
